@@ -42,6 +42,9 @@ ENVELOPE = {
     "deleted_at": T.TimestampType(),
 }
 
+# Columns a change row carries besides those of the object.
+CHANGE_COLUMNS = ("changeset_id", "seq", "op", "expected_version", "at", "by")
+
 # Rollup functions.
 ROLLUP_FUNCTIONS = ("COUNT", "SUM", "MIN", "MAX", "AVG")
 
@@ -192,7 +195,7 @@ class Schema:
                 if p.iri in seen and seen[p.iri].spark_type != p.spark_type:
                     raise SchemaError(f"property {p.iri} is declared twice with different types")
                 seen[p.iri] = p
-                if p.name in ENVELOPE:
+                if p.name in ENVELOPE or p.name in CHANGE_COLUMNS or p.name.startswith("_"):
                     raise SchemaError(f"property name '{p.name}' is reserved")
         for r in self.rollups:
             if r.function not in ROLLUP_FUNCTIONS:

@@ -58,6 +58,8 @@ def load_tagged(dump: DataFrame, schema: Schema, type_name: str) -> tuple[DataFr
     typed = F.from_json("props", _TYPED)
     raw = F.from_json("props", _RAW)
     df = dump.select(*envelope, "props", typed.alias("_m"), raw.alias("_raw"))
+    cells = [F.try_element_at(F.col("_m"), F.lit(p.iri)).alias(f"_c_{p.name}") for p in props]
+    df = df.select(*envelope, "props", F.col("_m").isNotNull().alias("_parsed"), "_raw", *cells)
 
     known = F.array(*[F.lit(t) for t in ALL_TAGS])
     tags = F.flatten(F.transform(F.map_values("_raw"), lambda m: F.map_keys(m)))
@@ -73,25 +75,31 @@ def load_tagged(dump: DataFrame, schema: Schema, type_name: str) -> tuple[DataFr
     nested = F.array_contains(item_tags, "list")
 
     values: list[Column] = []
-    bad: list[Column] = []
+    bad = []
     for p in props:
-        cell = F.try_element_at(F.col("_m"), F.lit(p.iri))
+        cell = F.col(f"_c_{p.name}")
         sql_type = p.scalar_type.simpleString()
         tag = tag_of(p)
         if p.is_list:
             single = F.when(cell[tag].isNotNull(), F.array(cell[tag]))
             texts = F.coalesce(_field_of_each(cell["list"], tag), single)
             col = _cast_each(texts, sql_type)
-            broken = cell.isNotNull() & F.coalesce(F.exists(col, lambda v: v.isNull()), F.lit(True))
         else:
             col = cell[tag].try_cast(sql_type)
-            broken = cell.isNotNull() & col.isNull()
         values.append(col.alias(p.name))
-        bad.append(F.when(broken, F.lit(p.name)))
+        bad.append((p.name, cell.isNotNull(), p.is_list))
+    df = df.select("*", *values)
+    bad = [
+        F.when(
+            present & (F.coalesce(F.exists(F.col(n), lambda v: v.isNull()), F.lit(True)) if is_list else F.col(n).isNull()),
+            F.lit(n),
+        )
+        for n, present, is_list in bad
+    ]
     known_props = F.array(*[F.lit(p.iri) for p in props])
     wrong = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
     reason = (
-        F.when(F.col("_m").isNull() | F.col("_raw").isNull(), F.lit("not a property map"))
+        F.when(~F.col("_parsed") | F.col("_raw").isNull(), F.lit("not a property map"))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown tag: "), F.array_join(F.array_sort(F.array_distinct(unknown)), ",")))
         .when(nested, F.lit("a list inside a list"))
         .when(
@@ -101,7 +109,7 @@ def load_tagged(dump: DataFrame, schema: Schema, type_name: str) -> tuple[DataFr
         .when(F.size(wrong) > 0, F.concat(F.lit("value does not fit: "), F.array_join(wrong, ",")))
     )
     judged = df.withColumn("_reason", reason)
-    good = judged.where(F.col("_reason").isNull()).select(*envelope, *values)
+    good = judged.where(F.col("_reason").isNull()).select(*envelope, *[p.name for p in props])
     rejects = judged.where(F.col("_reason").isNotNull()).select(*envelope, "props", F.col("_reason").alias("reason"))
     return good, rejects
 
@@ -119,25 +127,29 @@ def _json_value(p: Property, text: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
-def export_tagged(df: DataFrame, schema: Schema, type_name: str) -> DataFrame:
-    """Envelope columns + ``props`` JSON; an absent property is an absent key.
+def tagged_json(schema: Schema, type_name: str, without: tuple[str, ...] = ()) -> Column:
+    """All properties of a row as JSON; an absent property is an absent key.
 
     Decimals are written as text, so their scale is kept.
     """
     entries: list[Column] = []
     for p in schema.properties(type_name):
-        if p.name not in df.columns:
+        if p.name in without:
             continue
         col = F.col(p.name)
         if p.is_list:
-            items = F.concat_ws(",", _tag_each(p, col))
-            body = F.concat(F.lit('{"list":['), items, F.lit("]}"))
+            body = F.concat(F.lit('{"list":['), F.concat_ws(",", _tag_each(p, col)), F.lit("]}"))
         else:
             body = _tagged_scalar(p, col)
         entries.append(F.when(col.isNotNull(), F.concat(F.lit(f'"{p.iri}":'), body)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
+
+
+def export_tagged(df: DataFrame, schema: Schema, type_name: str) -> DataFrame:
+    """Envelope columns + ``props`` JSON."""
     envelope = [c for c in ENVELOPE if c in df.columns]
-    props = F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
-    return df.select(*envelope, props.alias("props"))
+    absent = tuple(p.name for p in schema.properties(type_name) if p.name not in df.columns)
+    return df.select(*envelope, tagged_json(schema, type_name, absent).alias("props"))
 
 
 def write_tagged(df: DataFrame, schema: Schema, type_name: str, path: str) -> None:
