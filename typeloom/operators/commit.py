@@ -13,6 +13,7 @@ from ..model import ENVELOPE
 from ..session import materialise
 from ..sources.store import ObjectStore
 from ..sources.tagged import tagged_json
+from ..sources.versions import overlay
 
 # Event kind of each operation.
 EVENT_OF = {"create": "ObjectCreated", "update": "ObjectUpdated", "delete": "ObjectDeleted"}
@@ -171,17 +172,23 @@ def apply_all(store: ObjectStore, changes: DataFrame, *types: str) -> tuple[Obje
 
     Every round decides the earliest open set of each object, and drops all that can no longer
     succeed, so rounds are as many as the longest run of successful changes to one object.
+    Only the row versions a round wrote are stored; the tables are read with them laid over.
     Returns the store after the batch, all rejected changes and the whole log.
     """
-    rejected, log = None, None
-    pending = changes
+    names = store.concrete(*types)
+    base = {n: store.table(n) for n in names}
+    written: dict[str, DataFrame] = {}
+    rejected, log, pending = None, None, changes
     while True:
         result = apply_changes(store, pending, *types, keep_judgement=True)
-        for name, df in result.tables.items():
-            store = store.with_table(name, materialise(df, f"table-{name}"))
+        for n in names:
+            rows = materialise(result.versions[n], f"versions-{n}")
+            written[n] = written[n].unionByName(rows) if n in written else rows
         part_r, part_l = materialise(result.rejected, "rejected"), materialise(result.log, "log")
         rejected = part_r if rejected is None else rejected.unionByName(part_r)
         log = part_l if log is None else log.unionByName(part_l)
         pending = materialise(result.deferred, "deferred")
+        for n in names:
+            store = store.with_table(n, overlay(base[n], written[n]))
         if pending.isEmpty():
             return store, rejected, log

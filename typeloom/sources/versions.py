@@ -18,6 +18,15 @@ def latest(rows: DataFrame, keys: list[str], version: str = "version") -> DataFr
     return best.select(*[F.col(k) if k in keys else F.col("_row")[k].alias(k) for k in rows.columns])
 
 
+def overlay(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
+    """A table with newer row versions laid over it, without rewriting the table.
+
+    The delta is small beside the base, so Spark normally broadcasts its keys for the anti-join.
+    """
+    newest = latest(delta.select(*base.columns), [key])
+    return base.join(newest.select(key), key, "left_anti").select(*base.columns).unionByName(newest)
+
+
 def active_documents(documents: DataFrame) -> DataFrame:
     """The active schema document per tenant: the one activated last."""
     return latest(documents.where(F.col("active")), ["tenant"])
