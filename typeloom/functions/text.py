@@ -16,12 +16,12 @@ from pyspark.sql import types as T
 
 from ..model import Property
 
-# Fixed value: anything that is neither a letter nor a digit separates tokens.
-SEPARATOR = r"[^\p{L}\p{N}]+"
+# Fixed value: a token is a run of letters and digits.
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SEPARATOR), lambda z: z != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def query_tokens(text: str | None) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.names import lexical
 from ..model import Property, Schema
+from ..session import settled
 from ..sources.store import SEARCH_TEXT, ObjectStore
 from .predicates import Criterion, InvalidQuery, Violation, apply_criteria, conjunction, criterion
 
@@ -110,20 +111,17 @@ def resolve(schema: Schema, spec: BrowseSpec) -> Browse:
     return Browse(spec.types, tuple(criteria), text, tuple(sorts), spec.page, spec.size, tuple(facets), spec.include_deleted)
 
 
-def source(store: ObjectStore, q: Browse) -> DataFrame:
-    """Scoped rows of the request after the text condition, before its criteria."""
+def matching(store: ObjectStore, q: Browse, criteria: tuple[Criterion, ...] | list[Criterion] | None = None) -> DataFrame:
+    """Scoped rows that meet the criteria (all of the request's, unless some are given) and the text."""
     rows = store.scan(*q.types, include_deleted=q.include_deleted, with_search_text=q.text is not None)
-    if q.text is not None:
-        toks = X.tokens(F.col(SEARCH_TEXT))
-        rows = rows.withColumn("_tokens", toks).where(X.matches(F.col("_tokens"), q.text))
-    return rows
-
-
-def matching(store: ObjectStore, q: Browse) -> DataFrame:
-    rows = apply_criteria(source(store, q), q.criteria)
-    if q.text is not None:
-        rows = rows.withColumn(SCORE, X.score(F.col("_tokens"), q.text)).drop("_tokens", SEARCH_TEXT)
-    return rows
+    rows = apply_criteria(rows, q.criteria if criteria is None else criteria)
+    if q.text is None:
+        return rows
+    # A row without the query's words as plain substrings need not be split into tokens at all.
+    for word in X.query_tokens(q.text):
+        rows = rows.where(F.lower(F.col(SEARCH_TEXT)).contains(word))
+    toks = settled(rows.withColumn("_tokens", X.tokens(F.col(SEARCH_TEXT)))).where(X.matches(F.col("_tokens"), q.text))
+    return toks.withColumn(SCORE, X.score(F.col("_tokens"), q.text)).drop("_tokens", SEARCH_TEXT)
 
 
 def order(q: Browse) -> list[Column]:
@@ -180,7 +178,7 @@ def facets(store: ObjectStore, q: Browse) -> DataFrame:
     if not q.facets:
         return store.spark.createDataFrame([], "facet string, value string, n long")
     names = {p.name for p in q.facets}
-    rows = apply_criteria(source(store, q), [c for c in q.criteria if c.property.name not in names])
+    rows = matching(store, q, [c for c in q.criteria if c.property.name not in names])
     own = [c for c in q.criteria if c.property.name in names]
     cells = []
     for p in q.facets:

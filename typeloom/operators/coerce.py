@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Property
+from ..session import settled
 from ..sources.store import ObjectStore
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -137,7 +138,7 @@ def coerce(store: ObjectStore, raw: DataFrame, type_name: str) -> tuple[DataFram
         else:
             everything.append(_named(p.name, F.col(f"_r_{p.name}")))
             columns.append(F.col(p.name))
-    judged = typed.select("id", *columns, F.concat(*[F.coalesce(x, none) for x in everything]).alias("_violations"))
+    judged = settled(typed.select("id", *columns, F.concat(*[F.coalesce(x, none) for x in everything]).alias("_violations")))
     good = judged.where(F.size("_violations") == 0).drop("_violations")
     bad = judged.select("id", F.explode("_violations").alias("v")).select("id", "v.property", "v.message")
     return good, bad

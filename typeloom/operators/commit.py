@@ -40,49 +40,48 @@ def require_changes(mutations: int, events: int = 0) -> None:
 
 
 def judge(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes with ``_status`` and ``_verdict`` (accepted, rejected, deferred).
+    """(changeset_id, seq, id, status, verdict) of every change; verdict is accepted, rejected or deferred.
 
-    ``current`` holds (id, version, live); ``live`` is false for deleted and foreign objects. One bad member rejects its whole set. Sets take
-    effect in the order of ``changeset_id``: a set that touches an object of an earlier set still
-    undecided is deferred, unless no outcome of the earlier sets could save it.
+    ``current`` holds (id, version, live); ``live`` is false for deleted and foreign objects. One
+    bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
+    touches an object of an earlier set still undecided is deferred, unless no outcome of the
+    earlier sets could save it.
 
-    Sets are judged through the distinct ids of bad and waiting sets, never by gathering the
-    members of a set, so a set of any size is as cheap as many small ones.
+    Only the few columns that decide are moved. Sets are judged through the distinct ids of bad
+    and waiting sets, never by gathering the members of a set, so a set of any size is as cheap
+    as many small ones.
     """
-    now = current.select("id", F.col("version").alias("_now"), (~F.col("live")).alias("_gone"))
-    c = changes.join(now, "id", "left")
-    creating = F.col("op") == "create"
-    exists = F.col("_now").isNotNull()
+    slim = changes.select("changeset_id", "seq", "id", "op", "expected_version")
+    now = current.select("id", F.col("version").alias("now"), (~F.col("live")).alias("gone"))
+    per_id = slim.groupBy("changeset_id", "id").agg(F.count("*").alias("times"))
+    c = slim.join(now, "id", "left").join(per_id.where("times > 1"), ["changeset_id", "id"], "left")
+    creating, exists, twice = F.col("op") == "create", F.col("now").isNotNull(), F.col("times").isNotNull()
     status = (
-        F.when(creating & exists, F.lit("exists"))
+        F.when(twice, F.lit("duplicate"))
+        .when(creating & exists, F.lit("exists"))
         .when(creating, F.lit("ok"))
-        .when(~exists | F.col("_gone"), F.lit("not_found"))
-        .when(F.col("_now") != F.col("expected_version"), F.lit("stale"))
+        .when(~exists | F.col("gone"), F.lit("not_found"))
+        .when(F.col("now") != F.col("expected_version"), F.lit("stale"))
         .otherwise(F.lit("ok"))
     )
-    hopeless = (creating & exists) | (~creating & exists & (F.col("_gone") | (F.col("expected_version") < F.col("_now"))))
-    c = c.select(*changes.columns, status.alias("_status"), F.coalesce(hopeless, F.lit(False)).alias("_hopeless"))
+    overtaken = exists & (creating | F.col("gone") | (F.col("expected_version") < F.col("now")))
+    c = c.select("changeset_id", "seq", "id", status.alias("status"), (twice | F.coalesce(overtaken, F.lit(False))).alias("hopeless"))
 
-    twice = changes.groupBy("changeset_id", "id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    c = c.join(twice.select("changeset_id", "id", F.lit(True).alias("_twice")), ["changeset_id", "id"], "left")
-    c = c.withColumn("_status", F.when(F.col("_twice"), F.lit("duplicate")).otherwise(F.col("_status")))
-    c = c.withColumn("_hopeless", F.col("_hopeless") | F.col("_twice").isNotNull()).drop("_twice")
-
-    lost = c.where("_hopeless").select("changeset_id").distinct().withColumn("_lost", F.lit(True))
-    c = c.join(lost, "changeset_id", "left").withColumn("_lost", F.col("_lost").isNotNull())
-    first = c.where(~F.col("_lost")).groupBy("id").agg(F.min("changeset_id").alias("_first"))
+    lost = c.where("hopeless").select("changeset_id").distinct().withColumn("lost", F.lit(True))
+    c = c.join(lost, "changeset_id", "left")
+    first = c.where(F.col("lost").isNull()).groupBy("id").agg(F.min("changeset_id").alias("first"))
     c = c.join(first, "id", "left")
     flags = c.groupBy("changeset_id").agg(
-        F.max(F.col("_status") != "ok").alias("_bad"),
-        F.max(F.coalesce(~F.col("_lost") & (F.col("changeset_id") > F.col("_first")), F.lit(False))).alias("_waits"),
+        F.max(F.col("status") != "ok").alias("bad"),
+        F.max(F.coalesce(F.col("lost").isNull() & (F.col("changeset_id") > F.col("first")), F.lit(False))).alias("waits"),
     )
     verdict = (
-        F.when(F.col("_lost"), F.lit("rejected"))
-        .when(F.col("_waits"), F.lit("deferred"))
-        .when(F.col("_bad"), F.lit("rejected"))
+        F.when(F.col("lost"), F.lit("rejected"))
+        .when(F.col("waits"), F.lit("deferred"))
+        .when(F.col("bad"), F.lit("rejected"))
         .otherwise(F.lit("accepted"))
     )
-    return c.join(flags, "changeset_id").select(*changes.columns, "_status", verdict.alias("_verdict"))
+    return c.join(flags, "changeset_id").select("changeset_id", "seq", "id", "status", verdict.alias("verdict"))
 
 
 def _new_version(base: DataFrame, accepted: DataFrame, tenant: str, props: list[str]) -> list[Column]:
@@ -126,7 +125,8 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep_judg
     judged = judge(current, changes)
     if keep_judgement:
         judged = materialise(judged, "judged")
-    accepted = judged.where(F.col("_verdict") == "accepted")
+    keys = ["changeset_id", "seq", "id"]
+    accepted = changes.join(judged.where(F.col("verdict") == "accepted").select(*keys), keys, "left_semi").select(*changes.columns)
     tables, written, logs = {}, {}, []
     for n in names:
         props = [p.name for p in store.schema.properties(n)]
@@ -143,8 +143,8 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep_judg
         changed = touched.select(*_new_version(base, mine, store.tenant, props), "c.changeset_id", "c.seq", "c.op", F.col("c.at").alias("_at"))
         written[n] = changed.drop("changeset_id", "seq", "op", "_at")
         logs.append(_events(store, n, changed))
-    rejected = judged.where(F.col("_verdict") == "rejected").select("changeset_id", "seq", "id", F.col("_status").alias("status"))
-    deferred = judged.where(F.col("_verdict") == "deferred").select(*changes.columns)
+    rejected = judged.where(F.col("verdict") == "rejected").select(*keys, "status")
+    deferred = changes.join(judged.where(F.col("verdict") == "deferred").select(*keys), keys, "left_semi").select(*changes.columns)
     return Commit(tables, written, rejected, deferred, reduce(lambda a, b: a.unionByName(b), logs))
 
 

@@ -15,15 +15,17 @@ BUCKETS = 256
 
 
 def postings(rows: DataFrame, text: Column | None = None) -> DataFrame:
-    """(tenant, type, id, token, tf).
+    """(id, token, tf).
 
-    Grouping by token *and* object spreads even the most frequent token over all tasks, and the
-    occurrences inside one object are merged before the shuffle.
+    Grouping by object *and* token spreads even the most frequent token over all tasks, and the
+    occurrences inside one object are merged before the shuffle. The outer explode keeps Spark
+    from adding a filter that would split every text a second time.
     """
     col = text if text is not None else F.col(SEARCH_TEXT)
     return (
-        rows.select("tenant", "type", "id", F.explode(tokens(col)).alias("token"))
-        .groupBy("tenant", "type", "id", "token")
+        rows.select("id", F.explode_outer(tokens(col)).alias("token"))
+        .where(F.col("token").isNotNull())
+        .groupBy("id", "token")
         .agg(F.count("*").alias("tf"))
     )
 

@@ -95,7 +95,7 @@ def commit_atomic(s: ObjectStore) -> DataFrame:
 
     live = (F.col("tenant") == s.tenant) & F.col("deleted_at").isNull()
     judged = judge(s.table("Order").select("id", "version", live.alias("live")), order_batch(s))
-    return judged.groupBy("changeset_id").agg(F.count("*").alias("members"), F.min(F.col("_verdict") == "accepted").alias("accepted"))
+    return judged.groupBy("changeset_id").agg(F.count("*").alias("members"), F.min(F.col("verdict") == "accepted").alias("accepted"))
 
 
 @query(

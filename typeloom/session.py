@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,6 +39,15 @@ def work_dir(spark: SparkSession) -> str:
     return root
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with every column worked out exactly once.
+
+    A filter on a computed column is otherwise pushed into the projection below it, which repeats
+    the column's whole expression in the filter; a generator's output is not pushed.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

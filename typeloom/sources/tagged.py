@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import lexical
 from ..model import ENVELOPE, Property, Schema
+from ..session import settled
 
 # The tag each datatype is written under.
 TAGS = {
@@ -108,7 +109,7 @@ def load_tagged(dump: DataFrame, schema: Schema, type_name: str) -> tuple[DataFr
         )
         .when(F.size(wrong) > 0, F.concat(F.lit("value does not fit: "), F.array_join(wrong, ",")))
     )
-    judged = df.withColumn("_reason", reason)
+    judged = settled(df.select(*envelope, "props", *[p.name for p in props], reason.alias("_reason")))
     good = judged.where(F.col("_reason").isNull()).select(*envelope, *[p.name for p in props])
     rejects = judged.where(F.col("_reason").isNotNull()).select(*envelope, "props", F.col("_reason").alias("reason"))
     return good, rejects
