@@ -39,22 +39,25 @@ def require_changes(mutations: int, events: int = 0) -> None:
         raise EmptyChangeSet("a change set needs at least one mutation or event")
 
 
-def judge(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """(changeset_id, seq, id, status, verdict) of every change; verdict is accepted, rejected or deferred.
+def judge(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes with their own status, change sets that do not take effect).
+
+    First result: changeset_id, seq, id, status. Second: changeset_id, verdict (rejected or
+    deferred); all other sets are accepted.
 
     ``current`` holds (id, version, live); ``live`` is false for deleted and foreign objects. One
     bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
     touches an object of an earlier set still undecided is deferred, unless no outcome of the
     earlier sets could save it.
 
-    Only the few columns that decide are moved. Sets are judged through the distinct ids of bad
-    and waiting sets, never by gathering the members of a set, so a set of any size is as cheap
-    as many small ones.
+    Only the few columns that decide are moved, and they are written once. Sets are judged through
+    the distinct ids of bad and waiting sets, never by gathering the members of a set, so a set of
+    any size is as cheap as many small ones.
     """
     slim = changes.select("changeset_id", "seq", "id", "op", "expected_version")
     now = current.select("id", F.col("version").alias("now"), (~F.col("live")).alias("gone"))
-    per_id = slim.groupBy("changeset_id", "id").agg(F.count("*").alias("times"))
-    c = slim.join(now, "id", "left").join(per_id.where("times > 1"), ["changeset_id", "id"], "left")
+    doubled = slim.groupBy("changeset_id", "id").agg(F.count("*").alias("times")).where("times > 1")
+    c = slim.join(now, "id", "left").join(doubled, ["changeset_id", "id"], "left")
     creating, exists, twice = F.col("op") == "create", F.col("now").isNotNull(), F.col("times").isNotNull()
     status = (
         F.when(twice, F.lit("duplicate"))
@@ -65,56 +68,70 @@ def judge(current: DataFrame, changes: DataFrame) -> DataFrame:
         .otherwise(F.lit("ok"))
     )
     overtaken = exists & (creating | F.col("gone") | (F.col("expected_version") < F.col("now")))
-    c = c.select("changeset_id", "seq", "id", status.alias("status"), (twice | F.coalesce(overtaken, F.lit(False))).alias("hopeless"))
-
-    lost = c.where("hopeless").select("changeset_id").distinct().withColumn("lost", F.lit(True))
-    c = c.join(lost, "changeset_id", "left")
-    first = c.where(F.col("lost").isNull()).groupBy("id").agg(F.min("changeset_id").alias("first"))
-    c = c.join(first, "id", "left")
-    flags = c.groupBy("changeset_id").agg(
-        F.max(F.col("status") != "ok").alias("bad"),
-        F.max(F.coalesce(F.col("lost").isNull() & (F.col("changeset_id") > F.col("first")), F.lit(False))).alias("waits"),
-    )
-    verdict = (
-        F.when(F.col("lost"), F.lit("rejected"))
-        .when(F.col("waits"), F.lit("deferred"))
-        .when(F.col("bad"), F.lit("rejected"))
-        .otherwise(F.lit("accepted"))
-    )
-    return c.join(flags, "changeset_id").select("changeset_id", "seq", "id", "status", verdict.alias("verdict"))
+    hopeless = twice | F.coalesce(overtaken, F.lit(False))
+    rows = materialise(c.select("changeset_id", "seq", "id", status.alias("status"), hopeless.alias("hopeless")), "judged")
+
+    lost = rows.where("hopeless").select("changeset_id").distinct()
+    alive = rows.join(lost, "changeset_id", "left_anti")
+    contested = alive.groupBy("id").agg(F.min("changeset_id").alias("first"), F.max("changeset_id").alias("last")).where("first < last")
+    waits = alive.join(contested, "id").where(F.col("changeset_id") > F.col("first")).select("changeset_id").distinct()
+    bad = rows.where("status <> 'ok'").select("changeset_id").distinct()
+    marks = [(lost, "lost"), (waits, "waits"), (bad, "bad")]
+    marked = reduce(lambda a, b: a.unionByName(b), [sets.withColumn("mark", F.lit(m)) for sets, m in marks])
+    held = F.max(F.col("mark") == "waits") & ~F.max(F.col("mark") == "lost")
+    refused = marked.groupBy("changeset_id").agg(F.when(held, F.lit("deferred")).otherwise(F.lit("rejected")).alias("verdict"))
+    return rows.drop("hopeless"), refused
+
+
+def _created(store: ObjectStore, mine: DataFrame, props: list[str]) -> DataFrame:
+    at, by = F.col("at"), F.col("by")
+    out = {
+        "id": F.col("id"),
+        "tenant": F.lit(store.tenant),
+        "type": F.col("type"),
+        "version": F.lit(1).cast("long"),
+        "state": F.col("state"),
+        "created_at": at,
+        "created_by": by,
+        "updated_at": at,
+        "updated_by": by,
+        "deleted_at": F.lit(None).cast("timestamp"),
+    }
+    kept = [F.col(c) for c in _TRACE]
+    return mine.where(F.col("op") == "create").select(*[out[n].alias(n) for n in ENVELOPE], *props, *kept)
 
 
-def _new_version(base: DataFrame, accepted: DataFrame, tenant: str, props: list[str]) -> list[Column]:
-    """Columns of the row an accepted change leaves behind; aliases b (before) and c (change)."""
+def _modified(base: DataFrame, mine: DataFrame, props: list[str], how: str) -> DataFrame:
+    """Rows after their update or delete. With ``how`` = left the untouched rows are kept too."""
+    b, c = base.alias("b"), mine.where(F.col("op") != "create").alias("c")
     op = F.col("c.op")
-    touched = op.isNotNull()
-    deleting = op == "delete"
+    touched, updating = op.isNotNull(), op == "update"
 
     def pick(name: str) -> Column:
-        new, old = F.col(f"c.{name}"), F.col(f"b.{name}")
-        return F.when(op.isin("create", "update"), new).otherwise(old).alias(name)
+        return F.when(updating, F.col(f"c.{name}")).otherwise(F.col(f"b.{name}")).alias(name)
 
     out = {
-        "id": F.coalesce(F.col("b.id"), F.col("c.id")),
-        "tenant": F.coalesce(F.col("b.tenant"), F.lit(tenant)),
-        "type": F.coalesce(F.col("b.type"), F.col("c.type")),
-        "version": F.when(op == "create", F.lit(1)).when(touched, F.col("b.version") + 1).otherwise(F.col("b.version")).cast("long"),
+        "version": F.when(touched, F.col("b.version") + 1).otherwise(F.col("b.version")),
         "state": pick("state"),
-        "created_at": F.when(op == "create", F.col("c.at")).otherwise(F.col("b.created_at")),
-        "created_by": F.when(op == "create", F.col("c.by")).otherwise(F.col("b.created_by")),
         "updated_at": F.when(touched, F.col("c.at")).otherwise(F.col("b.updated_at")),
         "updated_by": F.when(touched, F.col("c.by")).otherwise(F.col("b.updated_by")),
-        "deleted_at": F.when(deleting, F.col("c.at")).otherwise(F.col("b.deleted_at")),
+        "deleted_at": F.when(op == "delete", F.col("c.at")).otherwise(F.col("b.deleted_at")),
     }
-    return [out[n].alias(n) for n in ENVELOPE] + [pick(p) for p in props]
+    envelope = [(out[n] if n in out else F.col(f"b.{n}")).alias(n) for n in ENVELOPE]
+    trace = [F.col(f"c.{n}") for n in _TRACE]
+    return b.join(c, F.col("b.id") == F.col("c.id"), how).select(*envelope, *[pick(p) for p in props], *trace)
+
+
+# Columns of the change that an event needs besides the row it left behind.
+_TRACE = ("changeset_id", "seq", "op", "at")
 
 
-def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep_judgement: bool = False) -> Commit:
+def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep: bool = False) -> Commit:
     """One round over a batch of change sets that touch objects of ``types``.
 
     ``changes``: changeset_id, seq, op (create, update, delete), id, type, expected_version,
-    state, at, by and one column per property; an update replaces all properties.
-    With ``keep_judgement`` the verdicts are written once and reused by all results.
+    state, at, by and one column per property; an update replaces all properties. With ``keep`` the
+    written rows are stored once and serve the tables, the versions and the log alike.
     """
     names = store.concrete(*types)
     live = (F.col("tenant") == store.tenant) & F.col("deleted_at").isNull()
@@ -122,29 +139,28 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep_judg
         lambda a, b: a.unionByName(b),
         [store.table(n).select("id", "version", live.alias("live")) for n in names],
     )
-    judged = judge(current, changes)
-    if keep_judgement:
-        judged = materialise(judged, "judged")
-    keys = ["changeset_id", "seq", "id"]
-    accepted = changes.join(judged.where(F.col("verdict") == "accepted").select(*keys), keys, "left_semi").select(*changes.columns)
+    judged, refused = judge(current, changes)
+    accepted = changes.join(refused.select("changeset_id"), "changeset_id", "left_anti")
     tables, written, logs = {}, {}, []
     for n in names:
         props = [p.name for p in store.schema.properties(n)]
-        base = store.table(n).alias("b")
         mine = accepted.where(F.col("type") == store.schema.type(n).iri)
         for p in store.schema.properties(n):
             if p.name not in mine.columns:
                 mine = mine.withColumn(p.name, F.lit(None).cast(p.spark_type))
-        mine = mine.alias("c")
-        # At most one accepted change per object: both sides are unique on the id.
-        joined = base.join(mine, F.col("b.id") == F.col("c.id"), "full_outer")
-        tables[n] = joined.select(*_new_version(base, mine, store.tenant, props))
-        touched = base.join(mine, F.col("b.id") == F.col("c.id"), "right")
-        changed = touched.select(*_new_version(base, mine, store.tenant, props), "c.changeset_id", "c.seq", "c.op", F.col("c.at").alias("_at"))
-        written[n] = changed.drop("changeset_id", "seq", "op", "_at")
+        # At most one accepted change per object, so both sides of the joins are unique on the id;
+        # a batch that is small beside the table is broadcast and the table stays where it is.
+        created = _created(store, mine, props)
+        changed = _modified(store.table(n), mine, props, "inner").unionByName(created)
+        if keep:
+            changed = materialise(changed, f"versions-{n}")
+            tables[n] = store.table(n).join(changed.select("id"), "id", "left_anti").select(*changed.columns[: -len(_TRACE)]).unionByName(changed.drop(*_TRACE))
+        else:
+            tables[n] = _modified(store.table(n), mine, props, "left").unionByName(created).drop(*_TRACE)
+        written[n] = changed.drop(*_TRACE)
         logs.append(_events(store, n, changed))
-    rejected = judged.where(F.col("verdict") == "rejected").select(*keys, "status")
-    deferred = changes.join(judged.where(F.col("verdict") == "deferred").select(*keys), keys, "left_semi").select(*changes.columns)
+    rejected = judged.join(refused.where("verdict = 'rejected'"), "changeset_id").select("changeset_id", "seq", "id", "status")
+    deferred = changes.join(refused.where("verdict = 'deferred'"), "changeset_id", "left_semi").select(*changes.columns)
     return Commit(tables, written, rejected, deferred, reduce(lambda a, b: a.unionByName(b), logs))
 
 
@@ -162,7 +178,7 @@ def _events(store: ObjectStore, type_name: str, changed: DataFrame) -> DataFrame
         "type",
         "version",
         F.lit(store.ontology_version).cast("long").alias("ontology_version"),
-        F.col("_at").alias("occurred_at"),
+        F.col("at").alias("occurred_at"),
         snapshot.alias("payload"),
     )
 
@@ -178,15 +194,14 @@ def apply_all(store: ObjectStore, changes: DataFrame, *types: str) -> tuple[Obje
     names = store.concrete(*types)
     base = {n: store.table(n) for n in names}
     written: dict[str, DataFrame] = {}
-    rejected, log, pending = None, None, changes
+    rejected, log, pending = None, None, materialise(changes, "changes")
     while True:
-        result = apply_changes(store, pending, *types, keep_judgement=True)
+        result = apply_changes(store, pending, *types, keep=True)
         for n in names:
-            rows = materialise(result.versions[n], f"versions-{n}")
+            rows = result.versions[n]
             written[n] = written[n].unionByName(rows) if n in written else rows
-        part_r, part_l = materialise(result.rejected, "rejected"), materialise(result.log, "log")
-        rejected = part_r if rejected is None else rejected.unionByName(part_r)
-        log = part_l if log is None else log.unionByName(part_l)
+        rejected = result.rejected if rejected is None else rejected.unionByName(result.rejected)
+        log = result.log if log is None else log.unionByName(result.log)
         pending = materialise(result.deferred, "deferred")
         for n in names:
             store = store.with_table(n, overlay(base[n], written[n]))

@@ -94,8 +94,10 @@ def commit_atomic(s: ObjectStore) -> DataFrame:
     from ..operators.commit import judge
 
     live = (F.col("tenant") == s.tenant) & F.col("deleted_at").isNull()
-    judged = judge(s.table("Order").select("id", "version", live.alias("live")), order_batch(s))
-    return judged.groupBy("changeset_id").agg(F.count("*").alias("members"), F.min(F.col("verdict") == "accepted").alias("accepted"))
+    batch = order_batch(s)
+    judged, refused = judge(s.table("Order").select("id", "version", live.alias("live")), batch)
+    sets = judged.groupBy("changeset_id").agg(F.count("*").alias("members"))
+    return sets.join(refused, "changeset_id", "left").select("changeset_id", "members", F.col("verdict").isNull().alias("accepted"))
 
 
 @query(

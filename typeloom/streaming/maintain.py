@@ -81,7 +81,7 @@ class Maintainer:
         start = self.store((batch_id, 0))
         while True:
             now = self.store((batch_id, step))
-            result = apply_changes(now, pending, *self.types, keep_judgement=True)
+            result = apply_changes(now, pending, *self.types, keep=True)
             for n in self.types:
                 written[n].append(self._write(n, result.versions[n], batch_id, step))
             self._log(result.log, "log", batch_id, step)
