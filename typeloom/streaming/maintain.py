@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Machine, Schema
 from ..operators import lifecycle as L
@@ -45,7 +46,8 @@ class Maintainer:
 
     def _delta(self, name: str) -> DataFrame | None:
         path = f"{self.root}/versions/{name}"
-        shape = self.base.table(name).schema.add("batch", "long").add("step", "long")
+        steps = [T.StructField("batch", T.LongType()), T.StructField("step", T.LongType())]
+        shape = T.StructType(self.base.table(name).schema.fields + steps)
         try:
             return self.spark.read.schema(shape).parquet(path)
         except Exception as err:  # nothing has been written for this type yet
