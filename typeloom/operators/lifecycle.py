@@ -110,7 +110,7 @@ def watch_candidates(store: ObjectStore, changes: DataFrame, machine: Machine) -
     A live changed object is a candidate itself; so is every object it references through a
     watched relationship declared on its type. A deleted object speaks through its last values.
     """
-    itself = changes.where(F.col("after").isNotNull()).select("id")
+    itself = changes.where(F.col("after").isNotNull() & F.col("id").isNotNull()).select("id")
     parts = [itself]
     watched = {w for _, t in machine.leaving("ON_CHANGE") for w in t.watch}
     fields = set(changes.schema["after"].dataType.names)

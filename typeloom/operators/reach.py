@@ -35,9 +35,3 @@ def closure(pairs: DataFrame) -> DataFrame:
         known = known.unionByName(fresh)
     return known
 
-
-def subtype_pairs(store: ObjectStore) -> DataFrame:
-    """(sub, super) over the declared types, each type included in itself."""
-    s = store.schema
-    rows = [(a.name, b.name) for a in s.types for b in s.types if s.is_subtype(a.name, b.name)]
-    return store.spark.createDataFrame(rows, "sub string, super string")

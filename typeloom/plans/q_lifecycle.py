@@ -154,8 +154,7 @@ def line_changes(s: ObjectStore) -> DataFrame:
 
 @query("watch_candidates", "SELECT DISTINCT \"order\" AS id FROM v_lineitem WHERE tenant = 'default'")
 def watch_candidates(s: ObjectStore) -> DataFrame:
-    c = L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
-    return c.where(F.col("id").isNotNull())
+    return L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
 
 
 @query(

@@ -15,7 +15,7 @@ def latest(rows: DataFrame, keys: list[str], version: str = "version") -> DataFr
     """
     rest = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
-    return best.select(*[F.col(k) if k in keys else F.col("_row")[k].alias(k) for k in rows.columns])
+    return best.select(*keys, "_row.*").select(*rows.columns)
 
 
 def overlay(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:

@@ -79,21 +79,29 @@ class Maintainer:
     def process(self, changes: DataFrame, batch_id: int) -> None:
         step = 0
         written: dict[str, list[DataFrame]] = {n: [] for n in self.types}
-        pending = materialise(changes, "feed")
+        known = [self.schema.type(n).iri for n in self.types]
+        pending = materialise(changes.where(F.col("type").isin(*known)), "feed")
+        foreign = changes.where(~F.coalesce(F.col("type").isin(*known), F.lit(False)))
+        self._log(foreign.select("changeset_id", "seq", "id", F.lit("unknown_type").alias("status")), "rejected", batch_id, -1)
         start = self.store((batch_id, 0))
         while True:
             now = self.store((batch_id, step))
-            result = apply_changes(now, pending, *self.types, keep=True)
-            for n in self.types:
+            # Type names only: no more of them than the schema declares.
+            present = {r["type"] for r in pending.select("type").distinct().collect()}
+            types = [n for n in self.types if self.schema.type(n).iri in present]
+            if not types:
+                break
+            result = apply_changes(now, pending, *types, keep=True)
+            for n in types:
                 written[n].append(self._write(n, result.versions[n], batch_id, step))
             self._log(result.log, "log", batch_id, step)
             self._log(result.rejected, "rejected", batch_id, step)
             step += 1
             pending = materialise(result.deferred, "deferred")
-            if pending.isEmpty():
-                break
-        touched = {n: reduce(lambda a, b: a.unionByName(b), parts) for n, parts in written.items()}
+        touched = self._union(written, start)
         for _ in range(self.rounds):
+            if all(t.isEmpty() for t in touched.values()):
+                break
             now = self.store((batch_id, step))
             fresh: dict[str, list[DataFrame]] = {n: [] for n in self.types}
             for n in self.types:
@@ -108,10 +116,10 @@ class Maintainer:
                 rows = self._react(start, after, seen, m, batch_id, step)
                 fresh[name].append(self._write(name, rows, batch_id, step))
             step += 1
-            start = now
-            touched = {n: reduce(lambda a, b: a.unionByName(b), parts) if parts else after.table(n).limit(0) for n, parts in fresh.items()}
-            if all(t.isEmpty() for t in touched.values()):
-                break
+            start, touched = now, self._union(fresh, after)
+
+    def _union(self, parts: dict[str, list[DataFrame]], shape: ObjectStore) -> dict[str, DataFrame]:
+        return {n: reduce(lambda a, b: a.unionByName(b), p) if p else shape.table(n).limit(0) for n, p in parts.items()}
 
     def _images(self, start: ObjectStore, touched: DataFrame, name: str) -> DataFrame:
         """(id, type, before, after) of the objects of one type written since ``start``."""
