@@ -66,3 +66,18 @@ def test_timers_over_chunk_borders(spark):
 def test_nothing_to_fold(spark):
     df = spark.createDataFrame([], "id string, ts timestamp, seq long, command string, value double")
     assert fold(df, ACCOUNT_MACHINE).count() == 0
+
+
+def test_batches_of_a_feed_continue_each_other(spark, tmp_path):
+    from typeloom.streaming.histories import HistoryKeeper
+
+    rows = sorted(commands(8, n=600), key=lambda r: (r[1], r[2]))
+    shape = "id string, ts timestamp, seq long, command string, value double"
+    keeper = HistoryKeeper(spark, ACCOUNT_MACHINE, str(tmp_path))
+    for i in range(3):
+        keeper.process(spark.createDataFrame(rows[i * 200 : (i + 1) * 200], shape), i)
+    keeper.process(spark.createDataFrame(rows[200:400], shape), 1)  # handed over again
+    want = {s: (a, b) for s, (a, b, fired) in loop(rows).items() if fired}
+    got = spark.read.parquet(str(tmp_path / "log"))
+    assert {r["seq"]: (r["from_state"], r["to_state"]) for r in got.collect()} == want
+    assert got.count() == len(want)

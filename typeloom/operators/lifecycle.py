@@ -151,11 +151,20 @@ def _drop_hit(column: str) -> Column:
 # ---------------------------------------------------------------- histories
 
 
-def fold(commands: DataFrame, machine: Machine, key: str = "id", order: tuple[str, ...] = ("ts", "seq"), partitions: int | None = None) -> DataFrame:
+def fold(
+    commands: DataFrame,
+    machine: Machine,
+    key: str = "id",
+    order: tuple[str, ...] = ("ts", "seq"),
+    partitions: int | None = None,
+    start: DataFrame | None = None,
+) -> DataFrame:
     """Every command with the state it met, the state it left and whether it fired.
 
     Commands with no matching transition, or whose guard fails, leave the state as it is. Guards
-    read the command's own columns. See :mod:`ordered` for how hot objects are spread.
+    read the command's own columns. ``start`` (key, state) holds the states to begin with where
+    they are not the machine's initial one; it enters as a first command that sets the state.
+    See :mod:`ordered` for how hot objects are spread.
     """
     states = list(machine.states)
     steps = [t for _, t in machine.leaving() if t.trigger in ("USER_ACTION", "EXTERNAL_SIGNAL")]
@@ -169,7 +178,18 @@ def fold(commands: DataFrame, machine: Machine, key: str = "id", order: tuple[st
         for t in reversed([t for t in steps if t.source == s]):
             target = F.when(hits(t), F.lit(states.index(t.target))).otherwise(target)
         moves.append(target)
-    run = fold_states(commands, key, list(order), states, moves, machine.initial, partitions)
+    rows, by = commands, list(order)
+    if start is not None:
+        names = F.array(*[F.lit(s) for s in states])
+        known = start.join(commands.select(key).distinct(), key, "left_semi")
+        first = known.select(key, (F.array_position(names, F.col("state")) - 1).cast("int").alias("_begin"))
+        rows = commands.withColumn("_begin", F.lit(None).cast("int")).unionByName(first, allowMissingColumns=True)
+        rows = rows.withColumn("_turn", F.col("_begin").isNull().cast("int"))
+        by = ["_turn", *by]
+        moves = [F.coalesce(F.col("_begin"), m) for m in moves]
+    run = fold_states(rows, key, by, states, moves, machine.initial, partitions)
+    if start is not None:
+        run = run.where("_turn = 1").drop("_turn", "_begin")
     fired = _any([(F.col("from_state") == t.source) & hits(t) for t in steps])
     return run.withColumn("fired", fired)
 

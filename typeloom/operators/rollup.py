@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Rollup, Schema
+from ..session import materialise
 from ..sources.store import ObjectStore
 from .predicates import Criterion, conjunction, from_tree
 
@@ -61,7 +62,7 @@ def aggregate_rules(store: ObjectStore, rules: list[Rollup], only: DataFrame | N
     shared = [c for c in compiled[0][1] if all(c in cs for _, cs in compiled)]
     rows = pointed_at(store, source, via).where(conjunction(shared))
     if only is not None:
-        rows = rows.join(only.select(F.col("id").alias("target")), "target", "left_semi")
+        rows = rows.join(only.withColumnRenamed("id", "target"), "target", "left_semi")
     aggs = []
     for rule, cs in compiled:
         keep = F.coalesce(conjunction([c for c in cs if c not in shared]), F.lit(False))
@@ -118,12 +119,15 @@ def run_plugin(store: ObjectStore, name: str, targets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- derivation of a result set
 
 
-def derive(store: ObjectStore, objects: DataFrame, *types: str, rules: list[Rollup] | None = None) -> DataFrame:
+def derive(store: ObjectStore, objects: DataFrame, *types: str, rules: list[Rollup] | None = None, one_page: bool = False) -> DataFrame:
     """Objects of ``types`` with every derived property computed afresh.
 
     Rules over the same source and relationship share one aggregation; each object only receives
     the properties its own type derives. Stored copies of derived values are dropped first.
+    ``one_page`` says that ``objects`` is a browse page (500 rows at most): the sources are then
+    cut down to those objects, by a broadcast of their ids, before they are aggregated.
     """
+    only = F.broadcast(objects.select("id")) if one_page else None
     wanted = rules if rules is not None else [r for r in store.schema.rollups if any(
         store.schema.is_subtype(c.name, r.on_type) for c in store.schema.concrete(*types))]
     plugins = {} if rules is not None else {
@@ -133,7 +137,7 @@ def derive(store: ObjectStore, objects: DataFrame, *types: str, rules: list[Roll
     for r in wanted:
         groups[(r.source, r.via)].append(r)
     for group in groups.values():
-        out = out.join(aggregate_rules(store, group), "id", "left")
+        out = out.join(aggregate_rules(store, group, only), "id", "left")
     for r in wanted:
         mine = [t.iri for t in store.schema.concrete(r.on_type)]
         owns = F.col("type").isin(*mine)
@@ -179,6 +183,7 @@ def recompute(store: ObjectStore, affected: DataFrame, rule: Rollup, semi_join_f
     """
     mine = affected.where(F.col("property") == rule.property).select("id")
     if semi_join_first is None:
+        mine = materialise(mine, "affected")  # read three times below
         semi_join_first = mine.limit(SMALL_SET + 1).count() <= SMALL_SET
     only = F.broadcast(mine) if semi_join_first else None
     fresh = aggregate_rules(store, [rule], only=only).select("id", F.col(rule.property).alias("new"))

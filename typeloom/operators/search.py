@@ -77,6 +77,15 @@ def lookup(index: DataFrame, text: str) -> DataFrame:
     )
 
 
+def ranked(store: ObjectStore, index: DataFrame, text: str, *types: str) -> DataFrame:
+    """Live objects that hold every query token, with their score, best first.
+
+    The index finds and scores them, so no text is read.
+    """
+    hits = store.scan(*types).join(lookup(index, text), "id")
+    return hits.orderBy(F.col("score").desc(), F.col("created_at").asc(), F.col("id").asc())
+
+
 def upsert(index: DataFrame, changed: DataFrame, text: Column | None = None) -> DataFrame:
     """Index after the objects in ``changed`` were rewritten; deleted ones lose their rows."""
     live = changed.where(F.col("deleted_at").isNull())

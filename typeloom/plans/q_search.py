@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.browse import SCORE, BrowseSpec, facets, matching, page, resolve
-from ..operators.search import build_index, lookup, upsert
+from ..operators.search import build_index, lookup, ranked, upsert
 from ..sources.store import ObjectStore
 from .registry import query
 
@@ -60,6 +60,17 @@ def search_by_index(s: ObjectStore) -> DataFrame:
     return lookup(build_index(s, "Document"), TEXT)
 
 
+@query(
+    "search_ranked_by_index",
+    f"SELECT id, lang, {_SCORE} AS score, row_number() OVER (ORDER BY {_SCORE} DESC, created_at, id) AS pos FROM tok WHERE {_MATCH} ORDER BY pos LIMIT 100",
+    _TOK,
+)
+def search_ranked_by_index(s: ObjectStore) -> DataFrame:
+    top = ranked(s, build_index(s, "Document"), TEXT, "Document").limit(100)
+    at = top.select("id", "lang", "score", F.monotonically_increasing_id().alias("_at"))
+    return at.withColumn("pos", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
 @query(
     "search_index_upsert",
     "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token "

@@ -10,6 +10,7 @@ from ..operators.rollup import affected_targets, recompute
 from ..session import fresh_path
 from ..sources.store import SEARCH_TEXT, ObjectStore
 from ..streaming import streams as S
+from ..streaming.histories import HistoryKeeper
 from ..streaming.lifecycle import lifecycle_stream
 from .demo import ACCOUNT_MACHINE, BASE, TYPE_NO, ref
 from .q_lifecycle import _FOLD
@@ -111,3 +112,12 @@ def stream_search_index(s: ObjectStore) -> DataFrame:
     )
     S.run_batches(docs.where(F.col("_key") % 10 != 0).drop("_key"), "index", S.maintain_index(path))
     return S.read_maintained(s.spark, path).select("token", "id", "tf")
+
+
+@query("stream_history", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
+def stream_history(s: ObjectStore) -> DataFrame:
+    """The lifecycle again, folded batch by batch in chunks."""
+    keeper = HistoryKeeper(s.spark, ACCOUNT_MACHINE, fresh_path(s.spark, "history"))
+    S.run_batches(_commands(s), "history", keeper.process)
+    log = s.spark.read.parquet(f"{keeper.root}/log")
+    return log.select("id", "seq", F.col("command").alias("transition"), "from_state", "to_state")
