@@ -253,32 +253,35 @@ def events(fired: DataFrame, machine: Machine) -> DataFrame:
     )
 
 
-def _with_action(fired: DataFrame, machine: Machine, kind: str) -> list[tuple[DataFrame, Action, int]]:
+def _with_action(machine: Machine, kind: str) -> list[tuple[Column, Action, int]]:
+    """(condition on a fired row, action, its position) for every action of one kind."""
     found = []
     for _, t in machine.leaving():
-        for i, a in enumerate(t.actions):
-            if a.kind == kind:
-                rows = fired.where((F.col("transition") == t.name) & (F.col("from_state") == t.source))
-                found.append((rows, a, i))
+        here = (F.col("transition") == t.name) & (F.col("from_state") == t.source)
+        found += [(here, a, i) for i, a in enumerate(t.actions) if a.kind == kind]
     return found
 
 
+def _each(cells: list[Column]) -> Column:
+    """One output row per cell that applies: the fired rows are read once for all actions."""
+    return F.explode(F.array_compact(F.array(*cells)))
+
+
 def set_properties(store: ObjectStore, objects: DataFrame, fired: DataFrame, machine: Machine) -> DataFrame:
     """(id, property, old, new) as text for every set_property action that changes a live object.
 
     The value comes from a literal or from an expression over the object as it was when it fired.
     """
-    parts = []
-    for rows, a, _ in _with_action(fired, machine, "set_property"):
+    actions = _with_action(machine, "set_property")
+    now = objects.select("id", *[F.col(n).alias(f"_now_{n}") for n in sorted({a.property for _, a, _ in actions})])
+    cells = []
+    for here, a, _ in actions:
         kind = store.schema.lookup(machine.type, a.property).scalar_type
         new = (F.lit(a.literal) if a.expression is None else templates.value(a.expression, "self")).cast(kind)
-        wanted = rows.select("id", new.alias("_new"))
-        now = objects.select("id", F.col(a.property).alias("_old"))
-        diff = now.join(wanted, "id").where(~F.col("_new").eqNullSafe(F.col("_old")))
-        parts.append(
-            diff.select("id", F.lit(a.property).alias("property"), F.col("_old").cast("string").alias("old"), F.col("_new").cast("string").alias("new"))
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        old = F.col(f"_now_{a.property}")
+        differs = F.struct(F.lit(a.property).alias("property"), old.cast("string").alias("old"), new.cast("string").alias("new"))
+        cells.append(F.when(here & ~new.eqNullSafe(old), differs))
+    return fired.join(now, "id").select("id", _each(cells).alias("c")).select("id", "c.property", "c.old", "c.new")
 
 
 def create_objects(store: ObjectStore, fired: DataFrame, machine: Machine, entry_id: Column) -> dict[str, DataFrame]:
@@ -287,17 +290,22 @@ def create_objects(store: ObjectStore, fired: DataFrame, machine: Machine, entry
     The id follows from the fired entry and the action's position, and objects that exist already
     are left out, so running the same rows again creates nothing twice.
     """
+    actions = _with_action(machine, "create_object")
     out: dict[str, DataFrame] = {}
-    for rows, a, i in _with_action(fired, machine, "create_object"):
-        given = dict(a.assignments)
-        props = []
-        for p in store.schema.properties(a.create_type):
-            value = templates.value(given[p.name], "self") if p.name in given else F.lit(None)
-            props.append(value.cast(p.spark_type).alias(p.name))
+    for name in dict.fromkeys(store.schema.type(a.create_type).name for _, a, _ in actions):
+        props = store.schema.properties(name)
+        cells = []
+        for here, a, i in actions:
+            if store.schema.type(a.create_type).name != name:
+                continue
+            given = dict(a.assignments)
+            values = [(templates.value(given[p.name], "self") if p.name in given else F.lit(None)).cast(p.spark_type).alias(p.name) for p in props]
+            cells.append(F.when(here, F.struct(derived_id(entry_id, F.lit(i)).alias("id"), *values)))
+        rows = fired.select("tenant", "at", _each(cells).alias("o"))
         envelope = {
-            "id": derived_id(entry_id, F.lit(i)),
+            "id": F.col("o.id"),
             "tenant": F.col("tenant"),
-            "type": F.lit(store.schema.type(a.create_type).iri),
+            "type": F.lit(store.schema.type(name).iri),
             "version": F.lit(1).cast("long"),
             "state": F.lit(None).cast("string"),
             "created_at": F.col("at"),
@@ -306,29 +314,27 @@ def create_objects(store: ObjectStore, fired: DataFrame, machine: Machine, entry
             "updated_by": F.lit("automation"),
             "deleted_at": F.lit(None).cast("timestamp"),
         }
-        fresh = rows.select(*[envelope[n].alias(n) for n in ENVELOPE], *props)
-        fresh = fresh.join(store.table(a.create_type).select("id"), "id", "left_anti").select(*fresh.columns)
-        name = store.schema.type(a.create_type).name
-        out[name] = out[name].unionByName(fresh) if name in out else fresh
+        fresh = rows.select(*[envelope[n].alias(n) for n in ENVELOPE], *[F.col("o")[p.name].alias(p.name) for p in props])
+        out[name] = fresh.join(store.table(name).select("id"), "id", "left_anti").select(*fresh.columns)
     return out
 
 
 def messages(fired: DataFrame, machine: Machine) -> DataFrame:
     """(id, version, kind, method, url, text): log lines and web requests, rendered but not sent."""
-    parts = []
+    nothing = F.lit(None).cast("string")
+    cells = []
     for kind in ("log", "webhook"):
-        for rows, a, _ in _with_action(fired, machine, kind):
+        for here, a, _ in _with_action(machine, kind):
             text = a.message if kind == "log" else a.body
-            parts.append(
-                rows.select(
-                    "id",
-                    "version",
-                    F.lit(kind).alias("kind"),
-                    F.lit(a.method).cast("string").alias("method"),
-                    (templates.render(a.url, "self") if a.url else F.lit(None).cast("string")).alias("url"),
-                    (templates.render(text, "self") if text is not None else F.lit(None).cast("string")).alias("text"),
+            cells.append(
+                F.when(
+                    here,
+                    F.struct(
+                        F.lit(kind).alias("kind"),
+                        F.lit(a.method).cast("string").alias("method"),
+                        (templates.render(a.url, "self") if a.url else nothing).alias("url"),
+                        (templates.render(text, "self") if text is not None else nothing).alias("text"),
+                    ),
                 )
             )
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
+    return fired.select("id", "version", _each(cells).alias("m")).select("id", "version", "m.*")

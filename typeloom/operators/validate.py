@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import NUMERIC, Property
@@ -112,10 +112,11 @@ def structural(store: ObjectStore, rows: DataFrame, type_name: str, among: tuple
 def first_failing_stage(staged: DataFrame) -> DataFrame:
     """Keep, per object, only the violations of the earliest stage that has any.
 
-    ``staged`` carries a column ``stage`` with its position in ``STAGES``.
+    ``staged`` carries a column ``stage`` with its position in ``STAGES``. The window is over the
+    violations of one object, of which there are no more than its row can hold.
     """
-    first = staged.groupBy("id").agg(F.min("stage").alias("_first"))
-    return staged.join(first, "id").where(F.col("stage") == F.col("_first")).drop("_first")
+    first = F.min("stage").over(Window.partitionBy("id"))
+    return staged.withColumn("_first", first).where(F.col("stage") == F.col("_first")).drop("_first")
 
 
 def validate(store: ObjectStore, rows: DataFrame, type_name: str, create: bool = True, among: tuple[str, ...] = (), coercion: DataFrame | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ class ObjectStore:
 
         Name the types the ids can have where they are known: the other tables are then not read.
         """
-        return self.read_many(ids.select("id").distinct(), *types, columns=["id", "type"])
+        return self.read_many(ids, *types, columns=["id", "type"])
 
     def read_typed(self, requests: DataFrame, *types: str) -> DataFrame:
         """Objects for (id, requested type) pairs whose stored type is that type or below it."""
