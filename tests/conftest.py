@@ -37,6 +37,4 @@ def spark():
 def store(spark):
     from typeloom.plans.demo import open_store
 
-    s = open_store(spark, SF)
-    s.sf_dir = SF
-    return s
+    return open_store(spark, SF)

@@ -35,13 +35,14 @@ def searchable_text(properties: list[Property]) -> Column:
     return F.concat_ws(" ", *parts) if parts else F.lit("")
 
 
-def _words(text: str | None) -> dict[str, int]:
+def query_words(text: str | None) -> dict[str, int]:
+    """Distinct query tokens with how often the query repeats them."""
     return Counter(query_tokens(text))
 
 
 def matches(toks: Column, text: str | None) -> Column:
     """True where every query token occurs; a query without tokens matches nothing."""
-    wanted = _words(text)
+    wanted = query_words(text)
     if not wanted:
         return F.lit(False)
     return reduce(lambda a, b: a & b, [F.array_contains(toks, w) for w in wanted])
@@ -49,7 +50,7 @@ def matches(toks: Column, text: str | None) -> Column:
 
 def score(toks: Column, text: str | None) -> Column:
     """Occurrences of the query tokens, each counted as often as the query repeats it."""
-    wanted = _words(text)
+    wanted = query_words(text)
     if not wanted:
         return F.lit(0).cast("long")
 

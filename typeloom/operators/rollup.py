@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Rollup, Schema
 from ..session import materialise
@@ -33,7 +34,7 @@ def pointed_at(store: ObjectStore, source: str, via: str, include_deleted: bool
     return rows.withColumn("target", F.col(via)).where(F.col("target").isNotNull())
 
 
-def _aggregate(rule: Rollup, keep: Column) -> Column:
+def _aggregate(rule: Rollup, keep: Column, dtype: T.DataType | None) -> Column:
     """One conditional aggregate; the value stays missing where no source has one."""
     if rule.function == "COUNT":
         return F.count(F.when(keep, F.lit(1)))
@@ -46,8 +47,9 @@ def _aggregate(rule: Rollup, keep: Column) -> Column:
         case "MAX":
             return F.max(value)
         case "AVG":
-            # avg() of a decimal would round to four more digits; this keeps the exact quotient.
-            return F.sum(value).cast("double") / F.count(value)
+            # avg() of a decimal would round to four more digits, and a sum of longs could overflow.
+            exact = value if isinstance(dtype, T.DecimalType) else value.cast("decimal(38,0)")
+            return F.sum(exact).cast("double") / F.count(value)
     raise ValueError(rule.function)
 
 
@@ -66,7 +68,8 @@ def aggregate_rules(store: ObjectStore, rules: list[Rollup], only: DataFrame | N
     aggs = []
     for rule, cs in compiled:
         keep = F.coalesce(conjunction([c for c in cs if c not in shared]), F.lit(False))
-        aggs.append(_aggregate(rule, keep).alias(rule.property))
+        of = store.schema.lookup(source, rule.of) if rule.of else None
+        aggs.append(_aggregate(rule, keep, of.scalar_type if of else None).alias(rule.property))
     return rows.groupBy(F.col("target").alias("id")).agg(*aggs)
 
 

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import _words, tokens
+from ..functions.text import query_words, tokens
 from ..sources.store import SEARCH_TEXT, ObjectStore
 
 BUCKETS = 256
@@ -54,7 +54,7 @@ def write_index(index: DataFrame, path: str, files_per_bucket: int = 1) -> None:
 
 def read_index(spark: SparkSession, path: str, text: str) -> DataFrame:
     """Postings of the query's tokens; the bucket condition prunes directories."""
-    wanted = list(_words(text))
+    wanted = list(query_words(text))
     rows = spark.read.parquet(path)
     if not wanted:
         return rows.where(F.lit(False))
@@ -64,7 +64,7 @@ def read_index(spark: SparkSession, path: str, text: str) -> DataFrame:
 
 def lookup(index: DataFrame, text: str) -> DataFrame:
     """(id, score) of objects that hold every query token, found through the index alone."""
-    wanted = _words(text)
+    wanted = query_words(text)
     if not wanted:
         return index.select("id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
     weight = reduce(add, [F.when(F.col("token") == w, F.col("tf") * n).otherwise(F.lit(0)) for w, n in wanted.items()])

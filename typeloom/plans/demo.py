@@ -304,14 +304,22 @@ _LOADERS = {
 }
 
 
-def open_store(spark: SparkSession, sf_dir: str, tenant: str = TENANT) -> ObjectStore:
+class DemoStore(ObjectStore):
+    """The demo objects, with the folder of the given tables they are read from."""
+
+    sf_dir: str = ""
+
+
+def open_store(spark: SparkSession, sf_dir: str, tenant: str = TENANT) -> DemoStore:
     prepare(spark)
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     loaders = {name: (lambda f=f: f(table)) for name, f in _LOADERS.items()}
-    return ObjectStore(spark, SCHEMA, loaders, tenant)
+    store = DemoStore(spark, SCHEMA, loaders, tenant)
+    store.sf_dir = sf_dir
+    return store
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,11 @@ from ..operators.browse import (
     resolve,
     total,
 )
-from ..sources.store import ObjectStore
+from .demo import DemoStore
 from .registry import query
 
 
-def _page(s: ObjectStore, spec: BrowseSpec, *cols: str) -> DataFrame:
+def _page(s: DemoStore, spec: BrowseSpec, *cols: str) -> DataFrame:
     """One page with the position of every row in it; a page holds at most 500 rows."""
     q = resolve(s.schema, spec)
     rows = page(matching(s, q), q).select(*cols, F.monotonically_increasing_id().alias("_at"))
@@ -36,27 +36,27 @@ def _page_sql(cols: str, frm: str, order: str, size: int, number: int = 0) -> st
 
 
 @query("sort_multi", _page_sql("id, status", "l_order", "status ASC NULLS LAST, totalPrice DESC NULLS FIRST, id", 100))
-def sort_multi(s: ObjectStore) -> DataFrame:
+def sort_multi(s: DemoStore) -> DataFrame:
     return _page(s, BrowseSpec(("Order",), sort=("status", "-totalPrice"), size=100), "id", "status")
 
 
 @query("sort_nulls", _page_sql("id, priority", "l_order", "priority DESC NULLS FIRST, id", 500))
-def sort_nulls(s: ObjectStore) -> DataFrame:
+def sort_nulls(s: DemoStore) -> DataFrame:
     return _page(s, BrowseSpec(("Order",), sort=("-priority",), size=500), "id", "priority")
 
 
 @query("sort_reference", _page_sql("id, customer", "l_order", "customer ASC NULLS LAST, id", 200))
-def sort_reference(s: ObjectStore) -> DataFrame:
+def sort_reference(s: DemoStore) -> DataFrame:
     return _page(s, BrowseSpec(("Order",), sort=("customer",), size=200), "id", "customer")
 
 
 @query("page_default", _page_sql("id", "l_order", "created_at, id", 50))
-def page_default(s: ObjectStore) -> DataFrame:
+def page_default(s: DemoStore) -> DataFrame:
     return _page(s, BrowseSpec(("Order",)), "id")
 
 
 @query("page_n", _page_sql("id, status", "l_order", "totalPrice ASC NULLS LAST, id", 40, 3))
-def page_n(s: ObjectStore) -> DataFrame:
+def page_n(s: DemoStore) -> DataFrame:
     return _page(s, BrowseSpec(("Order",), sort=("totalPrice",), size=40, page=3), "id", "status")
 
 
@@ -68,7 +68,7 @@ _OVERRUN = BrowseSpec(("Order",), (("status", "eq", "P"),), size=500, page=4_000
     "SELECT (SELECT count(*) FROM l_order WHERE status = 'P') AS total, "
     "(SELECT count(*) FROM (SELECT id FROM l_order WHERE status = 'P' ORDER BY id LIMIT 500 OFFSET 2000000000)) AS items",
 )
-def page_overrun(s: ObjectStore) -> DataFrame:
+def page_overrun(s: DemoStore) -> DataFrame:
     q = resolve(s.schema, _OVERRUN)
     rows = matching(s, q)
     counts = [rows.agg(F.count("*").alias("n"), F.lit("total").alias("k")), page(rows, q).agg(F.count("*").alias("n"), F.lit("items").alias("k"))]
@@ -77,7 +77,7 @@ def page_overrun(s: ObjectStore) -> DataFrame:
 
 
 @query("browse_total", "SELECT count(*) AS total, CAST(ceil(count(*) / 40.0) AS BIGINT) AS pages FROM l_order WHERE status IS DISTINCT FROM 'F'")
-def browse_total(s: ObjectStore) -> DataFrame:
+def browse_total(s: DemoStore) -> DataFrame:
     q = resolve(s.schema, BrowseSpec(("Order",), (("status", "ne", "F"),), size=40))
     return total(matching(s, q), 40)
 
@@ -86,12 +86,12 @@ def browse_total(s: ObjectStore) -> DataFrame:
     "ref_label",
     "SELECT o.id, c.name AS label FROM (SELECT * FROM v_order WHERE tenant = 'default') o JOIN l_customer c ON o.customer = c.id",
 )
-def ref_label(s: ObjectStore) -> DataFrame:
+def ref_label(s: DemoStore) -> DataFrame:
     rows = s.scan("Order", include_deleted=True).select("id", "customer")
     return label_join(s, rows, s.schema.lookup("Order", "customer")).select("id", "label")
 
 
-def _facets(s: ObjectStore, *names: str, filters: tuple = (), text: str | None = None, types: tuple[str, ...] = ("Order",)) -> DataFrame:
+def _facets(s: DemoStore, *names: str, filters: tuple = (), text: str | None = None, types: tuple[str, ...] = ("Order",)) -> DataFrame:
     return facets(s, resolve(s.schema, BrowseSpec(types, filters, text=text, facets=names)))
 
 
@@ -99,7 +99,7 @@ def _facets(s: ObjectStore, *names: str, filters: tuple = (), text: str | None =
     "facet_scalar",
     "SELECT 'priority' AS facet, priority AS value, count(*) AS n FROM l_order WHERE status IS DISTINCT FROM 'F' AND priority IS NOT NULL GROUP BY priority",
 )
-def facet_scalar(s: ObjectStore) -> DataFrame:
+def facet_scalar(s: DemoStore) -> DataFrame:
     return _facets(s, "priority", filters=(("status", "ne", "F"),))
 
 
@@ -107,7 +107,7 @@ def facet_scalar(s: ObjectStore) -> DataFrame:
     "facet_multiselect",
     "SELECT 'status' AS facet, status AS value, count(*) AS n FROM l_order WHERE totalPrice > 90000 AND status IS NOT NULL GROUP BY status",
 )
-def facet_multiselect(s: ObjectStore) -> DataFrame:
+def facet_multiselect(s: DemoStore) -> DataFrame:
     """The facet's own selection does not reduce its counts."""
     return _facets(s, "status", filters=(("status", "in", "O,P"), ("totalPrice", "gt", "90000")))
 
@@ -116,7 +116,7 @@ def facet_multiselect(s: ObjectStore) -> DataFrame:
     "facet_reference",
     "SELECT 'customer' AS facet, c.name AS value, count(*) AS n FROM l_order o JOIN l_customer c ON o.customer = c.id WHERE o.status = 'O' GROUP BY c.name",
 )
-def facet_reference(s: ObjectStore) -> DataFrame:
+def facet_reference(s: DemoStore) -> DataFrame:
     return _facets(s, "customer", filters=(("status", "eq", "O"),))
 
 
@@ -131,7 +131,7 @@ _FACET_FILTERS = (("totalPrice", "gt", "50000"), ("status", "in", "O,F"), ("prio
 
 
 @query("facets_all", _FACETS_SQL)
-def facets_all(s: ObjectStore) -> DataFrame:
+def facets_all(s: DemoStore) -> DataFrame:
     return _facets(s, "status", "priority", "customer", filters=_FACET_FILTERS)
 
 
@@ -140,7 +140,7 @@ def facets_all(s: ObjectStore) -> DataFrame:
     "SELECT 'nation' AS facet, n.name AS value, count(*) AS n FROM (SELECT nation FROM l_customer UNION ALL SELECT nation FROM l_supplier) p "
     "JOIN l_nation n ON p.nation = n.id GROUP BY n.name UNION ALL SELECT 'segment', segment, count(*) FROM l_customer WHERE segment IS NOT NULL GROUP BY segment",
 )
-def facet_union_types(s: ObjectStore) -> DataFrame:
+def facet_union_types(s: DemoStore) -> DataFrame:
     return _facets(s, "nation", "segment", types=("Party",))
 
 
@@ -170,7 +170,7 @@ _FULL_SQL = (
 
 
 @query("browse_full", _FULL_SQL)
-def browse_full(s: ObjectStore) -> DataFrame:
+def browse_full(s: DemoStore) -> DataFrame:
     result = browse(s, FULL)
     # The union is a set of sections, so the order of the counts is not needed here.
     unordered = type(result)(result.items, result.total, facets(s, resolve(s.schema, FULL)))

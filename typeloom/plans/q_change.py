@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators.commit import apply_all, apply_changes
-from ..sources.store import ObjectStore
-from .demo import ref
+from .demo import DemoStore, ref
 from .q_read import stamp
 from .registry import query
 
@@ -16,7 +15,7 @@ _AT = "2024-07-01 12:00:00"
 PROPS = ("status", "priority", "totalPrice", "orderDate", "customer", "lineCount", "openLineCount")
 
 
-def order_batch(s: ObjectStore) -> DataFrame:
+def order_batch(s: DemoStore) -> DataFrame:
     """Changes to the orders: every fifth updated, deleted, or (some of them) doomed to fail.
 
     Ten neighbouring orders share a change set, so one bad member takes nine others with it.
@@ -60,7 +59,7 @@ _BATCH = (
     "FROM v_order o LEFT JOIN good g ON g.id = o.id",
     _BATCH,
 )
-def commit_apply(s: ObjectStore) -> DataFrame:
+def commit_apply(s: DemoStore) -> DataFrame:
     table = apply_changes(s, order_batch(s), "Order").tables["Order"]
     return table.select("id", "version", F.col("totalPrice").cast("double").alias("total"), "updated_by", stamp("deleted_at", "deleted"))
 
@@ -70,7 +69,7 @@ def commit_apply(s: ObjectStore) -> DataFrame:
     "SELECT g.id, CAST(2 AS BIGINT) AS version, g.op = 'delete' AS deleted FROM good g",
     _BATCH,
 )
-def commit_versions(s: ObjectStore) -> DataFrame:
+def commit_versions(s: DemoStore) -> DataFrame:
     rows = apply_changes(s, order_batch(s), "Order").versions["Order"]
     return rows.select("id", "version", (F.col("deleted_at") == F.lit(_AT).cast("timestamp")).alias("deleted")).fillna(False)
 
@@ -80,7 +79,7 @@ def commit_versions(s: ObjectStore) -> DataFrame:
     "SELECT CASE WHEN missing THEN '00000000-0000-4000-8006-' || lpad(lower(to_hex(k + 10000000)), 12, '0') ELSE id END AS id, own AS status FROM b WHERE own <> 'ok'",
     _BATCH,
 )
-def commit_conflicts(s: ObjectStore) -> DataFrame:
+def commit_conflicts(s: DemoStore) -> DataFrame:
     rejected = apply_changes(s, order_batch(s), "Order").rejected
     return rejected.where(F.col("status") != "ok").select("id", "status")
 
@@ -90,7 +89,7 @@ def commit_conflicts(s: ObjectStore) -> DataFrame:
     "SELECT changeset_id, count(*) AS members, max(CASE WHEN own <> 'ok' THEN 1 ELSE 0 END) = 0 AS accepted FROM b GROUP BY changeset_id",
     _BATCH,
 )
-def commit_atomic(s: ObjectStore) -> DataFrame:
+def commit_atomic(s: DemoStore) -> DataFrame:
     from ..operators.commit import judge
 
     live = (F.col("tenant") == s.tenant) & F.col("deleted_at").isNull()
@@ -106,7 +105,7 @@ def commit_atomic(s: ObjectStore) -> DataFrame:
     "CAST(2 AS BIGINT) AS version, g.op = 'delete' AS has_snapshot FROM good g JOIN v_order o ON o.id = g.id",
     _BATCH,
 )
-def changelog_emit(s: ObjectStore) -> DataFrame:
+def changelog_emit(s: DemoStore) -> DataFrame:
     log = apply_changes(s, order_batch(s), "Order").log
     return log.select("object_id", "changeset_id", "seq", "kind", "version", F.col("payload").isNotNull().alias("has_snapshot"))
 
@@ -116,7 +115,7 @@ def changelog_emit(s: ObjectStore) -> DataFrame:
     "SELECT id, CAST(1 + 2 * CAST(o_orderkey % 4 = 1 AS BIGINT) + CAST(o_orderkey % 4 = 2 AS BIGINT) AS BIGINT) AS version, "
     "CAST(totalPrice AS DOUBLE) + 2 * CAST(o_orderkey % 4 = 1 AS INTEGER) + CAST(o_orderkey % 4 = 2 AS INTEGER) AS total FROM l_order",
 )
-def commit_serial(s: ObjectStore) -> DataFrame:
+def commit_serial(s: DemoStore) -> DataFrame:
     """Two change sets per order in one batch: for some the second builds on the first, for others
     it is stale; the rest is left alone."""
     k = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
@@ -146,7 +145,7 @@ def commit_serial(s: ObjectStore) -> DataFrame:
 FIELDS = ["id", "status", "priority", "totalPrice"]
 
 
-def _old_new(s: ObjectStore) -> tuple[DataFrame, DataFrame]:
+def _old_new(s: DemoStore) -> tuple[DataFrame, DataFrame]:
     k = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
     old = s.scan("Order").select("id", "status", "priority", F.col("totalPrice").cast("double").alias("totalPrice"))
     raised = F.when(k % 5 == 1, F.col("totalPrice") + 1).otherwise(F.col("totalPrice"))
@@ -165,7 +164,7 @@ _OLD = (
     "SELECT id, status, priority, totalPrice, 'added' FROM new WHERE k % 5 = 1",
     _OLD,
 )
-def dataset_diff(s: ObjectStore) -> DataFrame:
+def dataset_diff(s: DemoStore) -> DataFrame:
     old, new = _old_new(s)
     return D.dataset_diff(old, new)
 
@@ -176,7 +175,7 @@ def dataset_diff(s: ObjectStore) -> DataFrame:
     "(SELECT status, 'r' AS c FROM old WHERE k % 5 IN (1, 2) UNION ALL SELECT status, 'a' FROM new WHERE k % 5 = 1) GROUP BY status",
     _OLD,
 )
-def dataset_diff_by_key(s: ObjectStore) -> DataFrame:
+def dataset_diff_by_key(s: DemoStore) -> DataFrame:
     old, new = _old_new(s)
     return D.diff_by_key(D.dataset_diff(old, new), "status")
 
@@ -186,7 +185,7 @@ def dataset_diff_by_key(s: ObjectStore) -> DataFrame:
     "SELECT id, status, priority, totalPrice FROM new UNION SELECT id, status, priority, totalPrice FROM old WHERE k % 15 = 2",
     _OLD,
 )
-def apply_delta(s: ObjectStore) -> DataFrame:
+def apply_delta(s: DemoStore) -> DataFrame:
     """The old rows with the difference applied; rows both removed and added stay."""
     old, new = _old_new(s)
     d = D.dataset_diff(old, new)
@@ -196,7 +195,7 @@ def apply_delta(s: ObjectStore) -> DataFrame:
     return D.apply_delta(old, added.unionByName(again), removed)
 
 
-def _three(s: ObjectStore) -> DataFrame:
+def _three(s: DemoStore) -> DataFrame:
     k = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
     base = s.scan("Order").select("id", "priority", "status", k.alias("k"))
     mine = F.when(F.col("k") % 24 == 0, F.lit("same")).when(F.col("k") % 3 == 0, F.lit("local")).otherwise(F.col("priority"))
@@ -219,7 +218,7 @@ _THREE = (
     "(local IS DISTINCT FROM base AND server IS DISTINCT FROM base AND local IS DISTINCT FROM server) AS conflict FROM d",
     _THREE,
 )
-def three_way_diff(s: ObjectStore) -> DataFrame:
+def three_way_diff(s: DemoStore) -> DataFrame:
     return _three(s)
 
 
@@ -228,5 +227,5 @@ def three_way_diff(s: ObjectStore) -> DataFrame:
     "SELECT * FROM (SELECT id, field, CASE WHEN local IS DISTINCT FROM base THEN local ELSE server END AS value FROM d) WHERE value IS NOT NULL",
     _THREE,
 )
-def three_way_merge(s: ObjectStore) -> DataFrame:
+def three_way_merge(s: DemoStore) -> DataFrame:
     return D.reapply_local(_three(s))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.browse import BrowseSpec, matching, resolve
-from ..sources.store import ObjectStore
+from .demo import DemoStore
 from .registry import query
 
 ORDER_COLS = ("id", "status", "priority")
 
 
-def _orders(s: ObjectStore, *filters: tuple) -> DataFrame:
+def _orders(s: DemoStore, *filters: tuple) -> DataFrame:
     rows = matching(s, resolve(s.schema, BrowseSpec(("Order",), filters)))
     return rows.select(*ORDER_COLS, F.col("totalPrice").cast("double").alias("total"), F.col("orderDate").cast("string").alias("day"))
 
@@ -44,7 +44,7 @@ for _name, (_filters, _where) in _CASES.items():
 
 
 @query("filter_in_table", "SELECT id, customer FROM l_order WHERE customer IN (SELECT customer FROM v_order WHERE status = 'P' AND totalPrice > 400000)")
-def filter_in_table(s: ObjectStore) -> DataFrame:
+def filter_in_table(s: DemoStore) -> DataFrame:
     """IN over values held in a table rather than a list: a semi-join."""
     wanted = s.table("Order").where((F.col("status") == "P") & (F.col("totalPrice") > 400000)).select("customer").distinct()
     return s.scan("Order").join(wanted, "customer", "left_semi").select("id", "customer")

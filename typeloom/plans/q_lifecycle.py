@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import derived_id, keyed_id
 from ..operators import lifecycle as L
 from ..operators.reach import closure, edges
-from ..sources.store import ObjectStore
-from .demo import ACCOUNT_MACHINE, ORDER_MACHINE, TYPE_NO, events
+from .demo import ACCOUNT_MACHINE, ORDER_MACHINE, TYPE_NO, DemoStore, events
 from .q_read import stamp
 from .registry import query
 
@@ -24,7 +23,7 @@ def _key(column: str = "id"):
     "SELECT o.id, t.transition FROM l_order o JOIN (VALUES ('Draft', 'activate'), ('Active', 'hold'), ('OnHold', 'resume'), ('Active', 'close'), "
     "('Active', 'autoClose'), ('Active', 'autoHold'), ('OnHold', 'expireHold'), ('Closed', 'reopen')) AS t(state, transition) ON t.state = o.state",
 )
-def available_transitions(s: ObjectStore) -> DataFrame:
+def available_transitions(s: DemoStore) -> DataFrame:
     return L.available(s.scan("Order"), ORDER_MACHINE).select("id", "transition")
 
 
@@ -36,12 +35,12 @@ def available_transitions(s: ObjectStore) -> DataFrame:
     "SELECT id, 'autoClose', openLineCount = 0 FROM l_order WHERE state = 'Active' UNION ALL "
     "SELECT id, 'autoHold', openLineCount = 1 FROM l_order WHERE state = 'Active')",
 )
-def guard_available(s: ObjectStore) -> DataFrame:
+def guard_available(s: DemoStore) -> DataFrame:
     guarded = [t.name for t in ORDER_MACHINE.transitions if t.guard]
     return L.available(s.scan("Order"), ORDER_MACHINE).where(F.col("transition").isin(*guarded))
 
 
-def order_commands(s: ObjectStore) -> DataFrame:
+def order_commands(s: DemoStore) -> DataFrame:
     """One user command per order, and a second, later one for every other order."""
     k = _key()
     first = F.element_at(F.array(*[F.lit(n) for n in ("activate", "hold", "resume", "close")]), (k % 4 + 1).cast("int"))
@@ -71,7 +70,7 @@ _COMMANDS = (
     "SELECT command_id, id, transition, CASE WHEN n = 2 AND st <> 'not_found' AND id IN (SELECT id FROM j WHERE n = 1 AND st = 'fired') THEN 'stale' ELSE st END AS status FROM j",
     _COMMANDS,
 )
-def fire_commands(s: ObjectStore) -> DataFrame:
+def fire_commands(s: DemoStore) -> DataFrame:
     return L.fire(s.scan("Order"), order_commands(s), ORDER_MACHINE).select("command_id", "id", "transition", "status")
 
 
@@ -81,13 +80,13 @@ def fire_commands(s: ObjectStore) -> DataFrame:
     "o.version + CAST(f.id IS NOT NULL AS BIGINT) AS version FROM l_order o LEFT JOIN (SELECT id, arg_min(transition, n) AS transition FROM j WHERE st = 'fired' GROUP BY id) f ON f.id = o.id",
     _COMMANDS,
 )
-def fire_moved(s: ObjectStore) -> DataFrame:
+def fire_moved(s: DemoStore) -> DataFrame:
     orders = s.scan("Order")
     decided = L.fire(orders, order_commands(s), ORDER_MACHINE)
     return L.moved(orders, decided.where(F.col("status") == "fired")).select("id", "state", "version")
 
 
-def account_commands(s: ObjectStore) -> DataFrame:
+def account_commands(s: DemoStore) -> DataFrame:
     e = events(s.spark, s.sf_dir)
     return e.select(
         keyed_id(TYPE_NO["Account"], F.col("user_id")).alias("id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("command"), "value"
@@ -104,12 +103,12 @@ _FOLD = (
 )
 
 
-def history(s: ObjectStore) -> DataFrame:
+def history(s: DemoStore) -> DataFrame:
     return L.fold(account_commands(s), ACCOUNT_MACHINE)
 
 
 @query("lifecycle_fold", "SELECT id, event_id AS seq, was AS from_state, state AS to_state, was <> state AS fired FROM done", _FOLD)
-def lifecycle_fold(s: ObjectStore) -> DataFrame:
+def lifecycle_fold(s: DemoStore) -> DataFrame:
     return history(s).select("id", "seq", "from_state", "to_state", "fired")
 
 
@@ -118,14 +117,14 @@ def lifecycle_fold(s: ObjectStore) -> DataFrame:
     "SELECT id, arg_max(state, rn) AS state, count(*) AS commands, sum(CASE WHEN was <> state THEN 1 ELSE 0 END)::BIGINT AS fired FROM done GROUP BY id",
     _FOLD,
 )
-def lifecycle_state(s: ObjectStore) -> DataFrame:
+def lifecycle_state(s: DemoStore) -> DataFrame:
     return history(s).groupBy("id").agg(
         F.max_by("to_state", F.struct("ts", "seq")).alias("state"), F.count("*").alias("commands"), F.sum(F.col("fired").cast("long")).alias("fired")
     )
 
 
 @query("transition_log", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
-def transition_log(s: ObjectStore) -> DataFrame:
+def transition_log(s: DemoStore) -> DataFrame:
     return L.transition_log(history(s)).select("id", "seq", F.col("command").alias("transition"), "from_state", "to_state")
 
 
@@ -139,12 +138,12 @@ AS_OF = "2024-01-29 00:00:00"
     f"WHERE state = 'OnHold' AND (nxt IS NULL OR nxt > ts + INTERVAL 72 HOUR) AND ts + INTERVAL 72 HOUR <= TIMESTAMP '{AS_OF}'",
     _FOLD,
 )
-def timer_due(s: ObjectStore) -> DataFrame:
+def timer_due(s: DemoStore) -> DataFrame:
     due = L.timers_due(history(s), ACCOUNT_MACHINE, F.lit(AS_OF).cast("timestamp"))
     return due.select("timer_key", stamp("entered_at", "entered"), stamp("due_at", "due"))
 
 
-def line_changes(s: ObjectStore) -> DataFrame:
+def line_changes(s: DemoStore) -> DataFrame:
     """Every line item as a change: two thirds written, one third deleted."""
     image = F.struct("order")
     gone = F.col("lineStatus") == "F"
@@ -153,7 +152,7 @@ def line_changes(s: ObjectStore) -> DataFrame:
 
 
 @query("watch_candidates", "SELECT DISTINCT \"order\" AS id FROM v_lineitem WHERE tenant = 'default'")
-def watch_candidates(s: ObjectStore) -> DataFrame:
+def watch_candidates(s: DemoStore) -> DataFrame:
     return L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
 
 
@@ -162,12 +161,12 @@ def watch_candidates(s: ObjectStore) -> DataFrame:
     "SELECT id, CASE WHEN openLineCount = 0 THEN 'autoClose' ELSE 'autoHold' END AS transition, CASE WHEN openLineCount = 0 THEN 'Closed' ELSE 'OnHold' END AS to_state, CAST(2 AS BIGINT) AS version "
     "FROM l_order WHERE state = 'Active' AND openLineCount IN (0, 1) AND id IN (SELECT \"order\" FROM v_lineitem WHERE tenant = 'default')",
 )
-def onchange_fire(s: ObjectStore) -> DataFrame:
+def onchange_fire(s: DemoStore) -> DataFrame:
     candidates = L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
     return L.fire_on_change(s.scan("Order"), candidates, ORDER_MACHINE, F.current_timestamp()).select("id", "transition", "to_state", "version")
 
 
-def order_signals(s: ObjectStore) -> DataFrame:
+def order_signals(s: DemoStore) -> DataFrame:
     k = _key()
     return s.scan("Order", include_deleted=True).select(
         k.alias("signal_id"), "id", F.when(k % 3 == 0, F.lit("refund")).otherwise(F.lit("reopen")).alias("signal"), F.lit("2024-07-01").cast("timestamp").alias("at")
@@ -178,12 +177,12 @@ def order_signals(s: ObjectStore) -> DataFrame:
     "signal_fire",
     "SELECT id, 'fired' AS outcome FROM l_order WHERE state = 'Closed' AND o_orderkey % 3 <> 0 UNION ALL SELECT id, 'unknown' FROM v_order WHERE tenant = 'default' AND o_orderkey % 3 = 0",
 )
-def signal_fire(s: ObjectStore) -> DataFrame:
+def signal_fire(s: DemoStore) -> DataFrame:
     fired, unknown = L.fire_signals(s.scan("Order"), order_signals(s), ORDER_MACHINE)
     return fired.select("id", F.lit("fired").alias("outcome")).unionByName(unknown.select("id", F.lit("unknown").alias("outcome")))
 
 
-def fired_orders(s: ObjectStore) -> DataFrame:
+def fired_orders(s: DemoStore) -> DataFrame:
     decided = L.fire(s.scan("Order"), order_commands(s), ORDER_MACHINE)
     return decided.where(F.col("status") == "fired").drop("status", "command_id")
 
@@ -198,7 +197,7 @@ _FIRED = _COMMANDS + ", f AS (SELECT o.*, w.transition FROM l_order o JOIN (SELE
     "UNION ALL SELECT id, 'TimerScheduled', 'expireHold' FROM f WHERE transition = 'hold' UNION ALL SELECT id, 'TimerCancelled', 'expireHold' FROM f WHERE transition = 'resume'",
     _FIRED,
 )
-def transition_events(s: ObjectStore) -> DataFrame:
+def transition_events(s: DemoStore) -> DataFrame:
     return L.events(fired_orders(s), ORDER_MACHINE).select("object_id", "kind", "name")
 
 
@@ -207,7 +206,7 @@ def transition_events(s: ObjectStore) -> DataFrame:
     "SELECT id, 'priority' AS property, priority AS old, '0-HELD' AS new FROM f WHERE transition = 'hold' AND priority IS DISTINCT FROM '0-HELD'",
     _FIRED,
 )
-def action_set_property(s: ObjectStore) -> DataFrame:
+def action_set_property(s: DemoStore) -> DataFrame:
     return L.set_properties(s, s.scan("Order"), fired_orders(s), ORDER_MACHINE)
 
 
@@ -216,7 +215,7 @@ def action_set_property(s: ObjectStore) -> DataFrame:
     "SELECT 'Kickoff: ' || status AS text, 'en' AS lang, CAST(1 AS BIGINT) AS version, tenant, state_is_null FROM (SELECT *, true AS state_is_null FROM f) WHERE transition = 'activate'",
     _FIRED,
 )
-def action_create_object(s: ObjectStore) -> DataFrame:
+def action_create_object(s: DemoStore) -> DataFrame:
     fired = fired_orders(s)
     new = L.create_objects(s, fired, ORDER_MACHINE, F.concat_ws("/", "id", F.col("version").cast("string")))["Document"]
     return new.select("text", "lang", "version", "tenant", F.col("state").isNull().alias("state_is_null"))
@@ -228,7 +227,7 @@ def action_create_object(s: ObjectStore) -> DataFrame:
     "UNION ALL SELECT id, 'log', NULL, NULL, 'resumed ' || id || ' with ' || coalesce(priority, '') FROM f WHERE transition = 'resume'",
     _FIRED,
 )
-def render_message(s: ObjectStore) -> DataFrame:
+def render_message(s: DemoStore) -> DataFrame:
     return L.messages(fired_orders(s), ORDER_MACHINE).drop("version")
 
 
@@ -241,7 +240,7 @@ _MD5 = "md5('e-' || event_id || ':' || event_id % 3)"
     "substr('89ab89ab89ab89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id "
     f"FROM (SELECT event_id, {_MD5} AS h FROM events)",
 )
-def derived_ids(s: ObjectStore) -> DataFrame:
+def derived_ids(s: DemoStore) -> DataFrame:
     e = events(s.spark, s.sf_dir)
     return e.select("event_id", derived_id(F.concat(F.lit("e-"), F.col("event_id")), F.col("event_id") % 3).alias("id"))
 
@@ -251,6 +250,6 @@ def derived_ids(s: ObjectStore) -> DataFrame:
     "SELECT DISTINCT src, dst FROM walk",
     "walk AS (SELECT id AS src, partOf AS dst FROM l_part WHERE partOf IS NOT NULL UNION SELECT w.src, p.partOf FROM walk w JOIN l_part p ON p.id = w.dst WHERE p.partOf IS NOT NULL)",
 )
-def type_closure(s: ObjectStore) -> DataFrame:
+def type_closure(s: DemoStore) -> DataFrame:
     """Everything a part belongs to, directly or not."""
     return closure(edges(s, "Part", "partOf"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Rollup
 from ..operators.browse import BrowseSpec, matching, order, page, resolve
 from ..operators.rollup import affected_targets, derive, recompute, register_plugin, rollup
-from ..sources.store import ObjectStore
+from .demo import DemoStore
 from .registry import query
 
 
@@ -32,7 +32,7 @@ _BIG = {"path": "totalPrice", "op": "is greater than", "value": "150000"}
     "SELECT c.id, count(o.id) AS value FROM l_customer c LEFT JOIN (SELECT id, customer FROM l_order WHERE status IS DISTINCT FROM 'F' AND totalPrice > 150000) o "
     "ON o.customer = c.id GROUP BY c.id",
 )
-def rollup_count_dense(s: ObjectStore) -> DataFrame:
+def rollup_count_dense(s: DemoStore) -> DataFrame:
     rule = Rollup("n", "Customer", "Order", "customer", where=(("status", "ne", "F"), ("totalPrice", "gt", "150000")))
     return rollup(s, rule, s.scan("Customer"))
 
@@ -41,7 +41,7 @@ def rollup_count_dense(s: ObjectStore) -> DataFrame:
     "rollup_sum",
     "SELECT c.id, CAST(sum(o.totalPrice) AS DOUBLE) AS value FROM l_customer c JOIN l_order o ON o.customer = c.id WHERE o.totalPrice > 150000 GROUP BY c.id",
 )
-def rollup_sum(s: ObjectStore) -> DataFrame:
+def rollup_sum(s: DemoStore) -> DataFrame:
     return _num(rollup(s, Rollup("v", "Customer", "Order", "customer", "SUM", "totalPrice", _BIG), s.scan("Customer")), "value")
 
 
@@ -49,7 +49,7 @@ def rollup_sum(s: ObjectStore) -> DataFrame:
     "rollup_minmax",
     "SELECT customer AS id, CAST(min(totalPrice) AS DOUBLE) AS lo, CAST(max(totalPrice) AS DOUBLE) AS hi FROM l_order WHERE customer IN (SELECT id FROM l_customer) GROUP BY customer",
 )
-def rollup_minmax(s: ObjectStore) -> DataFrame:
+def rollup_minmax(s: DemoStore) -> DataFrame:
     rules = [Rollup(n, "Customer", "Order", "customer", f, "totalPrice") for n, f in (("lo", "MIN"), ("hi", "MAX"))]
     both = derive(s, s.scan("Customer").select("id", "type"), "Customer", rules=rules)
     return _num(both.select("id", "lo", "hi"), "lo", "hi").where(F.col("lo").isNotNull())
@@ -59,7 +59,7 @@ def rollup_minmax(s: ObjectStore) -> DataFrame:
     "rollup_avg",
     "SELECT customer AS id, CAST(sum(totalPrice) AS DOUBLE) / count(totalPrice) AS value FROM l_order WHERE customer IN (SELECT id FROM l_customer) GROUP BY customer",
 )
-def rollup_avg(s: ObjectStore) -> DataFrame:
+def rollup_avg(s: DemoStore) -> DataFrame:
     return rollup(s, Rollup("v", "Customer", "Order", "customer", "AVG", "totalPrice"), s.scan("Customer"))
 
 
@@ -68,7 +68,7 @@ def rollup_avg(s: ObjectStore) -> DataFrame:
     "SELECT c.id, count(o.id) AS value FROM l_customer c LEFT JOIN (SELECT id, customer FROM l_order WHERE status = 'O' AND priority IS NOT NULL "
     "AND contains(lower(priority), 'high') AND totalPrice <= 300000) o ON o.customer = c.id GROUP BY c.id",
 )
-def rollup_filtered(s: ObjectStore) -> DataFrame:
+def rollup_filtered(s: DemoStore) -> DataFrame:
     tree = {
         "and": [
             {"path": "status", "op": "is", "value": "O"},
@@ -84,7 +84,7 @@ def rollup_filtered(s: ObjectStore) -> DataFrame:
     "SELECT n.id, count(p.id) AS parties, CAST(sum(p.acctbal) AS DOUBLE) AS balance FROM l_nation n LEFT JOIN "
     "(SELECT id, nation, acctbal FROM l_customer UNION ALL SELECT id, nation, acctbal FROM l_supplier) p ON p.nation = n.id GROUP BY n.id",
 )
-def rollup_abstract(s: ObjectStore) -> DataFrame:
+def rollup_abstract(s: DemoStore) -> DataFrame:
     rules = [Rollup("parties", "Nation", "Party", "nation"), Rollup("balance", "Nation", "Party", "nation", "SUM", "acctbal")]
     return _num(derive(s, s.scan("Nation").select("id", "type"), "Nation", rules=rules).select("id", "parties", "balance"), "balance")
 
@@ -93,7 +93,7 @@ def rollup_abstract(s: ObjectStore) -> DataFrame:
     "rollup_list_via",
     "SELECT p.id, count(r.src) AS value FROM l_part p LEFT JOIN (SELECT DISTINCT id AS src, unnest(related) AS target FROM l_part) r ON r.target = p.id GROUP BY p.id",
 )
-def rollup_list_via(s: ObjectStore) -> DataFrame:
+def rollup_list_via(s: DemoStore) -> DataFrame:
     return rollup(s, Rollup("n", "Part", "Part", "related"), s.scan("Part"))
 
 
@@ -105,7 +105,7 @@ _DERIVE_SQL = (
 
 
 @query("derive_all", _DERIVE_SQL)
-def derive_all(s: ObjectStore) -> DataFrame:
+def derive_all(s: DemoStore) -> DataFrame:
     d = derive(s, s.scan("Customer"), "Customer")
     return _num(d, "totalSpend", "minOrder", "maxOrder").select(
         "id", "name", "openOrderCount", "totalSpend", "minOrder", "maxOrder", "avgOrder"
@@ -118,7 +118,7 @@ def derive_all(s: ObjectStore) -> DataFrame:
     "(SELECT * FROM l_order WHERE status IS DISTINCT FROM 'F') o ON o.customer = c.id GROUP BY c.id, c.type) UNION ALL "
     "SELECT s.id, s.type, NULL, CAST(sum(l.quantity) AS DOUBLE) FROM l_supplier s LEFT JOIN l_lineitem l ON l.supplier = s.id GROUP BY s.id, s.type",
 )
-def derive_mixed_types(s: ObjectStore) -> DataFrame:
+def derive_mixed_types(s: DemoStore) -> DataFrame:
     """A result set of several types: each object gets what its own type derives."""
     d = derive(s, s.scan("Party"), "Party", "Customer", "Supplier")
     return d.select("id", "type", "openOrderCount", F.col("workload").cast("double").alias("workload"))
@@ -128,13 +128,13 @@ def derive_mixed_types(s: ObjectStore) -> DataFrame:
     "derive_plugin",
     "SELECT s.id, CAST(sum(l.quantity) AS DOUBLE) AS value FROM l_supplier s JOIN l_lineitem l ON l.supplier = s.id GROUP BY s.id",
 )
-def derive_plugin(s: ObjectStore) -> DataFrame:
+def derive_plugin(s: DemoStore) -> DataFrame:
     from ..operators.rollup import run_plugin
 
     return _num(run_plugin(s, s.schema.plugins["workload"], s.scan("Supplier")), "value")
 
 
-def order_changes(s: ObjectStore) -> DataFrame:
+def order_changes(s: DemoStore) -> DataFrame:
     """Every order as a change: a third moved to another customer, a third created, a third deleted."""
     rows = s.scan("Order", include_deleted=True)
     key = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
@@ -150,7 +150,7 @@ def order_changes(s: ObjectStore) -> DataFrame:
     "SELECT DISTINCT id, 'openOrderCount' AS property FROM (SELECT customer AS id FROM v_order WHERE tenant = 'default' UNION ALL "
     "SELECT substr(customer, 1, 35) || '0' FROM v_order WHERE tenant = 'default' AND o_orderkey % 3 = 0)",
 )
-def affected(s: ObjectStore) -> DataFrame:
+def affected(s: DemoStore) -> DataFrame:
     return affected_targets(s, order_changes(s))
 
 
@@ -160,7 +160,7 @@ def affected(s: ObjectStore) -> DataFrame:
     "(SELECT * FROM l_order WHERE status IS DISTINCT FROM 'F') o ON o.customer = c.id GROUP BY c.id, c.openOrderCount) "
     "WHERE old <> new AND id IN (SELECT customer FROM v_order WHERE tenant = 'default' UNION ALL SELECT substr(customer, 1, 35) || '0' FROM v_order WHERE tenant = 'default' AND o_orderkey % 3 = 0)",
 )
-def recompute_diff(s: ObjectStore) -> DataFrame:
+def recompute_diff(s: DemoStore) -> DataFrame:
     rule = next(r for r in s.schema.rollups if r.property == "openOrderCount")
     return recompute(s, affected_targets(s, order_changes(s)), rule).select("id", "old", "new")
 
@@ -170,7 +170,7 @@ def recompute_diff(s: ObjectStore) -> DataFrame:
     "SELECT p.id, p.pos, count(o.id) AS openOrderCount FROM (SELECT id, row_number() OVER (ORDER BY openOrderCount DESC NULLS FIRST, id) AS pos FROM l_customer "
     "WHERE openOrderCount >= 5) p LEFT JOIN (SELECT * FROM l_order WHERE status IS DISTINCT FROM 'F') o ON o.customer = p.id WHERE p.pos <= 60 GROUP BY p.id, p.pos",
 )
-def browse_materialised(s: ObjectStore) -> DataFrame:
+def browse_materialised(s: DemoStore) -> DataFrame:
     """Filter and sort by the stored value, show the fresh one."""
     from pyspark.sql import Window
 

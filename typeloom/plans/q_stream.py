@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.ids import keyed_id
 from ..operators.rollup import affected_targets, recompute
 from ..session import fresh_path
-from ..sources.store import SEARCH_TEXT, ObjectStore
+from ..sources.store import SEARCH_TEXT
 from ..streaming import streams as S
 from ..streaming.histories import HistoryKeeper
 from ..streaming.lifecycle import lifecycle_stream
-from .demo import ACCOUNT_MACHINE, BASE, TYPE_NO, ref
+from .demo import ACCOUNT_MACHINE, BASE, TYPE_NO, DemoStore, ref
 from .q_lifecycle import _FOLD
 from .q_read import stamp
 from .registry import query
 
 
-def feed(s: ObjectStore, table: str) -> DataFrame:
+def feed(s: DemoStore, table: str) -> DataFrame:
     """A given table as a stream. The bracket makes the path a pattern, which is needed where the
     table is one file, and equally finds a folder of files."""
     schema = s.spark.read.parquet(f"{s.sf_dir}/{table}.parquet").schema
     return S.read_feed(s.spark, f"{s.sf_dir}/[{table[0]}]{table[1:]}.parquet", schema)
 
 
-def _commands(s: ObjectStore) -> DataFrame:
+def _commands(s: DemoStore) -> DataFrame:
     return feed(s, "events").select(
         keyed_id(TYPE_NO["Account"], F.col("user_id")).alias("id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -36,7 +36,7 @@ def _commands(s: ObjectStore) -> DataFrame:
 
 
 @query("stream_dedupe", "SELECT event_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
-def stream_dedupe(s: ObjectStore) -> DataFrame:
+def stream_dedupe(s: DemoStore) -> DataFrame:
     """Every entry is delivered twice."""
     twice = F.explode(F.array(F.lit(1), F.lit(2)))
     doubled = feed(s, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", twice.alias("delivery"))
@@ -45,7 +45,7 @@ def stream_dedupe(s: ObjectStore) -> DataFrame:
 
 
 @query("stream_lifecycle", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
-def stream_lifecycle(s: ObjectStore) -> DataFrame:
+def stream_lifecycle(s: DemoStore) -> DataFrame:
     fired = S.run_to_table(lifecycle_stream(_commands(s), ACCOUNT_MACHINE), "lifecycle")
     return fired.select("id", "seq", "transition", "from_state", "to_state")
 
@@ -68,7 +68,7 @@ _TIMED = (
     "SELECT '00000000-0000-4000-8009-' || lpad(lower(to_hex(user_id)), 12, '0') AS id, 'OnHold' AS from_state, 'Closed' AS to_state, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM due",
     _TIMED,
 )
-def stream_timers(s: ObjectStore) -> DataFrame:
+def stream_timers(s: DemoStore) -> DataFrame:
     """Timers that ran out, and moved their object on, by the end of the feed."""
     fired = S.run_to_table(lifecycle_stream(_commands(s), ACCOUNT_MACHINE, timed=True), "timers")
     return fired.where(F.col("transition") == "expireHold").select("id", "from_state", "to_state", stamp("at", "due"))
@@ -80,7 +80,7 @@ def stream_timers(s: ObjectStore) -> DataFrame:
     "(SELECT * FROM l_order WHERE status IS DISTINCT FROM 'F') o ON o.customer = c.id GROUP BY c.id, c.openOrderCount) "
     "WHERE old <> new AND id IN (SELECT customer FROM v_order)",
 )
-def stream_recompute(s: ObjectStore) -> DataFrame:
+def stream_recompute(s: DemoStore) -> DataFrame:
     """Each order of the feed is a change; the customers it points at are refreshed."""
     path = fresh_path(s.spark, "recompute")
     rule = next(r for r in s.schema.rollups if r.property == "openOrderCount")
@@ -99,7 +99,7 @@ def stream_recompute(s: ObjectStore) -> DataFrame:
     "stream_search_index",
     "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token FROM l_document) GROUP BY token, id",
 )
-def stream_search_index(s: ObjectStore) -> DataFrame:
+def stream_search_index(s: DemoStore) -> DataFrame:
     path = fresh_path(s.spark, "index")
     key = F.col("doc_id")
     docs = feed(s, "documents").select(
@@ -115,7 +115,7 @@ def stream_search_index(s: ObjectStore) -> DataFrame:
 
 
 @query("stream_history", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
-def stream_history(s: ObjectStore) -> DataFrame:
+def stream_history(s: DemoStore) -> DataFrame:
     """The lifecycle again, folded batch by batch in chunks."""
     keeper = HistoryKeeper(s.spark, ACCOUNT_MACHINE, fresh_path(s.spark, "history"))
     S.run_batches(_commands(s), "history", keeper.process)

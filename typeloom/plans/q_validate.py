@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import validate as V
 from ..operators.coerce import coerce
-from ..sources.store import ObjectStore
 from ..sources.tagged import export_tagged, load_tagged
-from .demo import BASE, ref
+from .demo import BASE, DemoStore, ref
 from .registry import query
 
 OTHERS = ("Party", "Place", "Part", "Order", "Document")
 
 
 @query("validate_required", "SELECT id, 'size' AS property, 'Property ''size'' is required' AS message FROM l_part WHERE size IS NULL")
-def validate_required(s: ObjectStore) -> DataFrame:
+def validate_required(s: DemoStore) -> DataFrame:
     return V.violations(s.scan("Part"), V.required(s.schema.properties("Part")))
 
 
@@ -24,7 +23,7 @@ def validate_required(s: ObjectStore) -> DataFrame:
     "validate_cardinality",
     "SELECT id, 'related' AS property, 'expected at most 2 value(s), got 3' AS message FROM l_part WHERE brand = 'Brand#7'",
 )
-def validate_cardinality(s: ObjectStore) -> DataFrame:
+def validate_cardinality(s: DemoStore) -> DataFrame:
     """Parts of one brand get a third related part."""
     third = F.concat("related", F.array(F.col("id")))
     rows = s.scan("Part").withColumn("related", F.when(F.col("brand") == "Brand#7", third).otherwise(F.col("related")))
@@ -36,7 +35,7 @@ def validate_cardinality(s: ObjectStore) -> DataFrame:
     "SELECT id, '' AS property, 'Type ''' || t || ''' is abstract and cannot be instantiated' AS message FROM "
     f"(SELECT id, CASE WHEN segment = 'BUILDING' THEN '{BASE}Party' ELSE type END AS t FROM l_customer) WHERE t LIKE '%Party'",
 )
-def validate_abstract(s: ObjectStore) -> DataFrame:
+def validate_abstract(s: DemoStore) -> DataFrame:
     as_party = F.when(F.col("segment") == "BUILDING", F.lit(BASE + "Party")).otherwise(F.col("type"))
     return V.abstract_types(s, s.scan("Customer").withColumn("type", as_party))
 
@@ -45,7 +44,7 @@ def _key(column: str = "id"):
     return F.conv(F.substring(column, 25, 12), 16, 10).cast("long")
 
 
-def _shifted_orders(s: ObjectStore) -> DataFrame:
+def _shifted_orders(s: DemoStore) -> DataFrame:
     """Orders whose customer is sometimes a supplier's id and sometimes one that does not exist."""
     c = _key("customer")
     wrong = F.when(c % 6 == 1, ref("Supplier", c % 7)).when(c % 6 == 2, ref("Customer", c + 10_000_000_000)).otherwise(F.col("customer"))
@@ -65,7 +64,7 @@ _SHIFTED = (
     "WHERE ref NOT IN (SELECT id FROM l_customer UNION ALL SELECT id FROM l_supplier)",
     _SHIFTED,
 )
-def validate_missing_ref(s: ObjectStore) -> DataFrame:
+def validate_missing_ref(s: DemoStore) -> DataFrame:
     v = V.references(s, _shifted_orders(s), "Order", OTHERS)
     return v.where(F.col("message").endswith("does not exist"))
 
@@ -76,7 +75,7 @@ def validate_missing_ref(s: ObjectStore) -> DataFrame:
     "FROM r WHERE ref IN (SELECT id FROM l_supplier)",
     _SHIFTED,
 )
-def validate_ref_type(s: ObjectStore) -> DataFrame:
+def validate_ref_type(s: DemoStore) -> DataFrame:
     v = V.references(s, _shifted_orders(s), "Order", OTHERS)
     return v.where(F.col("message").contains("has type"))
 
@@ -86,7 +85,7 @@ def validate_ref_type(s: ObjectStore) -> DataFrame:
     "SELECT id, 'related' AS property, 'Referenced object ' || ref || ' does not exist' AS message FROM "
     "(SELECT DISTINCT id, unnest(related) AS ref FROM l_part) WHERE ref NOT IN (SELECT id FROM l_part)",
 )
-def validate_ref_list(s: ObjectStore) -> DataFrame:
+def validate_ref_list(s: DemoStore) -> DataFrame:
     return V.references(s, s.scan("Part").select("id", "type", "related"), "Part", OTHERS)
 
 
@@ -95,7 +94,7 @@ def validate_ref_list(s: ObjectStore) -> DataFrame:
     "SELECT id, 'acctbal' AS property, 'must be at least -500' AS message FROM l_customer WHERE acctbal < -500 "
     "UNION ALL SELECT id, 'acctbal', 'must be at most 9000' FROM l_customer WHERE acctbal > 9000",
 )
-def validate_shapes(s: ObjectStore) -> DataFrame:
+def validate_shapes(s: DemoStore) -> DataFrame:
     return V.violations(s.scan("Customer"), V.shapes(s.schema.properties("Customer")))
 
 
@@ -103,7 +102,7 @@ def validate_shapes(s: ObjectStore) -> DataFrame:
     "validate_pattern",
     "SELECT id, 'brand' AS property, 'must match ^Brand#[0-9]+$' AS message FROM l_part WHERE NOT regexp_matches(replace(brand, '#1', '-1'), '^Brand#[0-9]+$')",
 )
-def validate_pattern(s: ObjectStore) -> DataFrame:
+def validate_pattern(s: DemoStore) -> DataFrame:
     rows = s.scan("Part").withColumn("brand", F.replace("brand", F.lit("#1"), F.lit("-1")))
     return V.violations(rows, V.shapes(s.schema.properties("Part")))
 
@@ -116,12 +115,12 @@ def validate_pattern(s: ObjectStore) -> DataFrame:
     "AND id NOT IN (SELECT id FROM r WHERE ref NOT IN (SELECT id FROM l_part))",
     "p AS (SELECT id, size, brand, related FROM l_part), r AS (SELECT DISTINCT id, unnest(related) AS ref FROM p)",
 )
-def validate_staged(s: ObjectStore) -> DataFrame:
+def validate_staged(s: DemoStore) -> DataFrame:
     rows = s.scan("Part").withColumn("brand", F.replace("brand", F.lit("#1"), F.lit("-1")))
     return V.validate(s, rows.drop("partOf"), "Part", among=OTHERS)
 
 
-def raw_parts(s: ObjectStore) -> DataFrame:
+def raw_parts(s: DemoStore) -> DataFrame:
     """Parts as raw JSON with defects that follow from the key; one key in ten is sound."""
     k = F.col("p_partkey") % 10
     t = s.spark.read.parquet(f"{s.sf_dir}/part.parquet")
@@ -158,7 +157,7 @@ _RAW_ID = "'00000000-0000-4000-8005-' || lpad(lower(to_hex(p_partkey)), 12, '0')
     "(7, 'keywords', 'element 2: expected a scalar value, got a list'), (8, 'colour', 'Unknown property ''colour'''), "
     "(9, 'partOf', 'expected a UUID string')) AS d(k, property, message) ON p_partkey % 10 = k",
 )
-def coerce_records(s: ObjectStore) -> DataFrame:
+def coerce_records(s: DemoStore) -> DataFrame:
     return coerce(s, raw_parts(s), "Part")[1]
 
 
@@ -167,7 +166,7 @@ def coerce_records(s: ObjectStore) -> DataFrame:
     f"SELECT {_RAW_ID} AS id, p_name AS name, CAST(CASE WHEN p_partkey % 10 = 3 THEN 3 ELSE p_size END AS BIGINT) AS size, p_retailprice AS price, 'red|blue' AS words "
     "FROM part WHERE p_partkey % 10 IN (0, 3)",
 )
-def coerce_good(s: ObjectStore) -> DataFrame:
+def coerce_good(s: DemoStore) -> DataFrame:
     good = coerce(s, raw_parts(s), "Part")[0]
     return good.select("id", "name", "size", F.col("retailPrice").cast("double").alias("price"), F.array_join("keywords", "|").alias("words"))
 
@@ -177,7 +176,7 @@ def coerce_good(s: ObjectStore) -> DataFrame:
     "SELECT id, property, 'Property ''' || property || ''' is a derived property and cannot be set directly' AS message "
     "FROM (SELECT id, unnest(['totalSpend', 'openOrderCount']) AS property FROM l_customer)",
 )
-def coerce_read_only(s: ObjectStore) -> DataFrame:
+def coerce_read_only(s: DemoStore) -> DataFrame:
     raw = F.to_json(F.struct("name", F.lit(1).alias("totalSpend"), F.col("openOrderCount")))
     return coerce(s, s.scan("Customer").select("id", raw.alias("raw")), "Customer")[1]
 
@@ -188,7 +187,7 @@ def coerce_read_only(s: ObjectStore) -> DataFrame:
     f"',\"{BASE}totalPrice\":{{\"decimal\":\"' || CAST(totalPrice AS VARCHAR) || '\"}},\"{BASE}orderDate\":{{\"date\":\"' || CAST(orderDate AS VARCHAR) || "
     f"'\"}},\"{BASE}customer\":{{\"ref\":\"' || customer || '\"}},\"{BASE}openLineCount\":{{\"integer\":' || openLineCount || '}}}}' AS props FROM l_order",
 )
-def export_orders(s: ObjectStore) -> DataFrame:
+def export_orders(s: DemoStore) -> DataFrame:
     return export_tagged(s.scan("Order"), s.schema, "Order").select("id", "props")
 
 
@@ -197,7 +196,7 @@ def export_orders(s: ObjectStore) -> DataFrame:
     "SELECT id, name, brand, CAST(size AS DOUBLE) AS size, CAST(retailPrice AS DOUBLE) AS price, array_to_string(keywords, '|') AS words, "
     "array_to_string(related, '|') AS related, partOf FROM l_part",
 )
-def load_parts(s: ObjectStore) -> DataFrame:
+def load_parts(s: DemoStore) -> DataFrame:
     """Export and load again: nothing is lost."""
     good, _ = load_tagged(export_tagged(s.scan("Part"), s.schema, "Part"), s.schema, "Part")
     return good.select(
@@ -211,7 +210,7 @@ def load_parts(s: ObjectStore) -> DataFrame:
     "SELECT id, CASE WHEN size = 1 THEN 'unknown tag: money' WHEN size = 2 THEN 'value does not fit: retailPrice' ELSE 'not a property map' END AS reason "
     "FROM l_part WHERE size IN (1, 2, 3)",
 )
-def load_rejects(s: ObjectStore) -> DataFrame:
+def load_rejects(s: DemoStore) -> DataFrame:
     dump = export_tagged(s.scan("Part"), s.schema, "Part").join(s.scan("Part").select("id", "size"), "id")
     size = F.col("size")
     props = (

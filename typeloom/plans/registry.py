@@ -7,8 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.store import ObjectStore
-from .demo import SQL_VIEWS, open_store
+from .demo import SQL_VIEWS, DemoStore, open_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,14 +29,12 @@ def with_views(sql: str, ctes: str = "") -> str:
     return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql.strip()
 
 
-def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Callable[[ObjectStore], DataFrame]], Query]:
+def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Callable[[DemoStore], DataFrame]], Query]:
     """Register a query on the demo store under ``name``."""
 
-    def register(f: Callable[[ObjectStore], DataFrame]) -> Query:
+    def register(f: Callable[[DemoStore], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            store = open_store(spark, sf_dir)
-            store.sf_dir = sf_dir
-            return f(store)
+            return f(open_store(spark, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:
