@@ -122,3 +122,20 @@ def test_reads(spark, st):
     assert st.types_of(asked.limit(0)).count() == 0
     wants = asked.withColumn("requested", F.lit("WorkItem")).unionByName(asked.withColumn("requested", F.lit("Task")))
     assert sorted((r["id"], r["requested"]) for r in st.read_typed(wants).collect()) == [(oid(10), "Task"), (oid(10), "WorkItem"), (oid(20), "WorkItem")]
+
+
+def test_decimal_literals_are_not_rounded(store):
+    price = store.scan("Order").orderBy("id").first()["totalPrice"]
+
+    def count(op, value):
+        return matching(store, resolve(store.schema, BrowseSpec(("Order",), (("totalPrice", op, str(value)),)))).count()
+
+    assert count("eq", price) >= 1 and count("eq", price - Decimal("0.004")) == 0
+    assert count("gte", price - Decimal("0.004")) == count("gte", price)
+    assert count("in", f"{price}, 1e37, 0.125") == count("eq", price)
+
+
+def test_numbers_out_of_range_are_reported():
+    for name, raw in (("priority", str(2**63)), ("priority", "NaN"), ("priority", "1e99"), ("estimatedHours", "1e40"), ("estimatedHours", "Infinity")):
+        with pytest.raises(InvalidQuery):
+            resolve(SCHEMA, BrowseSpec(("Task",), ((name, "eq", raw),)))

@@ -51,3 +51,9 @@ def test_plugins_cannot_be_maintained_and_must_exist():
         run_plugin(None, "no such plug-in", None)
     with pytest.raises(SchemaError):
         Schema(SCHEMA.types, SCHEMA.rollups, (), {"openTaskCount": "x"})
+
+
+def test_column_names_must_be_usable():
+    for names in (("version",), ("at",), ("a-b",), ("x", "X")):
+        with pytest.raises(SchemaError):
+            Schema((TypeDef("a#A", properties=tuple(p(n) for n in names)),))

@@ -6,6 +6,7 @@ driver; no object data ever passes through these classes.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -190,6 +191,7 @@ class Schema:
             self._by_key[t.name] = t
         self._ancestors = {t.name: self._walk_up(t) for t in self.types}
         seen: dict[str, Property] = {}
+        columns: dict[str, Property] = {}
         for t in self.types:
             for p in t.properties:
                 if p.iri in seen and seen[p.iri].spark_type != p.spark_type:
@@ -197,6 +199,11 @@ class Schema:
                 seen[p.iri] = p
                 if p.name in ENVELOPE or p.name in CHANGE_COLUMNS or p.name.startswith("_"):
                     raise SchemaError(f"property name '{p.name}' is reserved")
+                if not re.fullmatch(r"\w+", p.name):
+                    raise SchemaError(f"property name '{p.name}' cannot name a column")
+                twin = columns.setdefault(p.name.lower(), p)
+                if (twin.name, twin.spark_type) != (p.name, p.spark_type):
+                    raise SchemaError(f"properties {twin.iri} and {p.iri} need the same column")
         for r in self.rollups:
             if r.function not in ROLLUP_FUNCTIONS:
                 raise SchemaError(f"unknown rollup function '{r.function}'")

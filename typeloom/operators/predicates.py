@@ -61,7 +61,8 @@ class Criterion:
         dtype = self.property.scalar_type
 
         def lit(v: object) -> Column:
-            return F.lit(v).cast(dtype)
+            # A decimal keeps its own scale: rounding it to the property's would change what it equals.
+            return F.lit(v) if isinstance(v, Decimal) else F.lit(v).cast(dtype)
 
         match self.operator:
             case "eq":
@@ -130,10 +131,10 @@ def literal(p: Property, raw: object) -> object:
         case "integer" | "long":
             try:
                 number = Decimal(text)
-                whole = number.to_integral_value()
+                whole = number.to_integral_value() if number.is_finite() else number
             except InvalidOperation:
                 raise ValueError("expected an integer") from None
-            if not number.is_finite() or number != whole:
+            if not number.is_finite() or number != whole or not -(2**63) <= whole < 2**63:
                 raise ValueError("expected an integer")
             return int(whole)
         case "decimal" | "double":
@@ -141,7 +142,7 @@ def literal(p: Property, raw: object) -> object:
                 number = Decimal(text)
             except InvalidOperation:
                 raise ValueError("expected a decimal number") from None
-            if not number.is_finite():
+            if not number.is_finite() or number.adjusted() >= 38 or number.as_tuple().exponent < -38:
                 raise ValueError("expected a decimal number")
             return number
         case "boolean":
