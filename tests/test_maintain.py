@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from domain import B, MACHINE, RULES, make_store, oid
 from pyspark.sql import functions as F
 
@@ -58,6 +59,34 @@ def test_feed_converges(spark, tmp_path):
     assert sorted(map(tuple, keeper.store().table("Project").drop("updated_at").collect())) == before
 
 
+def test_actions_of_automatic_transitions(spark, tmp_path):
+    from typeloom.model import Action, Machine, Transition
+
+    machine = Machine("Project", "Active", ("Active", "Closed"), (
+        Transition("autoClose", "Active", "Closed", "ON_CHANGE", guard="self.openTaskCount = 0", watch=("belongsToProject",), actions=(
+            Action("set_property", property="status", expression="concat('closed: ', self.title)"),
+            Action("create_object", create_type="Task", assignments=(("title", "concat('Review ', self.title)"), ("status", "'done'"), ("belongsToProject", "self.id"))),
+            Action("create_object", create_type="Project", assignments=(("title", "concat('After ', self.title)"),)),
+            Action("log", message="closed ${self.title}"),
+        )),
+    ))
+    base = make_store(spark, Project=[{"id": 20, "title": "P", "state": "Active", "openTaskCount": 1}], Task=[{"id": 1, "title": "t", "status": "open", "belongsToProject": oid(20)}])
+    keeper = Maintainer(base, ("Task", "Project"), str(tmp_path), (machine,))
+    row = (1, 0, "update", oid(1), B + "Task", 1, None, AT, "me", "t", "done", oid(20))
+    odd = (2, 0, "update", oid(1), "nowhere#Thing", 1, None, AT, "me", "t", "done", None)
+    keeper.process(spark.createDataFrame([row, odd], SHAPE), 0)
+    now = keeper.store()
+    p = now.scan("Project").where("title = 'P'").first()
+    assert now.scan("Project").where("title = 'After P' AND state IS NULL AND version <= 2").count() == 1
+    with pytest.raises(ValueError):
+        Maintainer(base, ("Project",), str(tmp_path), (machine,))
+    assert (p["state"], p["openTaskCount"], p["status"], p["version"]) == ("Closed", 0, "closed: P", 4)
+    made = now.scan("Task").where("title = 'Review P'").first()
+    assert (made["belongsToProject"], made["version"], made["state"]) == (oid(20), 1, None)
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "messages")).collect()] == ["closed P"]
+    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["unknown_type"]
+
+
 def test_bad_rows_are_parked(spark, tmp_path):
     from typeloom.operators.coerce import coerce
     from typeloom.streaming.streams import park_bad_rows

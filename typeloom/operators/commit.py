@@ -183,6 +183,18 @@ def _events(store: ObjectStore, type_name: str, changed: DataFrame) -> DataFrame
     )
 
 
+def update_events(store: ObjectStore, type_name: str, rows: DataFrame, label: str, op: str = "update") -> DataFrame:
+    """Events of row versions that were written by the library itself rather than by a change set."""
+    traced = rows.select(
+        "*",
+        F.concat_ws("-", F.lit(label), F.col("id")).alias("changeset_id"),
+        F.lit(0).alias("seq"),
+        F.lit(op).alias("op"),
+        F.col("updated_at").alias("at"),
+    )
+    return _events(store, type_name, traced)
+
+
 def apply_all(store: ObjectStore, changes: DataFrame, *types: str) -> tuple[ObjectStore, DataFrame, DataFrame]:
     """Hand deferred sets in again until none is left: the outcome of running the sets one by one.
 

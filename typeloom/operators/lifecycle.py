@@ -284,6 +284,30 @@ def set_properties(store: ObjectStore, objects: DataFrame, fired: DataFrame, mac
     return fired.join(now, "id").select("id", _each(cells).alias("c")).select("id", "c.property", "c.old", "c.new")
 
 
+def with_properties(store: ObjectStore, objects: DataFrame, fired: DataFrame, machine: Machine) -> DataFrame:
+    """Next versions of the objects that a set_property action changes; the others are left out.
+
+    Several actions of one transition apply in their order. One fired row per object.
+    """
+    frozen = fired.select("id", "transition", "from_state", "self", F.col("at").alias("_at"))
+    rows = objects.join(frozen, "id")
+    new: dict[str, Column] = {}
+    for here, a, _ in _with_action(machine, "set_property"):
+        kind = store.schema.lookup(machine.type, a.property).scalar_type
+        value = (F.lit(a.literal) if a.expression is None else templates.value(a.expression, "self")).cast(kind)
+        new[a.property] = F.when(here, value).otherwise(new.get(a.property, F.col(a.property)))
+    if not new:
+        return objects.limit(0)
+    differs = _any([~v.eqNullSafe(F.col(n)) for n, v in new.items()])
+    out = {
+        **{n: v for n, v in new.items()},
+        "version": F.col("version") + 1,
+        "updated_at": F.col("_at"),
+        "updated_by": F.lit("automation"),
+    }
+    return rows.where(differs).select(*[out[c].alias(c) if c in out else F.col(c) for c in objects.columns])
+
+
 def create_objects(store: ObjectStore, fired: DataFrame, machine: Machine, entry_id: Column) -> dict[str, DataFrame]:
     """New objects by type for create_object actions; the state stays empty.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..model import Machine, Schema
 from ..operators import lifecycle as L
-from ..operators.commit import apply_changes
+from ..operators.commit import apply_changes, update_events
 from ..operators.rollup import affected_targets, recompute
 from ..session import materialise
 from ..sources.store import ObjectStore
@@ -23,7 +23,7 @@ class Maintainer:
     """``process(batch, batch_id)`` for ``foreachBatch``.
 
     A micro-batch applies its change sets, refreshes the affected rollups, fires ON_CHANGE
-    transitions, and repeats the last two for what they wrote, until nothing changes or the
+    transitions with their actions, and repeats the last two for what they wrote, until nothing changes or the
     rounds are used up. Tables are never rewritten: each round appends row versions under its
     batch and step, and reads see the newest version. A repeated batch overwrites its own steps
     and ignores them while it runs, so the outcome is the same.
@@ -35,6 +35,9 @@ class Maintainer:
         self.root = root
         self.machines = machines
         self.rounds = rounds
+        for a in (a for m in machines for t in m.transitions for a in t.actions if a.create_type):
+            if self.schema.type(a.create_type).name not in self.types:
+                raise ValueError(f"objects of {a.create_type} are created but not kept here")
 
     @property
     def spark(self) -> SparkSession:
@@ -107,15 +110,18 @@ class Maintainer:
             for n in self.types:
                 rows = self._refresh(start, now, touched, n)
                 if rows is not None:
-                    fresh[n].append(self._write(n, rows, batch_id, step))
+                    fresh[n].append(self._write_logged(now, n, rows, batch_id, step, "rollup"))
             step += 1
             after = self.store((batch_id, step))
             seen = {n: reduce(lambda a, b: a.unionByName(b), [touched[n], *fresh[n]]) for n in self.types}
             for m in self.machines:
                 name = self.schema.type(m.type).name
-                rows = self._react(start, after, seen, m, batch_id, step)
+                fired, rows = self._react(start, after, seen, m, batch_id, step)
                 fresh[name].append(self._write(name, rows, batch_id, step))
-            step += 1
+                step += 1
+                if any(t.actions for t in m.transitions):
+                    self._act(fired, m, fresh, batch_id, step)
+                    step += 2
             start, touched = now, self._union(fresh, after)
 
     def _union(self, parts: dict[str, list[DataFrame]], shape: ObjectStore) -> dict[str, DataFrame]:
@@ -149,11 +155,11 @@ class Maintainer:
             hit = hit | F.col(f"_hit_{r.property}").isNotNull()
         if out is now.table(name):
             return None
-        rows = out.where(hit).withColumn("version", F.col("version") + 1)
+        rows = out.where(hit).withColumn("version", F.col("version") + 1).withColumn("updated_at", F.current_timestamp())
         return rows.select(*now.table(name).columns)
 
-    def _react(self, start: ObjectStore, now: ObjectStore, touched: dict[str, DataFrame], machine: Machine, batch: int, step: int) -> DataFrame:
-        """New versions of the objects that an ON_CHANGE transition moves."""
+    def _react(self, start: ObjectStore, now: ObjectStore, touched: dict[str, DataFrame], machine: Machine, batch: int, step: int) -> tuple[DataFrame, DataFrame]:
+        """Fired ON_CHANGE transitions, and new versions of the objects they move."""
         name = self.schema.type(machine.type).name
         candidates = reduce(
             lambda a, b: a.unionByName(b),
@@ -163,6 +169,25 @@ class Maintainer:
         fired = materialise(L.fire_on_change(live, candidates, machine, F.current_timestamp()), "fired")
         self._log(L.events(fired, machine), "transitions", batch, step)
         moved = L.moved(live, fired).join(fired.select("id"), "id", "left_semi")
-        return moved.select(*now.table(name).columns)
+        return fired, moved.select(*now.table(name).columns)
+
+    def _act(self, fired: DataFrame, machine: Machine, fresh: dict[str, list[DataFrame]], batch: int, step: int) -> None:
+        """What the fired transitions do: set properties, create objects, render messages."""
+        now = self.store((batch, step))
+        name = self.schema.type(machine.type).name
+        kinds = {a.kind for t in machine.transitions for a in t.actions}
+        made = L.create_objects(now, fired, machine, F.concat_ws("/", "id", F.col("version").cast("string"))) if "create_object" in kinds else {}
+        for n, rows in made.items():
+            fresh[n].append(self._write_logged(now, n, rows, batch, step, "action", "create"))
+        own = L.with_properties(now, now.scan(name), fired, machine) if "set_property" in kinds else None
+        if own is not None:
+            fresh[name].append(self._write_logged(now, name, own, batch, step + 1, "action"))
+        if kinds & {"log", "webhook"}:
+            self._log(L.messages(fired, machine), "messages", batch, step)
+
+    def _write_logged(self, now: ObjectStore, name: str, rows: DataFrame, batch: int, step: int, label: str, op: str = "update") -> DataFrame:
+        out = self._write(name, rows.select(*now.table(name).columns), batch, step)
+        self._log(update_events(now, name, out, f"{label}-{batch}-{step}", op), f"log_{name}_{op}", batch, step)
+        return out
 
 
