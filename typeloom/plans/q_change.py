@@ -16,7 +16,7 @@ PROPS = ("status", "priority", "totalPrice", "orderDate", "customer", "lineCount
 
 
 def order_batch(s: DemoStore) -> DataFrame:
-    """Changes to the orders: every fifth updated, deleted, or (some of them) doomed to fail.
+    """One change to every order: an update, or a delete for each fifth; some are doomed to fail.
 
     Ten neighbouring orders share a change set, so one bad member takes nine others with it.
     """
@@ -25,8 +25,7 @@ def order_batch(s: DemoStore) -> DataFrame:
     op = F.when(F.col("k") % 5 == 2, F.lit("delete")).otherwise(F.lit("update"))
     expected = F.when(F.col("k") % 100 == 3, F.lit(2)).otherwise(F.lit(1)).cast("long")
     missing = F.col("k") % 200 == 4
-    picked = rows.where((F.col("k") % 5).isin(1, 2) | (F.col("k") % 100 == 3) | missing)
-    return picked.select(
+    return rows.select(
         F.floor(F.col("k") / 10).alias("changeset_id"),
         (F.col("k") % 10).cast("int").alias("seq"),
         op.alias("op"),
@@ -47,7 +46,7 @@ _BATCH = (
     "b AS (SELECT o_orderkey AS k, o_orderkey // 10 AS changeset_id, CAST(o_orderkey % 10 AS INTEGER) AS seq, "
     "CASE WHEN o_orderkey % 5 = 2 THEN 'delete' ELSE 'update' END AS op, id, "
     "CASE WHEN o_orderkey % 100 = 3 THEN 'stale' WHEN o_orderkey % 200 = 4 THEN 'not_found' ELSE 'ok' END AS own, "
-    "o_orderkey % 200 = 4 AS missing FROM l_order WHERE o_orderkey % 5 IN (1, 2) OR o_orderkey % 100 = 3 OR o_orderkey % 200 = 4), "
+    "o_orderkey % 200 = 4 AS missing FROM l_order), "
     "good AS (SELECT * FROM b WHERE changeset_id NOT IN (SELECT changeset_id FROM b WHERE own <> 'ok'))"
 )
 
@@ -112,17 +111,18 @@ def changelog_emit(s: DemoStore) -> DataFrame:
 
 @query(
     "commit_serial",
-    "SELECT id, CAST(1 + 2 * CAST(o_orderkey % 4 = 1 AS BIGINT) + CAST(o_orderkey % 4 = 2 AS BIGINT) AS BIGINT) AS version, "
-    "CAST(totalPrice AS DOUBLE) + 2 * CAST(o_orderkey % 4 = 1 AS INTEGER) + CAST(o_orderkey % 4 = 2 AS INTEGER) AS total FROM l_order",
+    "SELECT id, CAST(CASE WHEN o_orderkey % 4 = 1 THEN 3 ELSE 2 END AS BIGINT) AS version, "
+    "CAST(totalPrice + CASE WHEN o_orderkey % 4 IN (1, 3) THEN 2 ELSE 1 END AS DOUBLE) AS total FROM l_order",
 )
 def commit_serial(s: DemoStore) -> DataFrame:
-    """Two change sets per order in one batch: for some the second builds on the first, for others
-    it is stale; the rest is left alone."""
+    """Two change sets per order in one batch: for some the second builds on the first, for some the
+    first is stale and only the second counts, and for the others the second is stale."""
     k = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
-    rows = s.scan("Order").withColumn("k", k).where((F.col("k") % 4).isin(1, 2))
+    rows = s.scan("Order").withColumn("k", k)
     step = F.explode(F.array(F.lit(1), F.lit(2)))
     rows = rows.withColumn("step", step)
-    expected = F.when(F.col("k") % 4 == 1, F.col("step")).otherwise(F.lit(1)).cast("long")
+    chained, late = F.col("k") % 4 == 1, (F.col("k") % 4 == 3) & (F.col("step") == 1)
+    expected = F.when(chained, F.col("step")).when(late, F.lit(5)).otherwise(F.lit(1)).cast("long")
     changes = rows.select(
         (F.col("step") * 1_000_000_000_000 + F.col("k")).alias("changeset_id"),
         F.lit(0).alias("seq"),

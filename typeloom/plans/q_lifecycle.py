@@ -13,7 +13,6 @@ from .q_read import stamp
 from .registry import query
 
 
-
 def _key(column: str = "id"):
     return F.conv(F.substring(column, 25, 12), 16, 10).cast("long")
 
