@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, line_chunks
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~held_out()))
     return docs.select("doc_id", held_out().alias("held_out"), langid.predicted(model, docs, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+@query
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of lines that stand in an earlier place already."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = line_chunks.remove_repeats(docs)
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_kept").cast("long"), "text")
