@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_chunks
+from . import langid, line_chunks, minhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,9 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = line_chunks.remove_repeats(docs)
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_kept").cast("long"), "text")
+
+
+@query
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are similar by 0.8 or more, transitively."""
+    return minhash.near_copies(documents(spark, sf_dir), minhash.MinHash(size=4))
