@@ -22,8 +22,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def fresh(df: DataFrame, name: str) -> str:

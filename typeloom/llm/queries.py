@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_chunks, minhash
-from .common import documents
+from . import decontam, langid, line_chunks, minhash
+from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,10 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles are similar by 0.8 or more, transitively."""
     return minhash.near_copies(documents(spark, sf_dir), minhash.MinHash(size=4))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
