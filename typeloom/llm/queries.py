@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_chunks, minhash
+from . import bpe, decontam, langid, line_chunks, minhash
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that stand in documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of what they decode to, of every document."""
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), byte_bpe()).drop("text")
