@@ -97,7 +97,8 @@ def marked(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFrame:
     )
     source = docs.select(F.col("doc_id").alias("first_id"), _lines(F.col("text")).alias("lines"))
     same_id = source["first_id"].eqNullSafe(first["first_id"])
-    held = source.join(first, same_id).select("key", _chunk(F.col("lines"), F.col("first_start"), F.col("first_stop")).alias("bytes"))
+    # Merge joins: neither side has a bound, and texts are moved alike at every size.
+    held = source.join(first.hint("merge"), same_id).select("key", _chunk(F.col("lines"), F.col("first_start"), F.col("first_stop")).alias("bytes"))
     # Rows of one doc_id may have different texts: only the text that has the chunk counts.
     kept = materialise(
         held.filter(F.xxhash64(F.transform(_lines(F.col("bytes")), lambda x: F.xxhash64(x))) == F.col("key")).groupBy("key").agg(F.min("bytes").alias("bytes")),
@@ -119,7 +120,7 @@ def remove_repeats(docs: DataFrame, spec: LineChunks = LineChunks()) -> DataFram
     """
     marks = marked(docs, spec)
     mark, lines, gone = (fresh(docs, c) for c in ("_marks", "_lines", "_gone"))
-    right = marks.select(F.col("doc_id").alias(fresh(docs, "_id")), F.col("marks").alias(mark))
+    right = marks.select(F.col("doc_id").alias(fresh(docs, "_id")), F.col("marks").alias(mark)).hint("merge")
     joined = docs.join(right, docs["doc_id"].eqNullSafe(right[right.columns[0]]), "left").drop(right.columns[0])
     split = settled(joined.withColumn(lines, _lines(F.col("text"))))
     same = F.filter(mark, lambda m: _chunk(F.col(lines), m["start"], m["stop"]) == m["bytes"])
