@@ -12,11 +12,12 @@ of a band meet in a bucket:
 
 1. each class of a bucket is verified against the bucket's first class only, on full shingle sets;
 2. links give components; only buckets that still hold several components are looked at further;
-3. there all pairs of different components are compared by sketch, in blocks of bounded size, and the
-   pairs that could be similar enough are verified on full sets too; links give the final components.
+3. there classes of different components are compared by sketch, in blocks of bounded size and only in the
+   first band that they agree in; blocks with pairs that could be similar enough get the full texts and
+   yield the links that join components (no more than they have classes), which give the final components.
 
 So a group of m copies costs about m verifications, no link between different components is lost that
-banding has found, and no pair is written that sketches rule out. With 40 bands of 5 coordinates a pair
+banding has found, and no table of pairs within a group is written. With 40 bands of 5 coordinates a pair
 of similarity 0.8 is missed with a probability of 1e-7, and the comparison of sketches (by 200
 coordinates of 8 bits, down to 0.6) adds less than 1e-10.
 
@@ -49,7 +50,7 @@ class MinHash:
     bands: int = 40
     rows: int = 5
     least_agree: float = 0.6  # share of equal sketch bytes below which a pair can't be similar
-    block: int = 512  # classes of a bucket that one comparison takes
+    block: int = 256  # classes of a bucket on either side of one comparison
 
     @property
     def width(self) -> int:
@@ -110,13 +111,15 @@ def sketched(docs: DataFrame, spec: MinHash) -> DataFrame:
                     band = mix(band * _STEP + sketch[:, k :: spec.rows])
                 band = mix(band + np.arange(1, spec.bands + 1, dtype=np.uint64) * _STEP)
                 sizes = np.diff(begin)
+                # A byte of each coordinate, then four of each band's hash.
+                small = np.hstack((mix(sketch).astype(np.uint8), band.astype("<u4").view(np.uint8)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
                         pa.array([blake2b(r, digest_size=16).digest() for r in raw], pa.binary()),
                         pa.array(sizes, pa.int64()),
                         pa.array([x if n else None for x, n in zip(band.view(np.int64), sizes)], pa.list_(pa.int64())),
-                        pa.array([x.tobytes() if n else None for x, n in zip(mix(sketch).astype(np.uint8), sizes)], pa.binary()),
+                        pa.array([x.tobytes() if n else None for x, n in zip(small, sizes)], pa.binary()),
                     ],
                     names=["id", "class", "n", "bands", "sketch"],
                 )
@@ -161,8 +164,10 @@ def _agree(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return (a == b).mean(axis=1) >= least
 
 
-def _bytes(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def _bytes(column, spec: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of each coordinate, and four of each band's hash."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, spec.width + 4 * spec.bands)
+    return rows[:, : spec.width], np.ascontiguousarray(rows[:, spec.width :]).view("<u4")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, spec: MinHash) -> DataFrame:
@@ -170,7 +175,7 @@ def likely(pairs: DataFrame, sets: DataFrame, spec: MinHash) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            left, right = (_bytes(batch.column(k), spec.width) for k in (2, 3))
+            left, right = (_bytes(batch.column(k), spec)[0] for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(_agree(left, right, spec.least_agree)))
 
     side = [sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
@@ -179,44 +184,122 @@ def likely(pairs: DataFrame, sets: DataFrame, spec: MinHash) -> DataFrame:
     return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _far_pairs(spec: MinHash):
-    """Pairs within a block pair of a bucket that have different components and similar sketches."""
-    names = ("bucket", "i", "j", "id", "component", "leader", "part", "n")
+PLACE = "bucket long, band int, i int, j int, id long, component long, leader long, part int, n long, sketch binary"
+_NUMBERS = ("bucket", "band", "i", "j", "id", "component", "leader", "part", "n")
 
-    def compare(t: dict, a: int, b: int, links: set) -> None:
-        ids, comp, part, n, sketch = (t[c][a:b] for c in ("id", "component", "part", "n", "sketch"))
-        i, j, leader = t["i"][a], t["j"][a], t["leader"][a]
-        right = np.flatnonzero(part == j)
-        for x in np.flatnonzero(part == i):
-            ok = comp[right] != comp[x]
+
+class _Group:
+    """The classes of one bucket that one block pair (i, j) compares."""
+
+    def __init__(self, table: pa.Table, spec: MinHash):
+        self.table, self.spec = table, spec
+        for c in _NUMBERS:
+            setattr(self, c, table.column(c).to_numpy())
+        self.sketch, self.met = _bytes(table.column("sketch"), spec)
+
+    def pairs(self):
+        """(x, ys): rows that may be similar, of different components, and meet in no earlier band."""
+        i, j, band, leader = (int(getattr(self, c)[0]) for c in ("i", "j", "band", "leader"))
+        right = np.flatnonzero(self.part == j)
+        for x in np.flatnonzero(self.part == i):
+            ok = self.component[right] != self.component[x]
             if i == j:
                 ok &= right > x
             # Pairs with the leader have been verified.
-            ok &= (ids[right] != leader) & (ids[x] != leader)
-            ok &= 100 * np.minimum(n[right], n[x]) >= spec.percent * np.maximum(n[right], n[x])
+            ok &= (self.id[right] != leader) & (self.id[x] != leader)
+            ok &= 100 * np.minimum(self.n[right], self.n[x]) >= self.spec.percent * np.maximum(self.n[right], self.n[x])
             near = right[ok]
             if len(near):
-                for y in near[_agree(sketch[near], sketch[x], spec.least_agree)]:
-                    links.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                ok = _agree(self.sketch[near], self.sketch[x], self.spec.least_agree)
+                ok &= ~(self.met[near, :band] == self.met[x, :band]).any(axis=1)
+                if ok.any():
+                    yield x, near[ok]
+
+
+def _groups(batches, spec: MinHash):
+    """The groups of rows that come sorted by (bucket, i, j); None after each batch."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        new = np.zeros(max(len(table) - 1, 0), bool)
+        for c in ("bucket", "i", "j"):
+            new |= np.diff(table.column(c).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1:
+                yield _Group(table.slice(a, b - a), spec)
+        rest = table.slice(cuts[-1])
+        yield None
+    if rest is not None and len(rest) > 1:
+        yield _Group(rest, spec)
+
+
+def _far_members(spec: MinHash):
+    """The rows of groups that have a pair to verify."""
+
+    def run(batches):
+        kept: list[pa.Table] = []
+        for group in _groups(batches, spec):
+            if group is None:
+                for t in kept:
+                    yield from t.to_batches()
+                kept = []
+                continue
+            use = np.zeros(len(group.id), bool)
+            for x, ys in group.pairs():
+                use[x] = use[ys] = True
+            if use.any():
+                kept.append(group.table.filter(pa.array(use)))
+        for t in kept:
+            yield from t.to_batches()
+
+    return run
+
+
+def _far_links(spec: MinHash):
+    """Links between different components within a group, on full sets: as many as join what can be joined."""
+
+    def linked(group: _Group) -> set:
+        texts = group.table.column("text").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+
+        def hashed(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = np.unique(shingle_hashes(*word_hashes([plain_words(texts[x])]), spec.size)[0])
+            return sets[x]
+
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        links = set()
+        for x, ys in group.pairs():
+            for y in ys.tolist():
+                cx, cy = find(int(group.component[x])), find(int(group.component[y]))
+                if cx == cy:
+                    continue
+                a, b = hashed(x), hashed(y)
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * shared >= spec.percent * (len(a) + len(b) - shared) and _similar(
+                    shingle_set(texts[x], spec.size), shingle_set(texts[y], spec.size), spec.percent
+                ):
+                    root[cx] = cy
+                    links.add((int(group.id[x]), int(group.id[y])))
+        return links
 
     def run(batches):
-        rest: dict | None = None
         links: set = set()
-        for batch in batches:
-            t = {c: batch.column(c).to_numpy() for c in names}
-            t["sketch"] = _bytes(batch.column("sketch"), spec.width)
-            if rest is not None:
-                t = {c: np.concatenate((rest[c], t[c])) for c in t}
-            new = (np.diff(t["bucket"]) != 0) | (np.diff(t["i"]) != 0) | (np.diff(t["j"]) != 0)
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                compare(t, a, b, links)
-            rest = {c: v[cuts[-1] :] for c, v in t.items()}
-            if len(links) > 10_000:
+        for group in _groups(batches, spec):
+            if group is None:
                 yield _pairs(links)
-                links.clear()
-        if rest is not None:
-            compare(rest, 0, len(rest["id"]), links)
+                links = set()
+            else:
+                links |= linked(group)
         yield _pairs(links)
 
     return run
@@ -238,7 +321,7 @@ def near_copies(docs: DataFrame, spec: MinHash = MinHash()) -> DataFrame:
     classes = materialise(sk.groupBy("class").agg(F.min("id").alias("least")), "minhash-classes")
     firsts = classes.select("class", F.col("least").alias("id"))
     sets = sk.filter("n > 0").join(firsts, ["class", "id"])
-    band = sets.select(F.explode("bands").alias("bucket"), "id")
+    band = sets.select(F.posexplode("bands").alias("band", "bucket"), "id")
     shared = materialise(
         band.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("members")).filter("leader < last").drop("last"),
         "minhash-buckets",
@@ -259,10 +342,12 @@ def near_copies(docs: DataFrame, spec: MinHash = MinHash()) -> DataFrame:
         .join(slim, "id")
         .withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "leader", "part", "n", "sketch")
+        .select("bucket", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "leader", "part", "n", "sketch")
     )
-    far = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_far_pairs(spec), "a long, b long").distinct()
-    more = materialise(verified(materialise(far, "minhash-far"), texts, spec), "minhash-more")
+    group = ["bucket", "i", "j"]
+    far = materialise(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_far_members(spec), PLACE), "minhash-far")
+    far = far.join(texts, "id").select(*[c.split()[0] for c in PLACE.split(", ")], "text")
+    more = materialise(far.repartition(*group).sortWithinPartitions(*group).mapInArrow(_far_links(spec), "a long, b long").distinct(), "minhash-more")
     final = materialise(components(links.unionByName(more)), "minhash-final") if not more.isEmpty() else found
 
     named = materialise(
