@@ -329,15 +329,18 @@ def transducer(vocabulary: Vocabulary) -> tuple[Transducer, Decoder]:
     return made, Decoder(made.bytes_of)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
 def encoded(vocabulary: Vocabulary, text: Column) -> Column:
     """The ids of a text column, as an array of int."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec, _ = transducer(vocabulary)
-        parts = [np.frombuffer(codec.encode(t), "<i4") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        return _lists([np.frombuffer(codec.encode(t), "<i4") for t in texts.to_pylist()])
 
     return encode.asNondeterministic()(text)
 
@@ -376,3 +379,24 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     name = fresh(docs, "_digest")
     out = docs.withColumn(name, digest.asNondeterministic()(F.col("text")))
     return out.withColumns({c: F.col(name)[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(name)
+
+
+def tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` with the ids of its texts, their number, and whether they decode to the text again.
+
+    Adds ids, n_tokens and exact; columns of these names are replaced. A null text counts as empty.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, exact: boolean>")
+    def encode(texts: pa.Array) -> pa.Array:
+        codec, decoder = transducer(vocabulary)
+        parts, exact = [], []
+        for text in texts.to_pylist():
+            packed = codec.encode(text)
+            parts.append(np.frombuffer(packed, "<i4"))
+            exact.append("".join(decoder.stream(memoryview(packed).cast("I"))) == (text or ""))
+        return pa.StructArray.from_arrays([_lists(parts), pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    name = fresh(docs, "_encoded")
+    out = docs.withColumn(name, encode.asNondeterministic()(F.col("text")))
+    return out.withColumns({"ids": F.col(name)["ids"], "n_tokens": F.size(F.col(name)["ids"]).cast("long"), "exact": F.col(name)["exact"]}).drop(name)
