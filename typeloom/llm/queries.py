@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, line_chunks, minhash
-from .common import documents, table
+from . import blob_ledger, bpe, decontam, langid, line_chunks, minhash
+from .common import documents, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,22 @@ def byte_bpe() -> bpe.Vocabulary:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, and digests of the ids and of what they decode to, of every document."""
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), byte_bpe()).drop("text")
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through a ledger of scanned blobs."""
+    ledger = blob_ledger.Ledger(ready(spark))
+    rows = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(blob_ledger.BASE))
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [of(k).alias(f"n_{r.kind}") for k, r in enumerate(blob_ledger.BASE)]
+    return ledger.report(rows).select(
+        F.col("key").alias("doc_id"),
+        *counts,
+        F.sha2(blob_ledger.described(base, ledger.rules), 256).alias("base_sha256"),
+        blob_ledger.described(F.col("spans"), ledger.rules).alias("spans"),
+    )
