@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, bpe, decontam, langid, line_chunks, minhash
+from . import blob_ledger, bpe, decontam, langid, line_chunks, minhash, ring_shards
 from .common import documents, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(blob_ledger.described(base, ledger.rules), 256).alias("base_sha256"),
         blob_ledger.described(F.col("spans"), ledger.rules).alias("spans"),
     )
+
+
+@query
+def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of as many rows, up to one."""
+    return ring_shards.sharded(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
