@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, bpe, decontam, langid, line_chunks, minhash, ring_shards
+from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards
+from ..session import materialise
 from .common import documents, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +91,15 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.sharded(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and what a decision list learned from the labels says."""
+    stats = materialise(decision_list.statistics(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "quality-stats")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rules = decision_list.learn(stats.filter(~failed).join(labels, "doc_id").withColumn("low", F.col("quality") == 0))
+    return stats.select("doc_id", *decision_list.STATS[:5], failed.alias("base_failed"), decision_list.verdict(rules).alias("rule")).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("rule") == 0)
+    )
