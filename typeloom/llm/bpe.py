@@ -219,9 +219,9 @@ class Transducer:
             return b""
         first, *rest = text.split(" ")
         found = list(map(self.words.new.get, rest))
-        if None in found or not _solid(first):
+        if None in found or not solid(first):
             # A new piece begins at each single space between other characters, and at no other space for sure.
-            if not _solid(first) or not all(map(_solid, (w for w, ids in zip(rest, found) if ids is None))):
+            if not solid(first) or not all(map(solid, (w for w, ids in zip(rest, found) if ids is None))):
                 return self._runs(first, rest)
             found = [self._word(w) if ids is None else ids for w, ids in zip(rest, found)]
         return self.packed(first) + b"".join(found)
@@ -262,7 +262,7 @@ class Recent:
             self.new[text] = ids
 
 
-def _solid(word: str) -> bool:
+def solid(word: str) -> bool:
     """Whether a word has other characters than white space at both ends."""
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 

@@ -186,7 +186,7 @@ class Scorer:
         found = [words_of(t) for t in texts]
         if len(self.known) > self.KEEP:
             self._reset()
-        new = set(chain.from_iterable(found)) - self.known.keys()
+        new = {w for w in set(chain.from_iterable(found)) if w not in self.known}
         if new:
             self._learn(sorted(new))
         counts = np.fromiter(map(len, found), np.int64, len(found))

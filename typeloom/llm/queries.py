@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards
-from ..session import materialise
+from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, token_orc
+from ..session import fresh_path, materialise
 from .common import documents, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *decision_list.STATS[:5], failed.alias("base_failed"), decision_list.verdict(rules).alias("rule")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)
     )
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in ORC files of all documents, read from the files."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir)
+    path = fresh_path(spark, "token-files")
+    token_orc.write(docs, path, token_orc.TokenFiles(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_orc.digests(spark, path)
