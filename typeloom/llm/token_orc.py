@@ -28,6 +28,10 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .bpe import Recent, solid
+from .common import slices
+
+#: How byte-level vocabularies write the space at the begin of a token.
+SPACE = "\u0120"
 
 
 @dataclass(frozen=True)
@@ -60,34 +64,52 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words = Recent(self.KEEP_WORDS)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it, of one text of them all: a word's first token, and no
+        other, begins with a space."""
+        out: list[bytes] = []
+        for a, b in slices(words, 200_000):
+            ids = np.array(self.library.encode(" " + " ".join(words[a:b]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) != b - a:
+                raise ValueError("the tokenizer joins words over a space")
+            packed, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            out += [packed[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         parts = [t.split(" ") for t in texts]
         near = self.words.new
+        found = [list(map(near.get, words[1:])) for words in parts]
         known: dict[str, bytes] = {}  # words of this batch that had not been met of late
         odd: set[int] = set()
-        for k, words in enumerate(parts):
-            for w in words[1:]:
-                if w in near:
-                    continue
-                if not solid(w):
-                    odd.add(k)
-                elif w not in known:
-                    known[w] = self.words.old.get(w, b"")
-            if len(words) > 1 and not solid(words[0]):
+        for k, (words, ids) in enumerate(zip(parts, found)):
+            if ids and not solid(words[0]):
                 odd.add(k)
+            elif None in ids:
+                new = {w for w, i in zip(words[1:], ids) if i is None and w not in known}
+                if all(map(solid, new)):
+                    known.update((w, self.words.old.get(w, b"")) for w in new)
+                else:
+                    odd.add(k)
         ask = [w for w, ids in known.items() if not ids]
-        known.update(zip(ask, self._plain([" " + w for w in ask])))
+        known.update(zip(ask, self._words(ask)))
         whole = iter(self._plain([texts[k] if k in odd else words[0] for k, words in enumerate(parts)]))
         out = []
-        for k, words in enumerate(parts):
+        for k, (words, ids) in enumerate(zip(parts, found)):
             first = next(whole)
-            out.append(first if k in odd else first + b"".join([near.get(w) or known[w] for w in words[1:]]))
+            if k not in odd and None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words[1:], ids)]
+            out.append(first if k in odd else first + b"".join(ids))
         for w, ids in known.items():
             self.words.note(w, ids)
         return out
