@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, token_orc
+from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
 from ..session import fresh_path, materialise
 from .common import documents, ready, table
 
@@ -114,3 +114,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_orc.write(docs, path, token_orc.TokenFiles(public_tokenizers.path("byte_bpe_50k.json")))
     return token_orc.digests(spark, path)
+
+
+@query
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality and toxicity of every document; its source is the host, its language the path."""
+    docs = documents(spark, sf_dir)
+    evidence = site_bayes.fit(docs, table(spark, sf_dir, "labels"))
+    out = site_bayes.judged(docs, evidence, F.col("source"), F.col("lang"))
+    return out.withColumn("kept", (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5))
