@@ -33,7 +33,7 @@ def n(i):
 
 def test_available_transitions_and_reasons(st):
     got = {(n(r["id"]), r["transition"]): (r["available"], r["reason"]) for r in L.available(st.scan("Project"), MACHINE).collect()}
-    assert got[(1, "activate")] == (False, "Guard for transition 'activate' was not satisfied")
+    assert got[(1, "activate")] == (False, "the condition of activate does not hold")
     assert got[(2, "activate")] == (True, None)
     assert got[(3, "autoClose")] == (True, None) and got[(4, "autoClose")][0] is False
     assert not any(k[0] == 6 for k in got)
@@ -135,16 +135,16 @@ def test_streamed_timers_equal_a_loop(spark, tmp_path):
     feed = read_feed(spark, str(tmp_path / "feed"), shape, files_per_batch=1)
     got = run_to_table(lifecycle_stream(feed, ACCOUNT_MACHINE, timed=True), "timers-test")
     state, want, end = {}, [], rows[-1][1]
-    hold = timedelta(hours=72)
+    hold = timedelta(hours=36)
     for who, at, seq, c, v in rows:
-        s, since = state.get(who, ("Draft", None))
-        if s == "OnHold" and at > since + hold:
-            want.append((who, "expireHold", since + hold))
-            s, since = "Closed", since + hold
+        s, since = state.get(who, ("Visitor", None))
+        if s == "Blocked" and at > since + hold:
+            want.append((who, "lapse", since + hold))
+            s, since = "Visitor", since + hold
         t = next((t for t in ACCOUNT_MACHINE.transitions if t.source == s and t.name == c and (c != "purchase" or v < 100)), None)
         if t:
             want.append((who, c, at))
             s, since = t.target, at
         state[who] = (s, since)
-    want += [(w, "expireHold", since + hold) for w, (s, since) in state.items() if s == "OnHold" and since + hold <= end]
+    want += [(w, "lapse", since + hold) for w, (s, since) in state.items() if s == "Blocked" and since + hold <= end]
     assert sorted((r["id"], r["transition"], r["at"]) for r in got.collect()) == sorted(want)

@@ -25,7 +25,7 @@ def commands(seed, n=3000, hot=0.6, objects=40):
 def loop(rows):
     state, out = {}, {}
     for who, at, seq, c, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        was = state.get(who, "Draft")
+        was = state.get(who, "Visitor")
         step = next((t for t in ACCOUNT_MACHINE.transitions if t.source == was and t.name == c and (c != "purchase" or v < 100)), None)
         state[who] = step.target if step else was
         out[seq] = (was, state[who], step is not None)
@@ -56,9 +56,9 @@ def test_timers_over_chunk_borders(spark):
     want = set()
     for i, r in enumerate(fired):
         nxt = fired[i + 1]["ts"] if i + 1 < len(fired) and fired[i + 1]["id"] == r["id"] else None
-        due = r["ts"] + timedelta(hours=72)
-        if r["to_state"] == "OnHold" and (nxt is None or nxt > due) and due <= as_of:
-            want.add((f"{r['id']}|OnHold|expireHold", due))
+        due = r["ts"] + timedelta(hours=36)
+        if r["to_state"] == "Blocked" and (nxt is None or nxt > due) and due <= as_of:
+            want.add((f"{r['id']}|Blocked|lapse", due))
     got = timers_due(history, ACCOUNT_MACHINE, F.lit(as_of))
     assert {(r["timer_key"], r["due_at"]) for r in got.collect()} == want
 

@@ -153,6 +153,7 @@ class Transition:
     target: str
     trigger: str = "USER_ACTION"
     guard: str | None = None
+    message: str | None = None  # what to tell where the guard does not hold
     watch: tuple[str, ...] = ()
     after: str | None = None
     signal: str | None = None

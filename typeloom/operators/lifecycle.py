@@ -29,7 +29,7 @@ def available(objects: DataFrame, machine: Machine) -> DataFrame:
     cells = []
     for _, t in machine.leaving():
         holds = templates.guard(t.guard)
-        reason = F.when(~holds, F.lit(f"Guard for transition '{t.name}' was not satisfied"))
+        reason = F.when(~holds, F.lit(t.message or f"the condition of {t.name} does not hold"))
         cells.append(
             F.when(
                 F.col("state") == t.source,

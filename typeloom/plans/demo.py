@@ -123,42 +123,48 @@ ROLLUPS = (
     Rollup("openLineCount", "Order", "LineItem", "order", "COUNT", where=("lineStatus", "eq", "O"), materialised=True),
 )
 
+# An order from quotation to settlement: goods leave whole or in parts, may be refused, and a delivery that
+# nobody refuses counts as settled after ten days.
 ORDER_MACHINE = Machine(
     "Order",
-    "Draft",
-    ("Draft", "Active", "OnHold", "Closed"),
+    "Quoted",
+    ("Quoted", "Picking", "Partial", "Shipped", "Returned", "Settled"),
     (
         Transition(
-            "activate",
-            "Draft",
-            "Active",
+            "place",
+            "Quoted",
+            "Picking",
             guard="self.priority IS NOT NULL",
+            message="an order needs a priority before it is picked",
             actions=(
-                Action("create_object", create_type="Document", assignments=(("text", "concat('Kickoff: ', self.status)"), ("lang", "'en'"))),
-                Action("webhook", url="https://hooks.example/orders/${self.id}", method="POST", body="${self.status}/${self.priority}"),
+                Action("create_object", create_type="Document", assignments=(("text", "concat('Pick list, status ', self.status)"), ("lang", "'en'"))),
+                Action("webhook", url="https://stock.example/pick/${self.id}", method="PUT", body="${self.priority} ${self.status}"),
             ),
         ),
-        Transition("hold", "Active", "OnHold", actions=(Action("set_property", property="priority", literal="0-HELD"),)),
-        Transition("resume", "OnHold", "Active", actions=(Action("log", message="resumed ${self.id} with ${self.priority}"),)),
-        Transition("close", "Active", "Closed", guard="self.totalPrice < 400000"),
-        Transition("autoClose", "Active", "Closed", "ON_CHANGE", guard="self.openLineCount = 0", watch=("order",)),
-        Transition("autoHold", "Active", "OnHold", "ON_CHANGE", guard="self.openLineCount = 1", watch=("order",)),
-        Transition("expireHold", "OnHold", "Closed", "TIMER", after="PT72H"),
-        Transition("reopen", "Closed", "Active", "EXTERNAL_SIGNAL", signal="reopen"),
+        Transition("ship", "Picking", "Shipped", actions=(Action("set_property", property="priority", literal="0-SENT"),)),
+        Transition("shipRest", "Partial", "Shipped"),
+        Transition("refuse", "Shipped", "Returned", actions=(Action("log", message="refused: ${self.id}, priority ${self.priority}"),)),
+        Transition("settle", "Shipped", "Settled", guard="self.totalPrice < 400000"),
+        Transition("requote", "Returned", "Quoted"),
+        Transition("lastLineGone", "Picking", "Shipped", "ON_CHANGE", guard="self.openLineCount = 0", watch=("order",)),
+        Transition("oneLineLeft", "Picking", "Partial", "ON_CHANGE", guard="self.openLineCount = 1", watch=("order",)),
+        Transition("settleUnanswered", "Shipped", "Settled", "TIMER", after="P10D"),
+        Transition("complain", "Settled", "Returned", "EXTERNAL_SIGNAL", signal="complaint"),
     ),
 )
 
+# A shop account by what its user did last: errors block it, and a block that no click lifts ends after 36 hours.
 ACCOUNT_MACHINE = Machine(
     "Account",
-    "Draft",
-    ("Draft", "Active", "OnHold", "Closed"),
+    "Visitor",
+    ("Visitor", "Member", "Buyer", "Blocked"),
     (
-        Transition("signup", "Draft", "Active"),
-        Transition("error", "Active", "OnHold"),
-        Transition("click", "OnHold", "Active"),
-        Transition("purchase", "Active", "Closed", guard="self.value < 100"),
-        Transition("view", "Closed", "Active"),
-        Transition("expireHold", "OnHold", "Closed", "TIMER", after="PT72H"),
+        Transition("signup", "Visitor", "Member"),
+        Transition("purchase", "Member", "Buyer", guard="self.value < 100"),
+        Transition("view", "Buyer", "Member"),
+        Transition("error", "Buyer", "Blocked"),
+        Transition("click", "Blocked", "Member"),
+        Transition("lapse", "Blocked", "Visitor", "TIMER", after="PT36H"),
     ),
 )
 
@@ -248,14 +254,14 @@ def _part(t: Callable[[str], DataFrame]) -> DataFrame:
 def _order(t: Callable[[str], DataFrame]) -> DataFrame:
     key = F.col("o_orderkey")
     by_status = (
-        F.when(F.col("o_orderstatus") == "O", F.lit("Active")).when(F.col("o_orderstatus") == "P", F.lit("OnHold")).otherwise(F.lit("Closed"))
+        F.when(F.col("o_orderstatus") == "O", F.lit("Picking")).when(F.col("o_orderstatus") == "P", F.lit("Shipped")).otherwise(F.lit("Settled"))
     )
     return t("orders").select(
         *_keyed(
             "Order",
             key,
             F.col("o_orderdate").cast("timestamp"),
-            F.when(key % 9 == 4, F.lit("Draft")).otherwise(by_status),
+            F.when(key % 9 == 4, F.lit("Quoted")).otherwise(by_status),
         ),
         F.col("o_orderstatus").alias("status"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("priority"),
@@ -346,8 +352,8 @@ def _sql_envelope(type_name: str, key: str, mark: str | None = None, created: st
 
 
 _ORDER_STATE = (
-    "CASE WHEN o_orderkey % 9 = 4 THEN 'Draft' WHEN o_orderstatus = 'O' THEN 'Active' "
-    "WHEN o_orderstatus = 'P' THEN 'OnHold' ELSE 'Closed' END"
+    "CASE WHEN o_orderkey % 9 = 4 THEN 'Quoted' WHEN o_orderstatus = 'O' THEN 'Picking' "
+    "WHEN o_orderstatus = 'P' THEN 'Shipped' ELSE 'Settled' END"
 )
 
 SQL_VIEWS = {

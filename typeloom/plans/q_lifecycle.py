@@ -19,8 +19,8 @@ def _key(column: str = "id"):
 
 @query(
     "available_transitions",
-    "SELECT o.id, t.transition FROM l_order o JOIN (VALUES ('Draft', 'activate'), ('Active', 'hold'), ('OnHold', 'resume'), ('Active', 'close'), "
-    "('Active', 'autoClose'), ('Active', 'autoHold'), ('OnHold', 'expireHold'), ('Closed', 'reopen')) AS t(state, transition) ON t.state = o.state",
+    "SELECT o.id, t.transition FROM l_order o JOIN (VALUES ('Quoted', 'place'), ('Picking', 'ship'), ('Picking', 'lastLineGone'), ('Picking', 'oneLineLeft'), "
+    "('Shipped', 'refuse'), ('Shipped', 'settle'), ('Shipped', 'settleUnanswered'), ('Settled', 'complain')) AS t(state, transition) ON t.state = o.state",
 )
 def available_transitions(s: DemoStore) -> DataFrame:
     return L.available(s.scan("Order"), ORDER_MACHINE).select("id", "transition")
@@ -28,11 +28,11 @@ def available_transitions(s: DemoStore) -> DataFrame:
 
 @query(
     "guard_available",
-    "SELECT id, transition, ok AS available, CASE WHEN NOT ok THEN 'Guard for transition ''' || transition || ''' was not satisfied' END AS reason FROM ("
-    "SELECT id, 'activate' AS transition, priority IS NOT NULL AS ok FROM l_order WHERE state = 'Draft' UNION ALL "
-    "SELECT id, 'close', totalPrice < 400000 FROM l_order WHERE state = 'Active' UNION ALL "
-    "SELECT id, 'autoClose', openLineCount = 0 FROM l_order WHERE state = 'Active' UNION ALL "
-    "SELECT id, 'autoHold', openLineCount = 1 FROM l_order WHERE state = 'Active')",
+    "SELECT id, transition, ok AS available, CASE WHEN NOT ok THEN coalesce(message, 'the condition of ' || transition || ' does not hold') END AS reason FROM ("
+    "SELECT id, 'place' AS transition, priority IS NOT NULL AS ok, 'an order needs a priority before it is picked' AS message FROM l_order WHERE state = 'Quoted' UNION ALL "
+    "SELECT id, 'settle', totalPrice < 400000, NULL FROM l_order WHERE state = 'Shipped' UNION ALL "
+    "SELECT id, 'lastLineGone', openLineCount = 0, NULL FROM l_order WHERE state = 'Picking' UNION ALL "
+    "SELECT id, 'oneLineLeft', openLineCount = 1, NULL FROM l_order WHERE state = 'Picking')",
 )
 def guard_available(s: DemoStore) -> DataFrame:
     guarded = [t.name for t in ORDER_MACHINE.transitions if t.guard]
@@ -42,24 +42,24 @@ def guard_available(s: DemoStore) -> DataFrame:
 def order_commands(s: DemoStore) -> DataFrame:
     """One user command per order, and a second, later one for every other order."""
     k = _key()
-    first = F.element_at(F.array(*[F.lit(n) for n in ("activate", "hold", "resume", "close")]), (k % 4 + 1).cast("int"))
+    first = F.element_at(F.array(*[F.lit(n) for n in ("place", "ship", "refuse", "settle")]), (k % 4 + 1).cast("int"))
     rows = s.scan("Order", include_deleted=True).select("id", k.alias("k"), first.alias("transition"))
     n = F.explode(F.when(F.col("k") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     return rows.select("*", n.alias("n")).select(
         (F.col("k") * 10 + F.col("n")).alias("command_id"),
         "id",
-        F.when(F.col("n") == 2, F.lit("close")).otherwise(F.col("transition")).alias("transition"),
+        F.when(F.col("n") == 2, F.lit("settle")).otherwise(F.col("transition")).alias("transition"),
         F.when(F.col("k") % 13 == 0, F.lit(7)).otherwise(F.lit(1)).cast("long").alias("expected_version"),
         F.timestamp_seconds(F.lit(1719835200) + F.col("n")).alias("at"),
     )
 
 
 _COMMANDS = (
-    "c AS (SELECT o_orderkey * 10 + n AS command_id, id, n, CASE WHEN n = 2 THEN 'close' ELSE ['activate', 'hold', 'resume', 'close'][o_orderkey % 4 + 1] END AS transition, "
+    "c AS (SELECT o_orderkey * 10 + n AS command_id, id, n, CASE WHEN n = 2 THEN 'settle' ELSE ['place', 'ship', 'refuse', 'settle'][o_orderkey % 4 + 1] END AS transition, "
     "o_orderkey % 13 = 0 AS old FROM (SELECT id, o_orderkey, unnest([1, 2]) AS n FROM v_order WHERE tenant = 'default') WHERE n = 1 OR o_orderkey % 2 = 0), "
     "j AS (SELECT c.*, o.state, CASE WHEN o.id IS NULL THEN 'not_found' WHEN old THEN 'stale' "
-    "WHEN (o.state, c.transition) NOT IN (('Draft', 'activate'), ('Active', 'hold'), ('OnHold', 'resume'), ('Active', 'close')) THEN 'unavailable' "
-    "WHEN (c.transition = 'activate' AND o.priority IS NULL) OR (c.transition = 'close' AND o.totalPrice >= 400000) THEN 'guard' ELSE 'fired' END AS st "
+    "WHEN (o.state, c.transition) NOT IN (('Quoted', 'place'), ('Picking', 'ship'), ('Shipped', 'refuse'), ('Shipped', 'settle')) THEN 'unavailable' "
+    "WHEN (c.transition = 'place' AND o.priority IS NULL) OR (c.transition = 'settle' AND o.totalPrice >= 400000) THEN 'guard' ELSE 'fired' END AS st "
     "FROM c LEFT JOIN l_order o ON o.id = c.id)"
 )
 
@@ -75,7 +75,7 @@ def fire_commands(s: DemoStore) -> DataFrame:
 
 @query(
     "fire_moved",
-    "SELECT o.id, CASE f.transition WHEN 'activate' THEN 'Active' WHEN 'hold' THEN 'OnHold' WHEN 'resume' THEN 'Active' WHEN 'close' THEN 'Closed' ELSE o.state END AS state, "
+    "SELECT o.id, CASE f.transition WHEN 'place' THEN 'Picking' WHEN 'ship' THEN 'Shipped' WHEN 'refuse' THEN 'Returned' WHEN 'settle' THEN 'Settled' ELSE o.state END AS state, "
     "o.version + CAST(f.id IS NOT NULL AS BIGINT) AS version FROM l_order o LEFT JOIN (SELECT id, arg_min(transition, n) AS transition FROM j WHERE st = 'fired' GROUP BY id) f ON f.id = o.id",
     _COMMANDS,
 )
@@ -94,10 +94,10 @@ def account_commands(s: DemoStore) -> DataFrame:
 
 _FOLD = (
     "ev AS (SELECT user_id, event_id, ts, event_type AS c, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), "
-    "fold AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS was, 'Draft' AS state FROM (SELECT DISTINCT user_id FROM events) "
-    "UNION ALL SELECT f.user_id, e.rn, e.event_id, f.state, CASE WHEN f.state = 'Draft' AND e.c = 'signup' THEN 'Active' WHEN f.state = 'Active' AND e.c = 'error' THEN 'OnHold' "
-    "WHEN f.state = 'OnHold' AND e.c = 'click' THEN 'Active' WHEN f.state = 'Active' AND e.c = 'purchase' AND e.value < 100 THEN 'Closed' "
-    "WHEN f.state = 'Closed' AND e.c = 'view' THEN 'Active' ELSE f.state END FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1), "
+    "fold AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS was, 'Visitor' AS state FROM (SELECT DISTINCT user_id FROM events) "
+    "UNION ALL SELECT f.user_id, e.rn, e.event_id, f.state, CASE WHEN f.state = 'Visitor' AND e.c = 'signup' THEN 'Member' WHEN f.state = 'Member' AND e.c = 'purchase' AND e.value < 100 THEN 'Buyer' "
+    "WHEN f.state = 'Buyer' AND e.c = 'view' THEN 'Member' WHEN f.state = 'Buyer' AND e.c = 'error' THEN 'Blocked' "
+    "WHEN f.state = 'Blocked' AND e.c = 'click' THEN 'Member' ELSE f.state END FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1), "
     "done AS (SELECT f.user_id, f.rn, f.event_id, f.was, f.state, e.ts, e.c, '00000000-0000-4000-8009-' || lpad(lower(to_hex(f.user_id)), 12, '0') AS id FROM fold f JOIN ev e ON e.event_id = f.event_id)"
 )
 
@@ -132,9 +132,9 @@ AS_OF = "2024-01-29 00:00:00"
 
 @query(
     "timer_due",
-    "SELECT id || '|OnHold|expireHold' AS timer_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS entered, strftime(ts + INTERVAL 72 HOUR, '%Y-%m-%d %H:%M:%S') AS due FROM "
+    "SELECT id || '|Blocked|lapse' AS timer_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS entered, strftime(ts + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS due FROM "
     "(SELECT id, ts, state, lead(ts) OVER (PARTITION BY id ORDER BY rn) AS nxt FROM done WHERE was <> state) "
-    f"WHERE state = 'OnHold' AND (nxt IS NULL OR nxt > ts + INTERVAL 72 HOUR) AND ts + INTERVAL 72 HOUR <= TIMESTAMP '{AS_OF}'",
+    f"WHERE state = 'Blocked' AND (nxt IS NULL OR nxt > ts + INTERVAL 36 HOUR) AND ts + INTERVAL 36 HOUR <= TIMESTAMP '{AS_OF}'",
     _FOLD,
 )
 def timer_due(s: DemoStore) -> DataFrame:
@@ -157,8 +157,8 @@ def watch_candidates(s: DemoStore) -> DataFrame:
 
 @query(
     "onchange_fire",
-    "SELECT id, CASE WHEN openLineCount = 0 THEN 'autoClose' ELSE 'autoHold' END AS transition, CASE WHEN openLineCount = 0 THEN 'Closed' ELSE 'OnHold' END AS to_state, CAST(2 AS BIGINT) AS version "
-    "FROM l_order WHERE state = 'Active' AND openLineCount IN (0, 1) AND id IN (SELECT \"order\" FROM v_lineitem WHERE tenant = 'default')",
+    "SELECT id, CASE WHEN openLineCount = 0 THEN 'lastLineGone' ELSE 'oneLineLeft' END AS transition, CASE WHEN openLineCount = 0 THEN 'Shipped' ELSE 'Partial' END AS to_state, CAST(2 AS BIGINT) AS version "
+    "FROM l_order WHERE state = 'Picking' AND openLineCount IN (0, 1) AND id IN (SELECT \"order\" FROM v_lineitem WHERE tenant = 'default')",
 )
 def onchange_fire(s: DemoStore) -> DataFrame:
     candidates = L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
@@ -168,13 +168,13 @@ def onchange_fire(s: DemoStore) -> DataFrame:
 def order_signals(s: DemoStore) -> DataFrame:
     k = _key()
     return s.scan("Order", include_deleted=True).select(
-        k.alias("signal_id"), "id", F.when(k % 3 == 0, F.lit("refund")).otherwise(F.lit("reopen")).alias("signal"), F.lit("2024-07-01").cast("timestamp").alias("at")
+        k.alias("signal_id"), "id", F.when(k % 3 == 0, F.lit("refund")).otherwise(F.lit("complaint")).alias("signal"), F.lit("2024-07-01").cast("timestamp").alias("at")
     )
 
 
 @query(
     "signal_fire",
-    "SELECT id, 'fired' AS outcome FROM l_order WHERE state = 'Closed' AND o_orderkey % 3 <> 0 UNION ALL SELECT id, 'unknown' FROM v_order WHERE tenant = 'default' AND o_orderkey % 3 = 0",
+    "SELECT id, 'fired' AS outcome FROM l_order WHERE state = 'Settled' AND o_orderkey % 3 <> 0 UNION ALL SELECT id, 'unknown' FROM v_order WHERE tenant = 'default' AND o_orderkey % 3 = 0",
 )
 def signal_fire(s: DemoStore) -> DataFrame:
     fired, unknown = L.fire_signals(s.scan("Order"), order_signals(s), ORDER_MACHINE)
@@ -192,8 +192,8 @@ _FIRED = _COMMANDS + ", f AS (SELECT o.*, w.transition FROM l_order o JOIN (SELE
 @query(
     "transition_events",
     "SELECT id AS object_id, 'TransitionFired' AS kind, transition AS name FROM f UNION ALL "
-    "SELECT f.id, 'ActionRequest', a.name FROM f JOIN (VALUES ('activate', '0:create_object'), ('activate', '1:webhook'), ('hold', '0:set_property'), ('resume', '0:log')) AS a(t, name) ON a.t = f.transition "
-    "UNION ALL SELECT id, 'TimerScheduled', 'expireHold' FROM f WHERE transition = 'hold' UNION ALL SELECT id, 'TimerCancelled', 'expireHold' FROM f WHERE transition = 'resume'",
+    "SELECT f.id, 'ActionRequest', a.name FROM f JOIN (VALUES ('place', '0:create_object'), ('place', '1:webhook'), ('ship', '0:set_property'), ('refuse', '0:log')) AS a(t, name) ON a.t = f.transition "
+    "UNION ALL SELECT id, 'TimerScheduled', 'settleUnanswered' FROM f WHERE transition = 'ship' UNION ALL SELECT id, 'TimerCancelled', 'settleUnanswered' FROM f WHERE transition IN ('refuse', 'settle')",
     _FIRED,
 )
 def transition_events(s: DemoStore) -> DataFrame:
@@ -202,7 +202,7 @@ def transition_events(s: DemoStore) -> DataFrame:
 
 @query(
     "action_set_property",
-    "SELECT id, 'priority' AS property, priority AS old, '0-HELD' AS new FROM f WHERE transition = 'hold' AND priority IS DISTINCT FROM '0-HELD'",
+    "SELECT id, 'priority' AS property, priority AS old, '0-SENT' AS new FROM f WHERE transition = 'ship' AND priority IS DISTINCT FROM '0-SENT'",
     _FIRED,
 )
 def action_set_property(s: DemoStore) -> DataFrame:
@@ -211,7 +211,7 @@ def action_set_property(s: DemoStore) -> DataFrame:
 
 @query(
     "action_create_object",
-    "SELECT 'Kickoff: ' || status AS text, 'en' AS lang, CAST(1 AS BIGINT) AS version, tenant, state_is_null FROM (SELECT *, true AS state_is_null FROM f) WHERE transition = 'activate'",
+    "SELECT 'Pick list, status ' || status AS text, 'en' AS lang, CAST(1 AS BIGINT) AS version, tenant, state_is_null FROM (SELECT *, true AS state_is_null FROM f) WHERE transition = 'place'",
     _FIRED,
 )
 def action_create_object(s: DemoStore) -> DataFrame:
@@ -222,8 +222,8 @@ def action_create_object(s: DemoStore) -> DataFrame:
 
 @query(
     "render_message",
-    "SELECT id, 'webhook' AS kind, 'POST' AS method, 'https://hooks.example/orders/' || id AS url, status || '/' || coalesce(priority, '') AS text FROM f WHERE transition = 'activate' "
-    "UNION ALL SELECT id, 'log', NULL, NULL, 'resumed ' || id || ' with ' || coalesce(priority, '') FROM f WHERE transition = 'resume'",
+    "SELECT id, 'webhook' AS kind, 'PUT' AS method, 'https://stock.example/pick/' || id AS url, coalesce(priority, '') || ' ' || status AS text FROM f WHERE transition = 'place' "
+    "UNION ALL SELECT id, 'log', NULL, NULL, 'refused: ' || id || ', priority ' || coalesce(priority, '') FROM f WHERE transition = 'refuse'",
     _FIRED,
 )
 def render_message(s: DemoStore) -> DataFrame:

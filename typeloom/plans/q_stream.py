@@ -52,26 +52,26 @@ def stream_lifecycle(s: DemoStore) -> DataFrame:
 
 _TIMED = (
     "ev AS (SELECT user_id, event_id, ts, event_type AS c, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), "
-    "tf AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ran_out, 'Draft' AS met, 'Draft' AS state, CAST(NULL AS TIMESTAMP) AS entered FROM (SELECT DISTINCT user_id FROM events) "
+    "tf AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ran_out, 'Visitor' AS met, 'Visitor' AS state, CAST(NULL AS TIMESTAMP) AS entered FROM (SELECT DISTINCT user_id FROM events) "
     "UNION ALL SELECT user_id, rn, ran_out, met, state, CASE WHEN state <> met THEN ts WHEN ran_out IS NOT NULL THEN ran_out ELSE entered END FROM ("
-    "SELECT x.*, CASE WHEN met = 'Draft' AND c = 'signup' THEN 'Active' WHEN met = 'Active' AND c = 'error' THEN 'OnHold' WHEN met = 'OnHold' AND c = 'click' THEN 'Active' "
-    "WHEN met = 'Active' AND c = 'purchase' AND value < 100 THEN 'Closed' WHEN met = 'Closed' AND c = 'view' THEN 'Active' ELSE met END AS state FROM ("
-    "SELECT f.user_id, e.rn, e.ts, e.c, e.value, f.entered, CASE WHEN f.state = 'OnHold' AND e.ts > f.entered + INTERVAL 72 HOUR THEN f.entered + INTERVAL 72 HOUR END AS ran_out, "
-    "CASE WHEN f.state = 'OnHold' AND e.ts > f.entered + INTERVAL 72 HOUR THEN 'Closed' ELSE f.state END AS met FROM tf f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1) x)), "
-    "due AS (SELECT user_id, ran_out AS due FROM tf WHERE ran_out IS NOT NULL UNION ALL SELECT user_id, entered + INTERVAL 72 HOUR FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM tf) WHERE back = 1 AND state = 'OnHold' AND entered + INTERVAL 72 HOUR <= (SELECT max(ts) FROM events))"
+    "SELECT x.*, CASE WHEN met = 'Visitor' AND c = 'signup' THEN 'Member' WHEN met = 'Member' AND c = 'purchase' AND value < 100 THEN 'Buyer' WHEN met = 'Buyer' AND c = 'view' THEN 'Member' "
+    "WHEN met = 'Buyer' AND c = 'error' THEN 'Blocked' WHEN met = 'Blocked' AND c = 'click' THEN 'Member' ELSE met END AS state FROM ("
+    "SELECT f.user_id, e.rn, e.ts, e.c, e.value, f.entered, CASE WHEN f.state = 'Blocked' AND e.ts > f.entered + INTERVAL 36 HOUR THEN f.entered + INTERVAL 36 HOUR END AS ran_out, "
+    "CASE WHEN f.state = 'Blocked' AND e.ts > f.entered + INTERVAL 36 HOUR THEN 'Visitor' ELSE f.state END AS met FROM tf f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1) x)), "
+    "due AS (SELECT user_id, ran_out AS due FROM tf WHERE ran_out IS NOT NULL UNION ALL SELECT user_id, entered + INTERVAL 36 HOUR FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM tf) WHERE back = 1 AND state = 'Blocked' AND entered + INTERVAL 36 HOUR <= (SELECT max(ts) FROM events))"
 )
 
 
 @query(
     "stream_timers",
-    "SELECT '00000000-0000-4000-8009-' || lpad(lower(to_hex(user_id)), 12, '0') AS id, 'OnHold' AS from_state, 'Closed' AS to_state, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM due",
+    "SELECT '00000000-0000-4000-8009-' || lpad(lower(to_hex(user_id)), 12, '0') AS id, 'Blocked' AS from_state, 'Visitor' AS to_state, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM due",
     _TIMED,
 )
 def stream_timers(s: DemoStore) -> DataFrame:
     """Timers that ran out, and moved their object on, by the end of the feed."""
     fired = S.run_to_table(lifecycle_stream(_commands(s), ACCOUNT_MACHINE, timed=True), "timers")
-    return fired.where(F.col("transition") == "expireHold").select("id", "from_state", "to_state", stamp("at", "due"))
+    return fired.where(F.col("transition") == "lapse").select("id", "from_state", "to_state", stamp("at", "due"))
 
 
 @query(
