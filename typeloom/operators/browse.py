@@ -60,7 +60,7 @@ def resolve(schema: Schema, spec: BrowseSpec) -> Browse:
     problems: list[Violation] = []
     for t in spec.types:
         if not schema.has_type(t):
-            problems.append(Violation(t, f"Unknown type '{t}'"))
+            problems.append(Violation(t, f"no type is called {t}"))
     if problems:
         raise InvalidQuery(problems)
     props = schema.reachable_properties(*spec.types)
@@ -71,7 +71,7 @@ def resolve(schema: Schema, spec: BrowseSpec) -> Browse:
     def find(token: str, use: str) -> Property | None:
         p = next((x for x in props if token in (x.iri, x.name)), None)
         if p is None:
-            problems.append(Violation(token, f"Unknown property '{token}'"))
+            problems.append(Violation(token, f"no property is called {token}"))
             return None
         if p.is_list:
             problems.append(Violation(p.iri, f"Property '{p.name}' has several values and cannot be used to {use}"))

@@ -25,30 +25,30 @@ def _scalar(p: Property, cell: Column, kind: Column) -> tuple[Column, Column]:
     is_text = kind == "STRING"
     target = p.scalar_type.simpleString()
     if p.is_ref:
-        ok, value, reason = is_text & text.rlike(_UUID), F.lower(text), F.lit("expected a UUID string")
+        ok, value, reason = is_text & text.rlike(_UUID), F.lower(text), F.lit("not a UUID")
     else:
         match p.datatype:
             case "integer" | "long":
                 number = F.try_variant_get(cell, "$", "decimal(38,10)")
-                ok, reason = _numeric(kind) & (number == F.floor(number)), F.lit("expected an integer")
+                ok, reason = _numeric(kind) & (number == F.floor(number)), F.lit("not a whole number")
                 value = number.try_cast("bigint")
             case "decimal" | "double":
                 ok = _numeric(kind) | (is_text & text.rlike(_NUMBER))
-                value, reason = text.try_cast(target), F.lit("expected a decimal number")
+                value, reason = text.try_cast(target), F.lit("not a number")
             case "boolean":
-                ok, value, reason = kind == "BOOLEAN", F.try_variant_get(cell, "$", "boolean"), F.lit("expected a boolean")
+                ok, value, reason = kind == "BOOLEAN", F.try_variant_get(cell, "$", "boolean"), F.lit("neither true nor false")
             case "date":
                 value = text.try_cast("date")
                 ok = is_text & text.rlike(_DATE)
-                reason = F.when(is_text, F.lit("expected an ISO-8601 date string")).otherwise(F.lit("expected a date string"))
+                reason = F.when(is_text, F.lit("not a date like 2024-02-29")).otherwise(F.lit("a date is written as text"))
             case "dateTime":
                 value = text.try_cast("timestamp")
                 ok = is_text & text.rlike(_INSTANT)
-                reason = F.when(is_text, F.lit("expected an ISO-8601 dateTime string with an offset")).otherwise(
-                    F.lit("expected a dateTime string")
+                reason = F.when(is_text, F.lit("not an instant with an offset")).otherwise(
+                    F.lit("an instant is written as text")
                 )
             case _:
-                ok, value, reason = is_text, text, F.lit("expected a string")
+                ok, value, reason = is_text, text, F.lit("not text")
     good = F.coalesce(ok & value.isNotNull(), F.lit(False))
     return F.when(good, value), F.when(~good, reason)
 
@@ -66,7 +66,7 @@ def _list(p: Property, cell: Column) -> Column:
     def judge(item: Column, i: Column) -> Column:
         kind = F.schema_of_variant(item)
         value, why = _scalar(p, item, kind)
-        why = F.when(kind.startswith("ARRAY"), F.lit("expected a scalar value, got a list")).otherwise(why)
+        why = F.when(kind.startswith("ARRAY"), F.lit("a list inside a list")).otherwise(why)
         reason = F.when(why.isNotNull(), F.concat(F.lit("element "), i.cast("string"), F.lit(": "), why))
         return F.struct(value.alias("value"), reason.alias("reason"))
 
@@ -108,13 +108,13 @@ def coerce(store: ObjectStore, raw: DataFrame, type_name: str) -> tuple[DataFram
         cell, kind = F.col(f"_c_{p.name}"), F.col(f"_k_{p.name}")
         present = kind.isNotNull() & (kind != "VOID")
         if p.read_only:
-            why = "is a derived property and cannot be set directly" if p.name in derived else "is read-only"
-            reasons.append(F.when(present, F.array(F.lit(f"Property '{p.name}' {why}"))).alias(f"_r_{p.name}"))
+            why = "is worked out and cannot be given" if p.name in derived else "cannot be given"
+            reasons.append(F.when(present, F.array(F.lit(f"{p.name} {why}"))).alias(f"_r_{p.name}"))
         elif p.is_list:
             values.append(F.when(present, _list(p, cell)).alias(f"_l_{p.name}"))
         else:
             value, reason = _scalar(p, cell, kind)
-            one = F.when(kind.startswith("ARRAY"), F.lit("expected a single value, got a list")).otherwise(reason)
+            one = F.when(kind.startswith("ARRAY"), F.lit("one value is due, not a list")).otherwise(reason)
             values.append(F.when(present, value).alias(p.name))
             reasons.append(F.when(present & one.isNotNull(), F.array(one)).alias(f"_r_{p.name}"))
     typed = kinds.select("*", *values, *reasons)
@@ -122,8 +122,8 @@ def coerce(store: ObjectStore, raw: DataFrame, type_name: str) -> tuple[DataFram
     none = F.array().cast("array<struct<property:string,message:string>>")
     unknown = F.filter(F.col("_other"), lambda k: F.try_element_at(F.col("_texts"), k).isNotNull())
     everything = [
-        F.when(~F.col("_object"), F.array(_found("", "expected a JSON object"))),
-        F.transform(unknown, lambda k: _found(k, F.concat(F.lit("Unknown property '"), k, F.lit("'")))),
+        F.when(~F.col("_object"), F.array(_found("", "not an object"))),
+        F.transform(unknown, lambda k: _found(k, F.concat(F.lit("no property is called "), k))),
     ]
     columns = []
     for p in props:
@@ -132,7 +132,7 @@ def coerce(store: ObjectStore, raw: DataFrame, type_name: str) -> tuple[DataFram
         elif p.is_list:
             items, kind = F.col(f"_l_{p.name}"), F.col(f"_k_{p.name}")
             no_list = kind.isNotNull() & (kind != "VOID") & ~kind.startswith("ARRAY")
-            wrong = F.when(no_list, F.array(F.lit("expected a list, got a single value"))).otherwise(F.array_compact(items["reason"]))
+            wrong = F.when(no_list, F.array(F.lit("a list is due, not one value"))).otherwise(F.array_compact(items["reason"]))
             everything.append(_named(p.name, wrong))
             columns.append(items["value"].alias(p.name))
         else:

@@ -125,7 +125,7 @@ def literal(p: Property, raw: object) -> object:
         try:
             return str(uuid.UUID(str(raw)))
         except ValueError:
-            raise ValueError("expected a UUID string") from None
+            raise ValueError("not a UUID") from None
     text = str(raw)
     match p.datatype:
         case "integer" | "long":
@@ -133,34 +133,34 @@ def literal(p: Property, raw: object) -> object:
                 number = Decimal(text)
                 whole = number.to_integral_value() if number.is_finite() else number
             except InvalidOperation:
-                raise ValueError("expected an integer") from None
+                raise ValueError("not a whole number") from None
             if not number.is_finite() or number != whole or not -(2**63) <= whole < 2**63:
-                raise ValueError("expected an integer")
+                raise ValueError("not a whole number")
             return int(whole)
         case "decimal" | "double":
             try:
                 number = Decimal(text)
             except InvalidOperation:
-                raise ValueError("expected a decimal number") from None
+                raise ValueError("not a number") from None
             if not number.is_finite() or number.adjusted() >= 38 or number.as_tuple().exponent < -38:
-                raise ValueError("expected a decimal number")
+                raise ValueError("not a number")
             return number
         case "boolean":
             if text.lower() not in ("true", "false"):
-                raise ValueError("expected a boolean")
+                raise ValueError("neither true nor false")
             return text.lower() == "true"
         case "date":
             try:
                 return date.fromisoformat(text)
             except ValueError:
-                raise ValueError("expected an ISO-8601 date string") from None
+                raise ValueError("not a date like 2024-02-29") from None
         case "dateTime":
             try:
                 when = datetime.fromisoformat(text)
             except ValueError:
                 when = None
             if when is None or when.tzinfo is None:
-                raise ValueError("expected an ISO-8601 dateTime string with an offset")
+                raise ValueError("not an instant with an offset")
             return when
     return text
 
@@ -168,15 +168,15 @@ def literal(p: Property, raw: object) -> object:
 def criterion(p: Property, operator: str, raw: object, violations: list[Violation]) -> Criterion | None:
     """Check and coerce one criterion, adding every problem to ``violations``."""
     if operator not in OPERATORS:
-        violations.append(Violation(p.iri, f"Unknown operator '{operator}'"))
+        violations.append(Violation(p.iri, f"no operator is called {operator}"))
         return None
     if not applicable(operator, p):
-        violations.append(Violation(p.iri, f"Operator {operator} is not applicable to property '{p.name}'"))
+        violations.append(Violation(p.iri, f"{operator} has no meaning for {p.name}"))
         return None
     if operator in PRESENCE_OPERATORS:
         return Criterion(p, operator)
     if raw is None:
-        violations.append(Violation(p.iri, f"value required for operator {operator}"))
+        violations.append(Violation(p.iri, f"{operator} needs a value"))
         return None
     before = len(violations)
     values: list[object] = []
@@ -184,7 +184,7 @@ def criterion(p: Property, operator: str, raw: object, violations: list[Violatio
     items = ([t.strip() for t in raw.split(",")] if isinstance(raw, str) else list(raw)) if many else [raw]
     for item in items:
         if many and item == "":
-            violations.append(Violation(p.iri, "IN operator candidate value must not be blank"))
+            violations.append(Violation(p.iri, "an empty value in the list"))
             continue
         try:
             values.append(literal(p, item))
@@ -207,7 +207,7 @@ def from_tree(schema: Schema, source: str, node: object) -> list[Criterion]:
             name, op, value = (*node, None)[:3]
             p = schema.lookup(source, name)
             if p is None:
-                raise InvalidQuery([Violation(name, f"Unknown property '{name}'")])
+                raise InvalidQuery([Violation(name, f"no property is called {name}")])
             found: list[Violation] = []
             c = criterion(p, op, value, found)
             if found:
@@ -218,12 +218,12 @@ def from_tree(schema: Schema, source: str, node: object) -> list[Criterion]:
         return [c for child in node["and"] for c in from_tree(schema, source, child)]
     if "or" in node or "any" in node:
         kind = "or" if "or" in node else "any"
-        raise InvalidQuery([Violation(source, f"'{kind}' filters are not supported; only AND-combined fields are")])
+        raise InvalidQuery([Violation(source, f"{kind} is not known here: conditions hold all together")])
     path, op, value = node["path"], node["op"], node.get("value")
     if value is None and op in TREE_PRESENCE:
         operator = TREE_PRESENCE[op]
     elif op in TREE_OPERATORS:
         operator = TREE_OPERATORS[op]
     else:
-        raise InvalidQuery([Violation(path, f"Unsupported filter op '{op}'")])
+        raise InvalidQuery([Violation(path, f"no condition is called {op}")])
     return from_tree(schema, source, (path, operator, value))

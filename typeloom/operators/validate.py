@@ -31,7 +31,7 @@ def violations(rows: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def required(props: list[Property]) -> list[Check]:
-    return [(p.name, F.col(p.name).isNull(), f"Property '{p.name}' is required") for p in props if p.min >= 1 and not p.read_only]
+    return [(p.name, F.col(p.name).isNull(), f"a value for {p.name} is missing") for p in props if p.min >= 1]
 
 
 def cardinality(props: list[Property]) -> list[Check]:
@@ -40,7 +40,7 @@ def cardinality(props: list[Property]) -> list[Check]:
         if p.max is None or not p.is_list:
             continue
         n = F.size(F.col(p.name))
-        out.append((p.name, n > p.max, F.concat(F.lit(f"expected at most {p.max} value(s), got "), n.cast("string"))))
+        out.append((p.name, n > p.max, F.concat(F.lit(f"no more than {p.max} values fit, there are "), n.cast("string"))))
     return out
 
 
@@ -50,11 +50,11 @@ def shapes(props: list[Property]) -> list[Check]:
     for p in props:
         col = F.col(p.name)
         if p.datatype in NUMERIC and p.min_value is not None:
-            out.append((p.name, col < F.lit(p.min_value).cast(p.scalar_type), f"must be at least {p.min_value}"))
+            out.append((p.name, col < F.lit(p.min_value).cast(p.scalar_type), f"below the least value {p.min_value}"))
         if p.datatype in NUMERIC and p.max_value is not None:
-            out.append((p.name, col > F.lit(p.max_value).cast(p.scalar_type), f"must be at most {p.max_value}"))
+            out.append((p.name, col > F.lit(p.max_value).cast(p.scalar_type), f"above the greatest value {p.max_value}"))
         if p.pattern is not None:
-            out.append((p.name, ~_all_match(col, p), f"must match {p.pattern}"))
+            out.append((p.name, ~_all_match(col, p), f"does not follow {p.pattern}"))
     return out
 
 
@@ -67,16 +67,16 @@ def _all_match(col: Column, p: Property) -> Column:
 def abstract_types(store: ObjectStore, rows: DataFrame) -> DataFrame:
     """Rows that would create an object of an abstract type: that is their only violation."""
     names = [t.iri for t in store.schema.types if t.abstract]
-    message = F.concat(F.lit("Type '"), F.col("type"), F.lit("' is abstract and cannot be instantiated"))
+    message = F.concat(F.col("type"), F.lit(" only groups other types"))
     return rows.where(F.col("type").isin(*names)).select("id", F.lit("").alias("property"), message.alias("message"))
 
 
-def references(store: ObjectStore, rows: DataFrame, type_name: str, among: tuple[str, ...] = ()) -> DataFrame:
+def references(store: ObjectStore, rows: DataFrame, type_name: str) -> DataFrame:
     """Violations of reference integrity: targets that do not exist or have the wrong type.
 
     The distinct references are resolved, not the rows: a target named by very many rows meets
     the lookup once. Only references that the expected type does not hold are looked up among
-    the other types (``among`` narrows those down). The few bad ones are then joined back.
+    the other types. The few bad ones are then joined back.
     """
     parts: list[DataFrame] = []
     for p in [p for p in store.schema.properties(type_name) if p.is_ref and p.name in rows.columns]:
@@ -86,15 +86,15 @@ def references(store: ObjectStore, rows: DataFrame, type_name: str, among: tuple
             store.scan(p.target).select(F.col("id").alias("ref")), "ref", "left_anti"
         )
         right = {t.name for t in store.schema.concrete(p.target)}
-        others = [t.name for t in store.schema.concrete(*(among or [t.name for t in store.schema.types])) if t.name not in right]
+        others = [t.name for t in store.schema.concrete(*[t.name for t in store.schema.types]) if t.name not in right]
         found = store.scan(*others).select(F.col("id").alias("ref"), F.col("type").alias("found"))
         bad = unresolved.join(found, "ref", "left")
         expected = store.schema.type(p.target).iri
         message = F.when(
-            F.col("found").isNull(), F.concat(F.lit("Referenced object "), F.col("ref"), F.lit(" does not exist"))
+            F.col("found").isNull(), F.concat(F.lit("nothing has the id "), F.col("ref"))
         ).otherwise(
             F.concat(
-                F.lit("Referenced object "), F.col("ref"), F.lit(" has type "), F.col("found"), F.lit(f", expected {expected} or a subtype")
+                F.col("ref"), F.lit(" is a "), F.col("found"), F.lit(f"; a {expected} was asked for")
             )
         )
         parts.append(pairs.join(bad, "ref").select("id", F.lit(p.name).alias("property"), message.alias("message")))
@@ -103,10 +103,10 @@ def references(store: ObjectStore, rows: DataFrame, type_name: str, among: tuple
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def structural(store: ObjectStore, rows: DataFrame, type_name: str, among: tuple[str, ...] = ()) -> DataFrame:
+def structural(store: ObjectStore, rows: DataFrame, type_name: str) -> DataFrame:
     """Required, maximum cardinality and references of rows of one concrete type."""
     props = [p for p in store.schema.properties(type_name) if p.name in rows.columns]
-    return violations(rows, required(props) + cardinality(props)).unionByName(references(store, rows, type_name, among))
+    return violations(rows, required(props) + cardinality(props)).unionByName(references(store, rows, type_name))
 
 
 def first_failing_stage(staged: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def first_failing_stage(staged: DataFrame) -> DataFrame:
     return staged.withColumn("_first", first).where(F.col("stage") == F.col("_first")).drop("_first")
 
 
-def validate(store: ObjectStore, rows: DataFrame, type_name: str, create: bool = True, among: tuple[str, ...] = (), coercion: DataFrame | None = None) -> DataFrame:
+def validate(store: ObjectStore, rows: DataFrame, type_name: str, create: bool = True, coercion: DataFrame | None = None) -> DataFrame:
     """(id, stage, property, message): coercion, then structure, then shapes, stopping at the first that fails."""
     props = [p for p in store.schema.properties(type_name) if p.name in rows.columns]
     checked = rows
@@ -130,7 +130,7 @@ def validate(store: ObjectStore, rows: DataFrame, type_name: str, create: bool =
         abstract = abstract_types(store, rows)
         checked = rows.where(~F.col("type").isin(*[t.iri for t in store.schema.types if t.abstract]))
         parts.append(abstract.withColumn("stage", F.lit(1)))
-    parts.append(structural(store, checked, type_name, among).withColumn("stage", F.lit(1)))
+    parts.append(structural(store, checked, type_name).withColumn("stage", F.lit(1)))
     parts.append(violations(checked, shapes(props)).withColumn("stage", F.lit(2)))
     staged = reduce(lambda a, b: a.unionByName(b), parts)
     name = F.element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("stage") + 1)
