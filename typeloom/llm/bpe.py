@@ -24,7 +24,6 @@ import base64
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -33,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, held
 
 Hypothesis = tuple[int, bytes]  # the last finished token (-1: none), the bytes read after it
 
@@ -52,8 +51,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    KEEP_STATES = 250_000
-    KEEP_WORDS = 400_000
+    KEEP_STATES = 150_000
+    KEEP_WORDS = 300_000
+    KEEP_PIECES = 50_000
+    KEEP_FITS = 250_000
     #: In a longer piece, what all hypotheses agree on is emitted every so many bytes.
     FLUSH = 4096
 
@@ -67,7 +68,7 @@ class Transducer:
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self._clear_states()
-        self.words, self.pieces = Recent(self.KEEP_WORDS), Recent(self.KEEP_WORDS)
+        self.words, self.pieces = Recent(self.KEEP_WORDS), Recent(self.KEEP_PIECES)
 
     def _clear_states(self) -> None:
         start: tuple[Hypothesis, ...] = ((-1, b""),)
@@ -113,7 +114,7 @@ class Transducer:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > self.KEEP_FITS:
                 self.fits.clear()
             known = True
             far = self._border(self.bytes_of[right], 0)
@@ -340,10 +341,12 @@ class Decoder:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def transducer(vocabulary: Vocabulary) -> tuple[Transducer, Decoder]:
-    made = Transducer(read_ranks(vocabulary.path), vocabulary.pattern)
-    return made, Decoder(made.bytes_of)
+    def make() -> tuple[Transducer, Decoder]:
+        made = Transducer(read_ranks(vocabulary.path), vocabulary.pattern)
+        return made, Decoder(made.bytes_of)
+
+    return held(("bpe", vocabulary), make)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """One large object for each Python worker: what another operator's tasks left there is dropped."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(texts: list, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Bounds that cut a list of texts into runs of about ``chars`` characters, one text at least."""
     start, size = 0, 0

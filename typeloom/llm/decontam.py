@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shingle_hashes, slices, word_hashes
+from .common import fresh, held, shingle_hashes, slices, word_hashes
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TO_SPACE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -172,16 +172,14 @@ def matchers(benchmark: DataFrame, spec: Decontamination = Decontamination()) ->
     return [context.broadcast(([tuple(r) for r in items.filter(part == k).collect()], spec)) for k in range(blocks)]
 
 
-_READY: dict[int, tuple[object, Matcher]] = {}
-
-
 def _matcher(shared) -> Matcher:
     value = shared.value
-    if id(value) not in _READY:
-        if len(_READY) > 3:
-            _READY.clear()
-        _READY[id(value)] = (value, Matcher(*value))
-    return _READY[id(value)][1]
+    ready = held(("decontam",), dict)
+    if id(value) not in ready:
+        if len(ready) > 3:
+            ready.clear()
+        ready[id(value)] = (value, Matcher(*value))
+    return ready[id(value)][1]
 
 
 def _found(shared, texts: pa.Array) -> list[list[tuple]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, slices
+from .common import fresh, held, mix, slices
 
 #: Letters, and the few characters that Python counts as alphanumeric besides (dropped again below).
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -285,16 +285,9 @@ def fit(labelled: DataFrame, spec: LanguageId = LanguageId(), text: str = "text"
     return model
 
 
-_SCORERS: dict[int, tuple[object, Scorer]] = {}
-
-
 def _scorer(shared) -> Scorer:
-    """One scorer for each model that this worker has met last."""
     model = shared.value
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = (model, Scorer(model))
-    return _SCORERS[id(model)][1]
+    return held(("langid", id(model)), lambda: (model, Scorer(model)))[1]
 
 
 def _scored(shared, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

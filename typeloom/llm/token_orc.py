@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .bpe import Recent, solid
-from .common import slices
+from .common import held, slices
 
 #: How byte-level vocabularies write the space at the begin of a token.
 SPACE = "\u0120"
@@ -115,9 +114,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("token_orc", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, path: str, spec: TokenFiles) -> None:
