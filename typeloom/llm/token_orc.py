@@ -40,7 +40,7 @@ class TokenFiles:
     stride: int = 1000
     stripe_bytes: int = 64 << 20
     fpp: float = 0.01
-    compression: str = "zstd"
+    compression: str = "snappy"
 
     def options(self) -> dict[str, str]:
         return {
@@ -54,7 +54,7 @@ class TokenFiles:
 
 
 class Encoder:
-    KEEP_WORDS = 400_000
+    KEEP_WORDS = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
