@@ -133,7 +133,7 @@ def test_streamed_timers_equal_a_loop(spark, tmp_path):
     for i in range(4):
         spark.createDataFrame(rows[i * 100 : (i + 1) * 100], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
     feed = read_feed(spark, str(tmp_path / "feed"), shape, files_per_batch=1)
-    got = run_to_table(lifecycle_stream(feed, ACCOUNT_MACHINE, timed=True), "timers-test")
+    got = run_to_table(lifecycle_stream(feed, ACCOUNT_MACHINE, timed=True, delay="0 seconds"), "timers-test")
     state, want, end = {}, [], rows[-1][1]
     hold = timedelta(hours=36)
     for who, at, seq, c, v in rows:

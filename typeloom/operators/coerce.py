@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Property
 from ..session import settled
 from ..sources.store import ObjectStore
+from ..sources.tagged import fits
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -30,11 +31,15 @@ def _scalar(p: Property, cell: Column, kind: Column) -> tuple[Column, Column]:
         match p.datatype:
             case "integer" | "long":
                 number = F.try_variant_get(cell, "$", "decimal(38,10)")
-                ok, reason = _numeric(kind) & (number == F.floor(number)), F.lit("not a whole number")
+                # Digits decide, not a rounded number; only numbers with an exponent are read as double.
+                real = F.try_variant_get(cell, "$", "double")
+                whole = text.rlike(r"^[+-]?[0-9]+(\.0*)?$") | ((kind == "DOUBLE") & text.rlike("[eE]") & (real == F.floor(real)))
+                ok, reason = _numeric(kind) & whole, F.lit("not a whole number")
                 value = number.try_cast("bigint")
             case "decimal" | "double":
                 ok = _numeric(kind) | (is_text & text.rlike(_NUMBER))
-                value, reason = text.try_cast(target), F.lit("not a number")
+                fit = fits(text, p.scalar_type)
+                value, reason = F.when(fit, text.try_cast(target)), F.when(ok & ~fit, F.lit("value does not fit")).otherwise(F.lit("not a number"))
             case "boolean":
                 ok, value, reason = kind == "BOOLEAN", F.try_variant_get(cell, "$", "boolean"), F.lit("neither true nor false")
             case "date":

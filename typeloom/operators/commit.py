@@ -39,14 +39,15 @@ def require_changes(mutations: int, events: int = 0) -> None:
         raise EmptyChangeSet("a change set needs at least one mutation or event")
 
 
-def judge(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judge(current: DataFrame, changes: DataFrame, known: list[str]) -> tuple[DataFrame, DataFrame]:
     """(changes with their own status, change sets that do not take effect).
 
     First result: changeset_id, seq, id, status. Second: changeset_id, verdict (rejected or
     deferred); all other sets are accepted.
 
-    ``current`` holds (id, version, live); ``live`` is false for deleted and foreign objects. One
-    bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
+    ``current`` holds (id, type, version, live); ``live`` is false for deleted and foreign objects.
+    ``known`` are the types whose objects the batch may create: others are ``unknown_type``, and a
+    change that names another type than its object has is ``wrong_type``. One bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
     touches an object of an earlier set still undecided is deferred, unless no outcome of the
     earlier sets could save it.
 
@@ -54,21 +55,25 @@ def judge(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]
     the distinct ids of bad and waiting sets, never by gathering the members of a set, so a set of
     any size is as cheap as many small ones.
     """
-    slim = changes.select("changeset_id", "seq", "id", "op", "expected_version")
-    now = current.select("id", F.col("version").alias("now"), (~F.col("live")).alias("gone"))
+    slim = changes.select("changeset_id", "seq", "id", "op", "expected_version", "type")
+    now = current.select("id", F.col("version").alias("now"), (~F.col("live")).alias("gone"), F.col("type").alias("is_a"))
     doubled = slim.groupBy("changeset_id", "id").agg(F.count("*").alias("times")).where("times > 1")
     c = slim.join(now, "id", "left").join(doubled, ["changeset_id", "id"], "left")
     creating, exists, twice = F.col("op") == "create", F.col("now").isNotNull(), F.col("times").isNotNull()
+    foreign = creating & ~F.coalesce(F.col("type").isin(known), F.lit(False))
+    other = exists & ~creating & ~F.col("type").eqNullSafe(F.col("is_a"))
     status = (
         F.when(twice, F.lit("duplicate"))
+        .when(foreign, F.lit("unknown_type"))
         .when(creating & exists, F.lit("exists"))
         .when(creating, F.lit("ok"))
         .when(~exists | F.col("gone"), F.lit("not_found"))
+        .when(other, F.lit("wrong_type"))
         .when(F.col("now") != F.col("expected_version"), F.lit("stale"))
         .otherwise(F.lit("ok"))
     )
     overtaken = exists & (creating | F.col("gone") | (F.col("expected_version") < F.col("now")))
-    hopeless = twice | F.coalesce(overtaken, F.lit(False))
+    hopeless = twice | foreign | F.coalesce(other | overtaken, F.lit(False))
     rows = materialise(c.select("changeset_id", "seq", "id", status.alias("status"), hopeless.alias("hopeless")), "judged")
 
     lost = rows.where("hopeless").select("changeset_id").distinct()
@@ -137,9 +142,9 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep: boo
     live = (F.col("tenant") == store.tenant) & F.col("deleted_at").isNull()
     current = reduce(
         lambda a, b: a.unionByName(b),
-        [store.table(n).select("id", "version", live.alias("live")) for n in names],
+        [store.table(n).select("id", "type", "version", live.alias("live")) for n in names],
     )
-    judged, refused = judge(current, changes)
+    judged, refused = judge(current, changes, [store.schema.type(n).iri for n in names])
     accepted = changes.join(refused.select("changeset_id"), "changeset_id", "left_anti")
     tables, written, logs = {}, {}, []
     for n in names:

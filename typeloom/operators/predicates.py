@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import ORDERED, Property, Schema
 
@@ -70,6 +69,7 @@ class Criterion:
             case "ne":
                 return ~col.eqNullSafe(lit(self.value))
             case "in":
+                # Spark turns a long list into a hash set; each literal keeps its own scale.
                 return col.isin(*[lit(v) for v in self.value])
             case "lt":
                 return col < lit(self.value)
@@ -95,20 +95,8 @@ def conjunction(criteria: Iterable[Criterion], excluding: str | None = None) ->
     return reduce(lambda a, b: a & b, [c.column() for c in criteria if c.property.name != excluding], F.lit(True))
 
 
-# One literal list this long already makes a slow expression; longer ones become a join.
-MAX_INLINE_VALUES = 1000
-
-
 def apply_criteria(df: DataFrame, criteria: Iterable[Criterion]) -> DataFrame:
-    """Filter rows; a long IN list is joined as a table instead of being spelled out."""
-    for c in criteria:
-        if c.operator == "in" and len(c.value) > MAX_INLINE_VALUES:
-            key = T.StructType([T.StructField(c.property.name, c.property.scalar_type)])
-            wanted = df.sparkSession.createDataFrame([(v,) for v in set(c.value)], key)
-            df = df.join(wanted, c.property.name, "left_semi")
-        else:
-            df = df.where(c.column())
-    return df
+    return df.where(conjunction(criteria))
 
 
 def applicable(operator: str, p: Property) -> bool:

@@ -128,9 +128,9 @@ def derive(store: ObjectStore, objects: DataFrame, *types: str, rules: list[Roll
     Rules over the same source and relationship share one aggregation; each object only receives
     the properties its own type derives. Stored copies of derived values are dropped first.
     ``one_page`` says that ``objects`` is a browse page (500 rows at most): the sources are then
-    cut down to those objects, by a broadcast of their ids, before they are aggregated.
+    cut down to those objects before they are aggregated.
     """
-    only = F.broadcast(objects.select("id")) if one_page else None
+    only = objects.select("id") if one_page else None
     wanted = rules if rules is not None else [r for r in store.schema.rollups if any(
         store.schema.is_subtype(c.name, r.on_type) for c in store.schema.concrete(*types))]
     plugins = {} if rules is not None else {
@@ -177,19 +177,13 @@ def affected_targets(store: ObjectStore, changes: DataFrame, rules: list[Rollup]
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
-def recompute(store: ObjectStore, affected: DataFrame, rule: Rollup, semi_join_first: bool | None = None) -> DataFrame:
+def recompute(store: ObjectStore, affected: DataFrame, rule: Rollup) -> DataFrame:
     """(id, version, old, new) for affected live targets whose stored value differs from the fresh one.
 
-    With few affected targets the sources are cut down before they are aggregated; with many, they
-    are aggregated first, so a hot target meets the join as one row. ``None`` decides by counting
-    at most ``SMALL_SET`` + 1 affected targets.
+    Sources are aggregated map-side, so that a hot target meets the join as one row for each task.
     """
-    mine = affected.where(F.col("property") == rule.property).select("id")
-    if semi_join_first is None:
-        mine = materialise(mine, "affected")  # read three times below
-        semi_join_first = mine.limit(SMALL_SET + 1).count() <= SMALL_SET
-    only = F.broadcast(mine) if semi_join_first else None
-    fresh = aggregate_rules(store, [rule], only=only).select("id", F.col(rule.property).alias("new"))
+    mine = materialise(affected.where(F.col("property") == rule.property).select("id"), "affected")
+    fresh = aggregate_rules(store, [rule], only=mine).select("id", F.col(rule.property).alias("new"))
     stored = store.scan(rule.on_type).select("id", "version", F.col(rule.property).alias("old")).join(mine, "id", "left_semi")
     new = F.coalesce(F.col("new"), F.lit(0)) if rule.function == "COUNT" else F.col("new")
     kind = store.schema.lookup(rule.on_type, rule.property).scalar_type
@@ -198,7 +192,3 @@ def recompute(store: ObjectStore, affected: DataFrame, rule: Rollup, semi_join_f
         .select("id", "version", "old", new.cast(kind).alias("new"))
         .where(~F.col("new").eqNullSafe(F.col("old")))
     )
-
-
-# Ids are 36 characters: this many stay far below what one broadcast may hold.
-SMALL_SET = 100_000

@@ -86,7 +86,14 @@ def ranked(store: ObjectStore, index: DataFrame, text: str, *types: str) -> Data
     return hits.orderBy(F.col("score").desc(), F.col("created_at").asc(), F.col("id").asc())
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """Of several versions of an object in one batch only the last."""
+    last = rows.groupBy("id").agg(F.max("version").alias("version"))
+    return rows.join(last, ["id", "version"], "left_semi")
+
+
 def upsert(index: DataFrame, changed: DataFrame, text: Column | None = None) -> DataFrame:
     """Index after the objects in ``changed`` were rewritten; deleted ones lose their rows."""
+    changed = newest(changed)
     live = changed.where(F.col("deleted_at").isNull())
     return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(postings(live, text))

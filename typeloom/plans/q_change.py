@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diff as D
 from ..operators.commit import apply_all, apply_changes
-from .demo import DemoStore, ref
+from .demo import BASE, DemoStore, ref
 from .q_read import stamp
 from .registry import query
 
@@ -93,7 +93,7 @@ def commit_atomic(s: DemoStore) -> DataFrame:
 
     live = (F.col("tenant") == s.tenant) & F.col("deleted_at").isNull()
     batch = order_batch(s)
-    judged, refused = judge(s.table("Order").select("id", "version", live.alias("live")), batch)
+    judged, refused = judge(s.table("Order").select("id", "type", "version", live.alias("live")), batch, [BASE + "Order"])
     sets = judged.groupBy("changeset_id").agg(F.count("*").alias("members"))
     return sets.join(refused, "changeset_id", "left").select("changeset_id", "members", F.col("verdict").isNull().alias("accepted"))
 
@@ -229,3 +229,25 @@ def three_way_diff(s: DemoStore) -> DataFrame:
 )
 def three_way_merge(s: DemoStore) -> DataFrame:
     return D.reapply_local(_three(s))
+
+
+@query(
+    "commit_wrong_type",
+    "SELECT o_orderkey AS changeset_id, id, CASE o_orderkey % 5 WHEN 1 THEN 'wrong_type' ELSE 'unknown_type' END AS status FROM l_order WHERE o_orderkey % 5 IN (1, 4)",
+)
+def commit_wrong_type(s: DemoStore) -> DataFrame:
+    """A set for each order; some name another type than the order's, some create what isn't kept here."""
+    k = F.conv(F.substring("id", 25, 12), 16, 10).cast("long")
+    changes = s.scan("Order").withColumn("k", k).select(
+        F.col("k").alias("changeset_id"),
+        F.lit(0).alias("seq"),
+        F.when(F.col("k") % 5 == 4, F.lit("create")).otherwise(F.lit("update")).alias("op"),
+        "id",
+        F.when(F.col("k") % 5 == 1, F.lit(BASE + "Customer")).when(F.col("k") % 5 == 4, F.lit(BASE + "Region")).otherwise(F.col("type")).alias("type"),
+        F.lit(1).cast("long").alias("expected_version"),
+        "state",
+        F.lit(_AT).cast("timestamp").alias("at"),
+        F.lit("batch").alias("by"),
+        *PROPS,
+    )
+    return apply_changes(s, changes, "Order").rejected.select("changeset_id", "id", "status")

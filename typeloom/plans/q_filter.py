@@ -48,3 +48,13 @@ def filter_in_table(s: DemoStore) -> DataFrame:
     """IN over values held in a table rather than a list: a semi-join."""
     wanted = s.table("Order").where((F.col("status") == "P") & (F.col("totalPrice") > 400000)).select("customer").distinct()
     return s.scan("Order").join(wanted, "customer", "left_semi").select("id", "customer")
+
+
+_LONG = [f"{k}.000" if k % 2 == 0 else f"{k}.005" for k in range(1, 1601)]
+
+
+@query("filter_in_long", "SELECT \"order\", part, CAST(quantity AS DOUBLE) AS quantity FROM l_lineitem WHERE quantity % 2 = 0")
+def filter_in_long(s: DemoStore) -> DataFrame:
+    """1600 decimals of three places: those that end in zeros equal a quantity, the others none."""
+    rows = matching(s, resolve(s.schema, BrowseSpec(("LineItem",), (("quantity", "in", _LONG),))))
+    return rows.select("order", "part", F.col("quantity").cast("double").alias("quantity"))

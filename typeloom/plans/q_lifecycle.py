@@ -146,11 +146,14 @@ def line_changes(s: DemoStore) -> DataFrame:
     """Every line item as a change: two thirds written, one third deleted."""
     image = F.struct("order")
     gone = F.col("lineStatus") == "F"
-    rows = s.scan("LineItem", include_deleted=True).select(F.lit(None).cast("string").alias("id"), "type", "order", "lineStatus")
+    rows = s.scan("LineItem", include_deleted=True)
     return rows.select("id", "type", image.alias("before"), F.when(~gone, image).alias("after"))
 
 
-@query("watch_candidates", "SELECT DISTINCT \"order\" AS id FROM v_lineitem WHERE tenant = 'default'")
+@query(
+    "watch_candidates",
+    "SELECT DISTINCT \"order\" AS id FROM v_lineitem WHERE tenant = 'default' UNION SELECT id FROM v_lineitem WHERE tenant = 'default' AND lineStatus <> 'F'",
+)
 def watch_candidates(s: DemoStore) -> DataFrame:
     return L.watch_candidates(s, line_changes(s), ORDER_MACHINE)
 

@@ -40,8 +40,21 @@ def stream_dedupe(s: DemoStore) -> DataFrame:
     """Every entry is delivered twice."""
     twice = F.explode(F.array(F.lit(1), F.lit(2)))
     doubled = feed(s, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", twice.alias("delivery"))
-    once = S.once_each(doubled, "event_id", "ts", "40 days").select("event_id", "event_type", "value")
-    return S.run_to_table(once, "dedupe")
+    path = fresh_path(s.spark, "dedupe")
+    S.run_batches(doubled, "dedupe", S.once_each(path, "event_id"))
+    return s.spark.read.parquet(f"{path}/entries").select("event_id", "event_type", "value")
+
+
+@query("stream_late", "SELECT event_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
+def stream_late(s: DemoStore) -> DataFrame:
+    """Three micro-batches: the late half of the time first, then all entries, then the early half again."""
+    events = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "value", "ts")
+    late = F.dayofmonth("ts") > 15
+    feed_path, path = fresh_path(s.spark, "late-feed"), fresh_path(s.spark, "late")
+    for part in (events.where(late), events, events.where(~late)):
+        part.coalesce(1).write.mode("append").parquet(feed_path)
+    S.run_batches(S.read_feed(s.spark, feed_path, events.schema, 1), "late", S.once_each(path, "event_id"))
+    return s.spark.read.parquet(f"{path}/entries").select("event_id", "event_type", "value")
 
 
 @query("stream_lifecycle", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
@@ -70,7 +83,7 @@ _TIMED = (
 )
 def stream_timers(s: DemoStore) -> DataFrame:
     """Timers that ran out, and moved their object on, by the end of the feed."""
-    fired = S.run_to_table(lifecycle_stream(_commands(s), ACCOUNT_MACHINE, timed=True), "timers")
+    fired = S.run_to_table(lifecycle_stream(_commands(s), ACCOUNT_MACHINE, timed=True, delay="0 seconds"), "timers")
     return fired.where(F.col("transition") == "lapse").select("id", "from_state", "to_state", stamp("at", "due"))
 
 
@@ -107,6 +120,7 @@ def stream_search_index(s: DemoStore) -> DataFrame:
         F.lit(BASE + "Document").alias("type"),
         ref("Document", "doc_id").alias("id"),
         F.col("text").alias(SEARCH_TEXT),
+        F.lit(1).cast("long").alias("version"),
         F.when(key % 17 == 5, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
         key.alias("_key"),
     )
@@ -114,6 +128,26 @@ def stream_search_index(s: DemoStore) -> DataFrame:
     return S.read_maintained(s.spark, path).select("token", "id", "tf")
 
 
+@query(
+    "stream_index_rewrites",
+    "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(source || ' ' || lang), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token "
+    "FROM v_document WHERE tenant = 'default' AND lang <> 'fr') GROUP BY token, id",
+)
+def stream_index_rewrites(s: DemoStore) -> DataFrame:
+    """Each document comes twice in a micro-batch: as it is, then rewritten, or deleted if it is French."""
+    path = fresh_path(s.spark, "index")
+    docs = feed(s, "documents").where(F.col("doc_id") % 10 != 0).select("doc_id", "text", "lang", "source", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("version"))
+    second = F.col("version") == 2
+    rows = docs.select(
+        ref("Document", "doc_id").alias("id"),
+        "version",
+        F.when(second, F.concat_ws(" ", "source", "lang")).otherwise(F.col("text")).alias(SEARCH_TEXT),
+        F.when(second & (F.col("lang") == "fr"), F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
+    )
+    S.run_batches(rows, "index", S.maintain_index(path))
+    return S.read_maintained(s.spark, path).select("token", "id", "tf")
+
+
 @query("stream_history", "SELECT id, event_id AS seq, c AS transition, was AS from_state, state AS to_state FROM done WHERE was <> state", _FOLD)
 def stream_history(s: DemoStore) -> DataFrame:
     """The lifecycle again, folded batch by batch in chunks."""

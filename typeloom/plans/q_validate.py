@@ -219,3 +219,32 @@ def load_rejects(s: DemoStore) -> DataFrame:
     )
     _, rejects = load_tagged(dump.withColumn("props", props).drop("size"), s.schema, "Part")
     return rejects.select("id", "reason")
+
+
+@query(
+    "coerce_exact",
+    f"SELECT {_RAW_ID} AS id, property, message FROM part JOIN (VALUES (0, 'size', 'not a whole number'), (1, 'retailPrice', 'value does not fit'), "
+    "(2, 'retailPrice', 'value does not fit'), (3, 'size', 'not a whole number')) AS d(k, property, message) ON p_partkey % 6 = k",
+)
+def coerce_exact(s: DemoStore) -> DataFrame:
+    """Numbers that only rounding would make fit; zeros at the end and exponents are no reason."""
+    k = F.col("p_partkey") % 6
+    size = F.when(k == 0, F.lit("3.00000000000001")).when(k == 3, F.lit("2.5e0")).when(k == 4, F.lit("1.2e1")).otherwise(F.lit("7.000"))
+    price = F.when(k == 1, F.lit('"1.239"')).when(k == 2, F.lit("1.001")).when(k == 5, F.lit('"12.500000"')).otherwise(F.lit("12.5"))
+    raw = F.concat(F.lit('{"size": '), size, F.lit(', "retailPrice": '), price, F.lit("}"))
+    t = s.spark.read.parquet(f"{s.sf_dir}/part.parquet")
+    return coerce(s, t.select(ref("Part", "p_partkey").alias("id"), raw.alias("raw")), "Part")[1]
+
+
+@query(
+    "load_tagged_exact",
+    "SELECT id, size % 3 = 1 AS rejected, CASE WHEN size % 3 = 1 THEN 'value does not fit: retailPrice' END AS reason FROM l_part WHERE size IS NOT NULL",
+)
+def load_tagged_exact(s: DemoStore) -> DataFrame:
+    """A third of the prices has a third decimal place, another third zeros behind."""
+    parts = s.scan("Part").where(F.col("size").isNotNull())
+    dump = export_tagged(parts, s.schema, "Part").join(parts.select("id", "size"), "id")
+    more = F.when(F.col("size") % 3 == 1, F.lit("7")).when(F.col("size") % 3 == 2, F.lit("000")).otherwise(F.lit(""))
+    props = F.regexp_replace(F.col("props"), F.lit(r'"decimal":"([^"]*)"'), F.concat(F.lit('"decimal":"$1'), more, F.lit('"')))
+    good, rejects = load_tagged(dump.withColumn("props", props).drop("size"), s.schema, "Part")
+    return good.select("id", F.lit(False).alias("rejected"), F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("id", F.lit(True).alias("rejected"), "reason"))

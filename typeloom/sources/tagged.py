@@ -40,8 +40,21 @@ def _field_of_each(items: Column, tag: str) -> Column:
     return F.transform(items, lambda item: item[tag])
 
 
-def _cast_each(items: Column, sql_type: str) -> Column:
-    return F.transform(items, lambda item: item.try_cast(sql_type))
+def fits(text: Column, kind: T.DataType) -> Column:
+    """Whether a number's text keeps its value when it is read as ``kind``: no digit may be rounded away."""
+    if not isinstance(kind, T.DecimalType):
+        return F.lit(True)
+    plain = text.rlike(rf"^\s*[+-]?[0-9]*(\.[0-9]{{0,{kind.scale}}}0*)?\s*$")
+    same = text.try_cast("decimal(38,18)") == text.try_cast(kind)
+    return F.coalesce(F.when(text.rlike("[eE]"), same).otherwise(plain), F.lit(False))
+
+
+def _exact(text: Column, kind: T.DataType) -> Column:
+    return F.when(fits(text, kind), text.try_cast(kind))
+
+
+def _cast_each(items: Column, kind: T.DataType) -> Column:
+    return F.transform(items, lambda item: _exact(item, kind))
 
 
 def _tag_each(p: Property, items: Column) -> Column:
@@ -79,14 +92,13 @@ def load_tagged(dump: DataFrame, schema: Schema, type_name: str) -> tuple[DataFr
     bad = []
     for p in props:
         cell = F.col(f"_c_{p.name}")
-        sql_type = p.scalar_type.simpleString()
         tag = tag_of(p)
         if p.is_list:
             single = F.when(cell[tag].isNotNull(), F.array(cell[tag]))
             texts = F.coalesce(_field_of_each(cell["list"], tag), single)
-            col = _cast_each(texts, sql_type)
+            col = _cast_each(texts, p.scalar_type)
         else:
-            col = cell[tag].try_cast(sql_type)
+            col = _exact(cell[tag], p.scalar_type)
         values.append(col.alias(p.name))
         bad.append((p.name, cell.isNotNull(), p.is_list))
     df = df.select("*", *values)

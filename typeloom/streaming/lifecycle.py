@@ -90,13 +90,17 @@ class _Lifecycle(StatefulProcessor):
         pass
 
 
-def lifecycle_stream(commands: DataFrame, machine: Machine, timed: bool = False, delay: str = "0 seconds") -> DataFrame:
+def lifecycle_stream(commands: DataFrame, machine: Machine, timed: bool = False, delay: str | None = None) -> DataFrame:
     """Fired transitions of a stream of commands (id, ts, seq, command and the guards' columns).
 
     One object's rows meet in one task per micro-batch, which the source's size limit bounds.
     Commands of one object are taken in time order inside a micro-batch and in order of arrival
-    across batches. With ``timed`` the machine's timers run on event time.
+    across batches. With ``timed`` the machine's timers run on event time, and commands that are later than
+    ``delay`` behind the newest are dropped by the state store: it has to be named, and must cover
+    the lateness of the source.
     """
+    if timed and delay is None:
+        raise ValueError("timers need a delay: commands later than that are lost")
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     guards: list[Column] = []
     moves: dict[tuple[str, str], list[tuple[int | None, str, str]]] = {}

@@ -16,20 +16,25 @@ from ..session import materialise
 from ..sources.store import ObjectStore
 from ..sources.versions import overlay
 
-DEFAULT_ROUNDS = 5
+class NeverSettles(RuntimeError):
+    """Rules and reactions that keep undoing each other."""
+
+
+#: Far beyond any chain of dependent rules; more rounds than that can only be a cycle.
+MANY_ROUNDS = 10_000
 
 
 class Maintainer:
     """``process(batch, batch_id)`` for ``foreachBatch``.
 
     A micro-batch applies its change sets, refreshes the affected rollups, fires ON_CHANGE
-    transitions with their actions, and repeats the last two for what they wrote, until nothing changes or the
-    rounds are used up. Tables are never rewritten: each round appends row versions under its
+    transitions with their actions, and repeats the last two for what they wrote, until nothing changes. Machines
+    that move an object round and round raise an error after ``rounds``. Tables are never rewritten: each round appends row versions under its
     batch and step, and reads see the newest version. A repeated batch overwrites its own steps
     and ignores them while it runs, so the outcome is the same.
     """
 
-    def __init__(self, base: ObjectStore, types: tuple[str, ...], root: str, machines: tuple[Machine, ...] = (), rounds: int = DEFAULT_ROUNDS) -> None:
+    def __init__(self, base: ObjectStore, types: tuple[str, ...], root: str, machines: tuple[Machine, ...] = (), rounds: int = MANY_ROUNDS) -> None:
         self.base = base
         self.types = base.concrete(*types)
         self.root = root
@@ -102,9 +107,11 @@ class Maintainer:
             step += 1
             pending = materialise(result.deferred, "deferred")
         touched = self._union(written, start)
-        for _ in range(self.rounds):
-            if all(t.isEmpty() for t in touched.values()):
-                break
+        done = 0
+        while not all(t.isEmpty() for t in touched.values()):
+            if done == self.rounds:
+                raise NeverSettles(f"batch {batch_id} still changes after {done} rounds")
+            done += 1
             now = self.store((batch_id, step))
             fresh: dict[str, list[DataFrame]] = {n: [] for n in self.types}
             for n in self.types:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.search import postings
+from ..operators.search import newest, postings
 from ..session import fresh_path
 
 def read_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
@@ -19,9 +19,23 @@ def read_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_
     return reader.parquet(path)
 
 
-def once_each(feed: DataFrame, entry_id: str, at: str, delay: str = "1 hour") -> DataFrame:
-    """Entries delivered again are dropped; the memory of an id ends with the watermark."""
-    return feed.withWatermark(at, delay).dropDuplicatesWithinWatermark([entry_id])
+def once_each(path: str, entry_id: str) -> Callable[[DataFrame, int], None]:
+    """Batch function that writes every entry once to ``path/entries``, however late it comes again.
+
+    The ids that earlier batches have handled are kept as a table by their hash; a repeated batch
+    writes its own part again.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([entry_id])
+        if batch_id:
+            seen = spark.read.parquet(f"{path}/ids").where(F.col("batch") < batch_id).select(entry_id)
+            fresh = fresh.join(seen, entry_id, "left_anti")
+        write_batch(fresh, f"{path}/entries", batch_id)
+        write_batch(spark.read.parquet(f"{path}/entries/batch={batch_id}").select(entry_id), f"{path}/ids", batch_id)
+
+    return process
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
@@ -70,10 +84,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def maintain_index(path: str) -> Callable[[DataFrame, int], None]:
     """Batch function that keeps postings of changed objects (columns of a scan with search text).
 
+    An object that changes several times in a batch is indexed as its last version is.
+
     Each batch writes the postings of its objects and the ids it replaces; see :func:`read_maintained`.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        batch = newest(batch)
         write_batch(batch.select("id").distinct(), f"{path}/ids", batch_id)
         write_batch(postings(batch.where(F.col("deleted_at").isNull())), f"{path}/postings", batch_id)
 
