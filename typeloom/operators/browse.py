@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.names import lexical
 from ..model import Property, Schema
-from ..session import settled
+from ..session import materialise, settled
 from ..sources.store import SEARCH_TEXT, ObjectStore
 from .predicates import Criterion, InvalidQuery, Violation, apply_criteria, conjunction, criterion
+from .rollup import derive
 
 MAX_PAGE_SIZE = 500
 MAX_OFFSET = 2**31 - 1
@@ -143,6 +144,37 @@ def page(rows: DataFrame, q: Browse) -> DataFrame:
     return ordered.limit(q.size)
 
 
+def page_after(rows: DataFrame, q: Browse, last: dict[str, object]) -> DataFrame:
+    """The page behind a row that had the values ``last`` (by column, the id among them).
+
+    However deep it lies, a task keeps ``size`` rows only, and the condition reaches the scan.
+    """
+    keys = [(p.name, asc, p.scalar_type) for p, asc in q.sorts] or [("created_at", True, "timestamp")]
+    behind, level = F.lit(False), F.lit(True)
+    for name, ascending, kind in [*keys, ("id", True, "string")]:
+        col, value = F.col(name), F.lit(last[name]).cast(kind)
+        if last[name] is None:  # last of an ascending order, first of a descending one
+            further = F.lit(False) if ascending else col.isNotNull()
+        else:
+            further = (col > value) | col.isNull() if ascending else col < value
+        behind = behind | (level & further)
+        level = level & col.eqNullSafe(value)
+    return rows.where(F.coalesce(behind, F.lit(False))).orderBy(*order(q)).limit(q.size)
+
+
+def fresh_values(store: ObjectStore, items: DataFrame, *types: str) -> DataFrame:
+    """A page with its derived properties worked out anew, in the same order."""
+    at = fresh_name("_at", items)
+    held = materialise(items.withColumn(at, F.monotonically_increasing_id()), "page")
+    return derive(store, held, *types, one_page=True).orderBy(at).select(*items.columns)
+
+
+def fresh_name(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def total(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).withColumn(
         "pages", F.ceil(F.col("total") / F.lit(size)).cast("long")
@@ -217,6 +249,7 @@ def facet_order(counts: DataFrame) -> DataFrame:
 
 
 def browse(store: ObjectStore, spec: BrowseSpec) -> BrowseResult:
+    """Page, total and facets; the page's derived properties are worked out, stored copies are not shown."""
     q = resolve(store.schema, spec)
     rows = matching(store, q)
-    return BrowseResult(page(rows, q), total(rows, q.size), facet_order(facets(store, q)))
+    return BrowseResult(fresh_values(store, page(rows, q), *q.types), total(rows, q.size), facet_order(facets(store, q)))

@@ -35,3 +35,19 @@ def closure(pairs: DataFrame) -> DataFrame:
         known = known.unionByName(fresh)
     return known
 
+
+
+def reachable(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst): what each of ``starts`` (id) reaches; cycles are fine.
+
+    The frontier holds what the last round found first; a round is a join with the edges, so the work is that
+    of the paths from the starts, and rounds are as many as the longest of them.
+    """
+    steps = materialise(pairs.select(F.col("src").alias("mid"), F.col("dst").alias("to")).distinct(), "reach-edges")
+    front = materialise(starts.select("id").distinct().join(steps, F.col("id") == F.col("mid")).select(F.col("id").alias("src"), F.col("to").alias("dst")).distinct(), "reach-from")
+    known = front
+    while not front.isEmpty():
+        found = front.join(steps, F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst")).distinct()
+        front = materialise(found.join(known, ["src", "dst"], "left_anti"), "reach-from")
+        known = known.unionByName(front)
+    return known

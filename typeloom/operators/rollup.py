@@ -151,6 +151,11 @@ def derive(store: ObjectStore, objects: DataFrame, *types: str, rules: list[Roll
     return out
 
 
+def read_derived(store: ObjectStore, ids: DataFrame, *types: str) -> DataFrame:
+    """Live objects of ``ids`` with every derived property worked out."""
+    return derive(store, store.read_many(ids, *types), *types)
+
+
 # ---------------------------------------------------------------- maintained rollups
 
 

@@ -14,9 +14,11 @@ from ..operators.browse import (
     label_join,
     matching,
     page,
+    page_after,
     resolve,
     total,
 )
+from ..operators.rollup import read_derived
 from .demo import DemoStore
 from .registry import query
 
@@ -175,3 +177,35 @@ def browse_full(s: DemoStore) -> DataFrame:
     # The union is a set of sections, so the order of the counts is not needed here.
     unordered = type(result)(result.items, result.total, facets(s, resolve(s.schema, FULL)))
     return as_rows(unordered, FULL.size)
+
+
+@query(
+    "browse_derived",
+    "SELECT c.id, count(o.id) FILTER (o.status IS DISTINCT FROM 'F') AS openOrderCount, CAST(sum(o.totalPrice) AS DOUBLE) AS totalSpend, row_number() OVER (ORDER BY c.name, c.id) AS pos "
+    "FROM l_customer c LEFT JOIN l_order o ON o.customer = c.id GROUP BY c.id, c.name ORDER BY c.name, c.id LIMIT 100",
+)
+def browse_derived(s: DemoStore) -> DataFrame:
+    """Stored copies of derived values are stale here: the page shows fresh ones."""
+    items = browse(s, BrowseSpec(("Customer",), sort=("name",), size=100)).items
+    rows = items.select("id", "openOrderCount", F.col("totalSpend").cast("double").alias("totalSpend"), F.monotonically_increasing_id().alias("_at"))
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
+@query(
+    "read_derived",
+    "SELECT c.id, count(o.id) FILTER (o.status IS DISTINCT FROM 'F') AS openOrderCount, CAST(sum(o.totalPrice) AS DOUBLE) AS totalSpend "
+    "FROM l_customer c LEFT JOIN l_order o ON o.customer = c.id WHERE c.id IN (SELECT customer FROM v_order WHERE status = 'P') GROUP BY c.id",
+)
+def read_customers(s: DemoStore) -> DataFrame:
+    wanted = s.table("Order").where(F.col("status") == "P").select(F.col("customer").alias("id")).distinct()
+    return read_derived(s, wanted, "Customer").select("id", "openOrderCount", F.col("totalSpend").cast("double").alias("totalSpend"))
+
+
+@query(
+    "page_after",
+    "SELECT id, status FROM l_order WHERE totalPrice > 100000 ORDER BY totalPrice, id LIMIT 200",
+)
+def orders_after(s: DemoStore) -> DataFrame:
+    """The page behind a known row, without counting the rows before it."""
+    q = resolve(s.schema, BrowseSpec(("Order",), sort=("totalPrice",), size=200))
+    return page_after(matching(s, q), q, {"totalPrice": "100000.00", "id": "~"}).select("id", "status")

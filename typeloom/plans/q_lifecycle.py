@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import derived_id, keyed_id
 from ..operators import lifecycle as L
-from ..operators.reach import closure, edges
+from ..operators.reach import closure, edges, reachable
 from .demo import ACCOUNT_MACHINE, ORDER_MACHINE, TYPE_NO, DemoStore, events
 from .q_read import stamp
 from .registry import query
@@ -255,3 +255,13 @@ def derived_ids(s: DemoStore) -> DataFrame:
 def type_closure(s: DemoStore) -> DataFrame:
     """Everything a part belongs to, directly or not."""
     return closure(edges(s, "Part", "partOf"))
+
+
+@query(
+    "reach_from",
+    "SELECT DISTINCT src, dst FROM walk",
+    "walk AS (SELECT id AS src, partOf AS dst FROM l_part WHERE partOf IS NOT NULL AND brand = 'Brand#7' UNION SELECT w.src, p.partOf FROM walk w JOIN l_part p ON p.id = w.dst WHERE p.partOf IS NOT NULL)",
+)
+def reach_from(s: DemoStore) -> DataFrame:
+    """What the parts of one brand belong to, directly or not."""
+    return reachable(edges(s, "Part", "partOf"), s.scan("Part").where(F.col("brand") == "Brand#7"))
