@@ -40,25 +40,26 @@ TYPES = (
     ),
     TypeDef(
         B + "Person",
-        properties=(p("name", min=1, display_label=True), p("email", max=None, pattern=r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), p("workload", datatype="decimal", read_only=True)),
+        properties=(p("name", min=1, display_label=True), p("badges", max=None, pattern="^[A-Z]{2}-[0-9]{4}$"), p("workload", datatype="decimal", read_only=True)),
     ),
 )
 RULES = (
     Rollup("openTaskCount", "Project", "Task", "belongsToProject", "COUNT", where=({"path": "status", "op": "is not", "value": "done"},), materialised=True),
     Rollup("totalEstimatedHours", "Project", "Task", "belongsToProject", "SUM", "estimatedHours"),
 )
+# From an idea to a review that somebody has to answer within a week.
 MACHINE = Machine(
     "Project",
-    "Draft",
-    ("Draft", "Active", "OnHold", "Closed"),
+    "Idea",
+    ("Idea", "Running", "Review", "Done", "Dropped"),
     (
-        Transition("activate", "Draft", "Active", guard="self.owner IS NOT NULL"),
-        Transition("hold", "Active", "OnHold"),
-        Transition("resume", "OnHold", "Active"),
-        Transition("close", "Active", "Closed"),
-        Transition("autoClose", "Active", "Closed", "ON_CHANGE", guard="self.openTaskCount = 0", watch=("belongsToProject",)),
-        Transition("expireHold", "OnHold", "Closed", "TIMER", after="PT72H"),
-        Transition("reopen", "Closed", "Active", "EXTERNAL_SIGNAL", signal="reopen"),
+        Transition("begin", "Idea", "Running", guard="self.owner IS NOT NULL"),
+        Transition("hand_in", "Running", "Review"),
+        Transition("send_back", "Review", "Running"),
+        Transition("accept", "Review", "Done"),
+        Transition("nothingLeft", "Running", "Review", "ON_CHANGE", guard="self.openTaskCount = 0", watch=("belongsToProject",)),
+        Transition("forgotten", "Review", "Dropped", "TIMER", after="P7D"),
+        Transition("revive", "Dropped", "Idea", "EXTERNAL_SIGNAL", signal="revive"),
     ),
 )
 SCHEMA = Schema(TYPES, RULES, (MACHINE,))

@@ -82,7 +82,7 @@ def test_all_problems_are_reported_at_once():
             BrowseSpec(
                 ("WorkItem",),
                 (("nope", "eq", "1"), ("notes", "eq", "x"), ("totalEstimatedHours", "gt", "1"), ("title", "lt", "x"), ("priority", "eq", "1.5"), ("priority", "in", "1,,2"), ("dueDate", "eq", "1/2/24"), ("urgent", "eq", "maybe"), ("assignedTo", "eq", "7"), ("priority", "near", "1"), ("priority", "eq", None)),
-                sort=("-email",),
+                sort=("-badges",),
                 facets=("priority",),
                 size=501,
             ),

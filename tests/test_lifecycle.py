@@ -17,11 +17,11 @@ def st(spark):
     return make_store(
         spark,
         Project=[
-            {"id": 1, "title": "d", "state": "Draft"},
-            {"id": 2, "title": "d2", "state": "Draft", "owner": oid(30)},
-            {"id": 3, "title": "a", "state": "Active", "openTaskCount": 0},
-            {"id": 4, "title": "a2", "state": "Active", "openTaskCount": 2},
-            {"id": 5, "title": "c", "state": "Closed"},
+            {"id": 1, "title": "d", "state": "Idea"},
+            {"id": 2, "title": "d2", "state": "Idea", "owner": oid(30)},
+            {"id": 3, "title": "a", "state": "Running", "openTaskCount": 0},
+            {"id": 4, "title": "a2", "state": "Running", "openTaskCount": 2},
+            {"id": 5, "title": "c", "state": "Dropped"},
             {"id": 6, "title": "none"},
         ],
     )
@@ -33,17 +33,17 @@ def n(i):
 
 def test_available_transitions_and_reasons(st):
     got = {(n(r["id"]), r["transition"]): (r["available"], r["reason"]) for r in L.available(st.scan("Project"), MACHINE).collect()}
-    assert got[(1, "activate")] == (False, "the condition of activate does not hold")
-    assert got[(2, "activate")] == (True, None)
-    assert got[(3, "autoClose")] == (True, None) and got[(4, "autoClose")][0] is False
+    assert got[(1, "begin")] == (False, "the condition of begin does not hold")
+    assert got[(2, "begin")] == (True, None)
+    assert got[(3, "nothingLeft")] == (True, None) and got[(4, "nothingLeft")][0] is False
     assert not any(k[0] == 6 for k in got)
 
 
 def test_commands(spark, st):
     c = spark.createDataFrame(
         [
-            (1, oid(1), "activate", 1, AT), (2, oid(2), "activate", 1, AT), (3, oid(2), "activate", 1, AT), (4, oid(3), "hold", 9, AT),
-            (5, oid(3), "autoClose", 1, AT), (6, oid(4), "resume", 1, AT), (7, oid(9), "hold", 1, AT), (8, oid(5), "reopen", 1, AT),
+            (1, oid(1), "begin", 1, AT), (2, oid(2), "begin", 1, AT), (3, oid(2), "begin", 1, AT), (4, oid(3), "hand_in", 9, AT),
+            (5, oid(3), "nothingLeft", 1, AT), (6, oid(4), "send_back", 1, AT), (7, oid(9), "hand_in", 1, AT), (8, oid(5), "revive", 1, AT),
         ],
         "command_id long, id string, transition string, expected_version long, at timestamp",
     )
@@ -52,7 +52,7 @@ def test_commands(spark, st):
 
 
 def test_a_command_that_fails_does_not_make_the_next_one_stale(spark, st):
-    c = spark.createDataFrame([(1, oid(4), "resume", 1, AT), (2, oid(4), "hold", 1, AT)], "command_id long, id string, transition string, expected_version long, at timestamp")
+    c = spark.createDataFrame([(1, oid(4), "send_back", 1, AT), (2, oid(4), "hand_in", 1, AT)], "command_id long, id string, transition string, expected_version long, at timestamp")
     assert {r["command_id"]: r["status"] for r in L.fire(st.scan("Project"), c, MACHINE).collect()} == {1: "unavailable", 2: "fired"}
 
 
@@ -66,41 +66,41 @@ def test_on_change_through_the_object_itself_and_watched_references(spark, st):
     # Written objects count themselves; a deleted one only speaks for what it pointed at.
     assert {n(r["id"]) for r in cand.collect()} == {50, 3, 4, 5}
     fired = L.fire_on_change(st.scan("Project"), cand, MACHINE, F.lit(AT)).collect()
-    assert [(n(r["id"]), r["transition"], r["to_state"], r["version"]) for r in fired] == [(3, "autoClose", "Closed", 2)]
+    assert [(n(r["id"]), r["transition"], r["to_state"], r["version"]) for r in fired] == [(3, "nothingLeft", "Review", 2)]
 
 
 def test_first_declared_transition_wins(spark, st):
-    m = Machine("Project", "Draft", ("Active", "X", "Y"), (
-        Transition("one", "Active", "X", "ON_CHANGE", guard="self.openTaskCount = 2"),
-        Transition("two", "Active", "Y", "ON_CHANGE"),
+    m = Machine("Project", "Idea", ("Running", "X", "Y"), (
+        Transition("one", "Running", "X", "ON_CHANGE", guard="self.openTaskCount = 2"),
+        Transition("two", "Running", "Y", "ON_CHANGE"),
     ))
     fired = L.fire_on_change(st.scan("Project"), st.scan("Project").select("id"), m, F.lit(AT))
     assert {n(r["id"]): r["transition"] for r in fired.collect()} == {3: "two", 4: "one"}
 
 
 def test_signals(spark, st):
-    s = spark.createDataFrame([(1, oid(5), "reopen", AT), (2, oid(5), "reopen", AT), (3, oid(3), "reopen", AT), (4, oid(3), "what", AT)], "signal_id long, id string, signal string, at timestamp")
+    s = spark.createDataFrame([(1, oid(5), "revive", AT), (2, oid(5), "revive", AT), (3, oid(3), "revive", AT), (4, oid(3), "what", AT)], "signal_id long, id string, signal string, at timestamp")
     fired, unknown = L.fire_signals(st.scan("Project"), s, MACHINE)
     rows = fired.collect()
-    assert [(n(r["id"]), r["to_state"], r["at"], r["self"]["title"]) for r in rows] == [(5, "Active", AT, "c")]
+    assert [(n(r["id"]), r["to_state"], r["at"], r["self"]["title"]) for r in rows] == [(5, "Idea", AT, "c")]
     assert [r["signal_id"] for r in unknown.collect()] == [4]
 
 
 def test_actions_see_the_object_as_it_was(spark, st):
-    m = Machine("Project", "Draft", ("Draft", "Active"), (
-        Transition("activate", "Draft", "Active", actions=(
+    m = Machine("Project", "Idea", ("Idea", "Running"), (
+        Transition("begin", "Idea", "Running", actions=(
             Action("set_property", property="status", expression="concat('was ', self.state)"),
-            Action("create_object", create_type="Task", assignments=(("title", "concat('Kickoff: ', self.title)"), ("belongsToProject", "self.id"))),
+            Action("create_object", create_type="Task", assignments=(("title", "concat('Plan for ', self.title)"), ("belongsToProject", "self.id"))),
             Action("log", message="${self.title}|${self.owner}|${1 + 1}"),
         )),
     ))
-    c = spark.createDataFrame([(1, oid(1), "activate", 1, AT)], "command_id long, id string, transition string, expected_version long, at timestamp")
+    c = spark.createDataFrame([(1, oid(1), "begin", 1, AT)], "command_id long, id string, transition string, expected_version long, at timestamp")
     fired = L.fire(st.scan("Project"), c, m).where("status = 'fired'")
-    assert [tuple(r) for r in L.set_properties(st, st.scan("Project"), fired, m).collect()] == [(oid(1), "status", None, "was Draft")]
+    assert [tuple(r) for r in L.set_properties(st, st.scan("Project"), fired, m).collect()] == [(oid(1), "status", None, "was Idea")]
     entry = F.lit("11111111-2222-3333-4444-555555555555")
     task = L.create_objects(st, fired, m, entry)["Task"]
     r = task.first()
-    assert (r["title"], r["belongsToProject"], r["state"], r["version"]) == ("Kickoff: d", oid(1), None, 1)
+    assert (r["title"], r["belongsToProject"], r["state"], r["version"]) == ("Plan for d", oid(1), None, 1)
     assert L.create_objects(st.with_table("Task", task), fired, m, entry)["Task"].count() == 0  # running again creates nothing
     assert L.messages(fired, m).first()["text"] == "d||2"
 

@@ -22,7 +22,7 @@ def test_feed_converges(spark, tmp_path):
     rng = random.Random(3)
     base = make_store(
         spark,
-        Project=[{"id": 20, "title": "P", "state": "Active", "openTaskCount": 0}, {"id": 21, "title": "Q", "state": "Active", "openTaskCount": 1}, {"id": 22, "title": "R", "state": "Draft"}],
+        Project=[{"id": 20, "title": "P", "state": "Running", "openTaskCount": 0}, {"id": 21, "title": "Q", "state": "Running", "openTaskCount": 1}, {"id": 22, "title": "R", "state": "Idea"}],
         Task=[{"id": 1, "title": "t", "status": "open", "belongsToProject": oid(21)}],
     )
     version, files, cs = {1: 1}, [[], []], 0
@@ -46,10 +46,10 @@ def test_feed_converges(spark, tmp_path):
     fresh = {r["id"]: r["value"] for r in rollup(now, RULES[0], now.scan("Project")).collect()}
     assert stored == fresh
     states = {int(r["id"][-4:], 16): r["state"] for r in now.scan("Project").collect()}
-    # Project 21 lost its only open task, so it was closed; a draft has no automatic way out.
-    assert states[21] == "Closed" and states[22] == "Draft"
+    # Project 21 lost its only open task, so it went to review; an idea has no automatic way out.
+    assert states[21] == "Review" and states[22] == "Idea"
     moved = spark.read.parquet(str(tmp_path / "out" / "transitions"))
-    assert moved.where((F.col("object_id") == oid(21)) & (F.col("name") == "autoClose")).count() == 1
+    assert moved.where((F.col("object_id") == oid(21)) & (F.col("name") == "nothingLeft")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 0
 
     # Handing the last batch over again changes nothing.
@@ -62,15 +62,15 @@ def test_feed_converges(spark, tmp_path):
 def test_actions_of_automatic_transitions(spark, tmp_path):
     from typeloom.model import Action, Machine, Transition
 
-    machine = Machine("Project", "Active", ("Active", "Closed"), (
-        Transition("autoClose", "Active", "Closed", "ON_CHANGE", guard="self.openTaskCount = 0", watch=("belongsToProject",), actions=(
-            Action("set_property", property="status", expression="concat('closed: ', self.title)"),
+    machine = Machine("Project", "Running", ("Running", "Done"), (
+        Transition("finish", "Running", "Done", "ON_CHANGE", guard="self.openTaskCount = 0", watch=("belongsToProject",), actions=(
+            Action("set_property", property="status", expression="concat('finished: ', self.title)"),
             Action("create_object", create_type="Task", assignments=(("title", "concat('Review ', self.title)"), ("status", "'done'"), ("belongsToProject", "self.id"))),
             Action("create_object", create_type="Project", assignments=(("title", "concat('After ', self.title)"),)),
-            Action("log", message="closed ${self.title}"),
+            Action("log", message="finished ${self.title}"),
         )),
     ))
-    base = make_store(spark, Project=[{"id": 20, "title": "P", "state": "Active", "openTaskCount": 1}], Task=[{"id": 1, "title": "t", "status": "open", "belongsToProject": oid(20)}])
+    base = make_store(spark, Project=[{"id": 20, "title": "P", "state": "Running", "openTaskCount": 1}], Task=[{"id": 1, "title": "t", "status": "open", "belongsToProject": oid(20)}])
     keeper = Maintainer(base, ("Task", "Project"), str(tmp_path), (machine,))
     row = (1, 0, "update", oid(1), B + "Task", 1, None, AT, "me", "t", "done", oid(20))
     odd = (2, 0, "update", oid(1), "nowhere#Thing", 1, None, AT, "me", "t", "done", None)
@@ -80,10 +80,10 @@ def test_actions_of_automatic_transitions(spark, tmp_path):
     assert now.scan("Project").where("title = 'After P' AND state IS NULL AND version <= 2").count() == 1
     with pytest.raises(ValueError):
         Maintainer(base, ("Project",), str(tmp_path), (machine,))
-    assert (p["state"], p["openTaskCount"], p["status"], p["version"]) == ("Closed", 0, "closed: P", 4)
+    assert (p["state"], p["openTaskCount"], p["status"], p["version"]) == ("Done", 0, "finished: P", 4)
     made = now.scan("Task").where("title = 'Review P'").first()
     assert (made["belongsToProject"], made["version"], made["state"]) == (oid(20), 1, None)
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "messages")).collect()] == ["closed P"]
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "messages")).collect()] == ["finished P"]
     assert [r["status"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["unknown_type"]
 
 

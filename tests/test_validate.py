@@ -41,7 +41,7 @@ def test_stages_stop_at_the_first_failure(spark, st):
 def test_patterns_hold_for_every_element(spark, st):
     from domain import rows
 
-    people = rows(spark, "Person", {"id": 1, "name": "a", "email": ["a@b.c", "nope"]}, {"id": 2, "name": "b", "email": []}, {"id": 3, "name": "c"})
+    people = rows(spark, "Person", {"id": 1, "name": "a", "badges": ["AB-0001", "nope"]}, {"id": 2, "name": "b", "badges": []}, {"id": 3, "name": "c"})
     assert [p[0] for p in problems(validate(st, people, "Person"))] == [1]
 
 
