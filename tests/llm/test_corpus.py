@@ -339,6 +339,32 @@ def test_line_chunks_against_a_plain_version(spark, mixed, texts):
     assert all(len(set(passage) & set(want[i].split("\n"))) < 9 for i, _ in rows[1:])
 
 
+def test_short_passages_between_different_neighbours(spark):
+    r = random.Random(12)
+    line = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
+    docs, want = [], {}
+    for k in range(60):
+        passage = [line(-(-51 // (2 + k % 5)) + (j + k) % 3) for j in range(2 + k % 5)]
+        for i in (2 * k, 2 * k + 1):
+            before, after = [line(3 + k % 7) for _ in range(i % 4)], [line(4) for _ in range(k % 3)]
+            docs.append((i, "\n".join(before + passage + after)))
+            want[i] = "\n".join(before + (passage if i % 2 == 0 else []) + after)
+    short = [line(12) for _ in range(4)]  # 48 words
+    beat = [line(20), line(20), line(20)]
+    for i in (900, 901):
+        docs.append((i, "\n".join([line(6), *short, line(6)])))
+        want[i] = docs[-1][1]
+    docs.append((950, "\n".join(beat * 4)))
+    want[950] = "\n".join(beat)
+    rows = frame(spark, docs).repartition(5)
+    spec = line_chunks.LineChunks(min_lines=99, run_words=50)
+    assert {x["doc_id"]: x["text"] for x in line_chunks.remove_repeats(rows, spec).collect()} == want
+    # With chunks, the 48 words may go as well.
+    got = {x["doc_id"]: x["text"] for x in line_chunks.remove_repeats(rows, line_chunks.WHOLE).collect()}
+    assert all(got[i] == t for i, t in want.items() if i < 900)
+    assert set(got[950].split("\n")) == set(beat) and len(got[950].split("\n")) < 12
+
+
 def test_drop_repeats_keeps_columns(spark):
     text = "\n".join(f"line {k} of it" for k in range(9))
     rows = [(1, text, 5, "a"), (2, text, 5, "b"), (3, None, 0, "c"), (4, "", 0, "d"), (1, text, 5, "a")]

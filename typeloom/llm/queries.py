@@ -37,7 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of lines that stand in an earlier place already."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = line_chunks.remove_repeats(docs)
+    out = line_chunks.remove_repeats(docs, line_chunks.WHOLE)
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_kept").cast("long"), "text")
 
 
