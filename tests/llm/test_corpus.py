@@ -427,6 +427,36 @@ def test_language_of_odd_texts(spark, mixed, empty):
     assert langid.keep_identified(empty, langid.fit(labelled.limit(0))).count() == 0
 
 
+def _invented(r, letters, n):
+    return [" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(12)) for _ in range(n)]
+
+
+def test_copies_do_not_thin_out_a_language(spark):
+    r = random.Random(13)
+    one, two = _invented(r, "abcdefgh", 400), _invented(r, "efghijkl", 400)
+    rows = [*((t, "one") for t in one), *((t, "two") for t in two[:200]), *[(two[0], "two")] * 20_000, *[(None, "two")] * 20_000]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(labelled, langid.LanguageId(per_lang=100))
+    unseen = spark.createDataFrame([(t, "two") for t in two[200:]], "text string, lang string")
+    got = unseen.select("lang", langid.predicted(model, unseen).alias("p")).select("lang", "p.*")
+    assert got.filter("lang = lang_pred AND NOT rejected").count() >= 190
+
+
+def test_a_rare_language_is_fitted_on_all_its_texts(spark):
+    r = random.Random(14)
+    pool = spark.createDataFrame([(t,) for t in _invented(r, "efghijkl", 300)], "text string")
+    # Texts whose hash makes them calibrate only.
+    rare = [x["text"] for x in pool.filter(F.pmod(F.xxhash64("text"), F.lit(10)) == 0).limit(8).collect()]
+    assert len(rare) == 8
+    labelled = spark.createDataFrame([*((t, "one") for t in _invented(r, "abcdefgh", 200)), *((t, "two") for t in rare)], "text string, lang string")
+    model = langid.fit(labelled)
+    assert model.langs == ["one", "two"]
+    got = pool.select(langid.predicted(model, pool).alias("p")).select("p.*")
+    assert got.filter("lang_pred = 'two'").count() >= 285
+    mine = labelled.filter("lang = 'two'")
+    assert mine.select(langid.predicted(model, mine).alias("p")).filter("p.rejected").count() == 0
+
+
 def test_probabilities_of_a_model_sum_to_one():
     model = langid.kneser_ney({"x": {"\x02\x02a": 3, "\x02ab": 2, "\x02aa": 1, "ab\x03": 2, "aa\x03": 1}}, 3)
     scorer = langid.Scorer(model)

@@ -5,9 +5,9 @@ begin and end). The models are kept as sorted arrays of n-gram hashes with a row
 one column for each language. A text gets the language whose model needs the fewest nats a letter;
 a text that even its best model finds far odder than calibration texts is rejected.
 
-The models are fitted on a bounded sample of labelled texts (``per_lang``, drawn by a hash of the text
-so that it doesn't depend on how the table is partitioned). All else runs once over every text,
-without a shuffle.
+The models are fitted on a bounded sample of different labelled texts (``per_lang``, drawn by a hash of the text
+so that it doesn't depend on how the table is partitioned, nor on copies). Of the others, only the hashes
+are counted; all else runs once over every text, without a shuffle.
 
 Defined results: no text, or no letter (``\\p{L}``) in it: ``und``, score 0, rejected. Ties go to the
 language first in code-point order. Without labelled texts, every text is ``und``. Repeated rows are
@@ -36,12 +36,13 @@ RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean
 
 @dataclass(frozen=True)
 class LanguageId:
-    """``per_lang`` labelled texts of each language are fitted on, a tenth of them calibrates."""
+    """Of each language, ``per_lang`` different labelled texts are drawn; a tenth of them calibrates."""
 
     order: int = 4
     per_lang: int = 3000
     odd: float = 1.5  # a text is rejected beyond this many times what 99.9 % of calibration texts show
     model_bytes: int = 128 << 20
+    few: int = 50  # languages with fewer texts in the sample are fitted on all of them
 
 
 @dataclass
@@ -256,32 +257,46 @@ def _gram_counts(order: int):
 
 
 def fit(labelled: DataFrame, spec: LanguageId = LanguageId(), text: str = "text", lang: str = "lang") -> Model:
-    """Models of the languages of ``labelled`` (rows without text or language aside)."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Models of the languages of ``labelled`` (rows without text or language aside).
+
+    Texts that calibrate are not fitted on, but for languages with fewer than ``few`` texts in the sample: these
+    are fitted on all of them, and calibrated by a trial model that saw half of them.
+    """
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    # Copies count once, as they are drawn once.
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], spec.order)
     share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(1.0, spec.per_lang / n))) for x, n in sizes.items()))
-    key = F.xxhash64("text")
-    sample = (
-        rows.filter("text IS NOT NULL")
-        .withColumn("key", key)
-        .filter(F.pmod(F.shiftrightunsigned("key", 32), F.lit(1 << 24)) < share[F.col("lang")] * (1 << 24))
-        .dropDuplicates(["lang", "key"])
-    )
-    held = F.pmod("key", F.lit(10)) == 0
-    grams = sample.filter(~held | (F.lit(max(sizes.values())) < 50)).select("lang", "text").mapInArrow(_gram_counts(spec.order), "lang string, gram string, n long")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["lang"]][r["gram"]] = r["n"]
+    sample = rows.filter(F.pmod(F.shiftrightunsigned("key", 32), F.lit(1 << 24)) < share[F.col("lang")] * (1 << 24)).dropDuplicates(["lang", "key"])
+    rare = sorted(x for x, n in sizes.items() if min(n, spec.per_lang) < spec.few)
+    is_rare = F.col("lang").isin(rare)
+    held = F.pmod("key", F.when(is_rare, F.lit(2)).otherwise(F.lit(10))) == 0
+
+    def counted(texts: DataFrame) -> dict[str, dict[str, int]]:
+        grams = texts.select("lang", "text").mapInArrow(_gram_counts(spec.order), "lang string, gram string, n long")
+        counts: dict[str, dict[str, int]] = defaultdict(dict)
+        for r in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["lang"]][r["gram"]] = r["n"]
+        return counts
+
+    counts = counted(sample.filter(~held | is_rare))
     model = kneser_ney(counts, spec.order)
     if model.size() > spec.model_bytes:
         raise ValueError(f"the models take {model.size()} bytes; lower per_lang or order")
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-    known = sample.filter(held & F.col("lang").isin(model.langs))
+    trial = model
+    if rare:
+        trial = kneser_ney({x: c for x, c in counts.items() if x not in rare} | counted(sample.filter(~held & is_rare)), spec.order)
+    shared = labelled.sparkSession.sparkContext.broadcast(trial)
+    known = sample.filter(held & F.col("lang").isin(trial.langs))
     seen = known.select("lang", _scores(shared)("text").alias("s")).select("lang", "s.*").collect()
     if seen:
-        calibrate(model, [r["lang"] for r in seen], np.array([r["scores"] for r in seen]), np.array([r["n"] for r in seen]), spec.odd)
+        calibrate(trial, [r["lang"] for r in seen], np.array([r["scores"] for r in seen]), np.array([r["n"] for r in seen]), spec.odd)
+    if trial is not model and trial.centre:
+        centre = dict(zip(trial.langs, trial.centre))
+        model.centre = [centre.get(x, float(np.mean(trial.centre))) for x in model.langs]
+        model.odd, model.sharp = trial.odd, trial.sharp
     return model
 
 
