@@ -405,6 +405,24 @@ def test_benchmark_in_several_blocks(spark, texts):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_similarities_do_not_depend_on_blocks(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    stock = [[word() for _ in range(12)] for _ in range(4)]
+    items = {k: " ".join([*stock[k % 4], *(word() for _ in range(14)), *stock[(k + 1) % 4]]) for k in range(30)}
+    docs = {}
+    for k, t in items.items():
+        for n in range(3):
+            w = t.split()
+            w[(2, 19, 35)[n]] = "changed"
+            docs[10 * k + n] = " ".join(["before", *w, "after"])
+    want = brute.leaks(docs, items)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for size in (1 << 22, 1500, 400):
+        got = decontam.leaks(frame(spark, list(docs.items())), bench, decontam.Decontamination(block_bytes=size))
+        assert {(x["doc_id"], x["item_id"]): (x["similarity"], x["start_word"]) for x in got.collect()} == want != {}
+
+
 # --- languages
 
 

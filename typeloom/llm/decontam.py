@@ -3,7 +3,7 @@
 Words are runs of anything but white space and ASCII punctuation, A-Z in lower case. For an item of n
 words, each window of n words of a text is a candidate (the whole text, where it is shorter). Windows
 and items have 64-bit SimHash fingerprints over their shingles of ``size`` words, weighted: a shingle that
-many items have weighs less. Fingerprints are cut into 8 blocks; one that is within ``radius`` bits of an
+many items of the whole benchmark have weighs less. Fingerprints are cut into 8 blocks; one that is within ``radius`` bits of an
 item's must be within ``radius // 8`` bits in one block at least, which a table of each block answers, so
 that no fingerprint within the radius is missed. Candidates are verified by the exact weighted Jaccard
 similarity of their shingles as multisets.
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import fresh, held, shingle_hashes, slices, word_hashes
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,16 +58,22 @@ def _shingles(words: list[bytes], size: int) -> Counter:
 
 
 class Matcher:
-    """The items of one block, ready to be looked for."""
+    """The items of one block, ready to be looked for.
 
-    def __init__(self, items: list[tuple], spec: Decontamination):
+    ``shared``: of the block's shingles that several items of the whole benchmark have, how many do; ``steps``: the
+    items of the whole benchmark. Without them the block is all.
+    """
+
+    def __init__(self, items: list[tuple], spec: Decontamination, shared: dict[bytes, int] | None = None, steps: int | None = None):
         self.spec = spec
         rows = sorted({(i, plain(t)) for i, t in items if plain(t)}, key=lambda r: (str(r[0]), r[1]))
         self.ids = [i for i, _ in rows]
         self.words = [w.split() for _, w in rows]
         self.sets = [_shingles(w, spec.size) for w in self.words]
         seen = Counter(s for c in self.sets for s in c)
-        steps = len(rows)
+        if shared is not None:
+            seen = {s: shared.get(b" ".join(s), 1) for s in seen}
+        steps = len(rows) if steps is None else steps
         # By shingle: 1, and one more for each halving of the items that have it.
         self.weight = {s: (steps // n).bit_length() for s, n in seen.items()}
         self.full = steps.bit_length()
@@ -162,14 +169,44 @@ class Matcher:
                             best[k] = (sim, r, len(window))
 
 
+def _shingle_rows(size: int):
+    def rows(batches):
+        for batch in batches:
+            found = [[b" ".join(x) for x in _shingles(t.encode().split(), size)] for t in batch.column(1).to_pylist()]
+            block = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array([x for f in found for x in f], pa.binary())], names=["block", "shingle"])
+
+    return rows
+
+
 def matchers(benchmark: DataFrame, spec: Decontamination = Decontamination()) -> list:
-    """The items (item_id, text) as broadcast blocks, none much above ``block_bytes``."""
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // spec.block_bytes))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    """The items (item_id, text) as broadcast blocks, none much above ``block_bytes``.
+
+    Weights follow from the whole benchmark, so that similarities don't depend on the blocks.
+    """
+
+    @F.arrow_udf("string")
+    def plainly(texts: pa.Array) -> pa.Array:
+        return pa.array([plain(t).decode() for t in texts.to_pylist()], pa.string())
+
+    items = benchmark.select("item_id", plainly("text").alias("text")).filter("text <> ''").distinct()
+    items = materialise(items, "decontam-items")
+    total = items.agg(F.sum(F.octet_length("text") + 16).alias("size"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(total["size"] or 0) // spec.block_bytes))
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(([tuple(r) for r in items.filter(part == k).collect()], spec)) for k in range(blocks)]
+    if blocks == 1:
+        return [context.broadcast(([tuple(r) for r in items.collect()], spec))]
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    rows = items.select("block", "text").mapInArrow(_shingle_rows(spec.size), "block long, shingle binary")
+    by_block = rows.groupBy("shingle", "block").agg(F.count("*").alias("n"))
+    counts = by_block.groupBy("shingle").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).filter("n > 1")
+    counts = materialise(counts.select("shingle", "n", F.explode("blocks").alias("block")), "decontam-shingles")
+
+    def block(k: int):
+        shared = {bytes(r["shingle"]): r["n"] for r in counts.filter(F.col("block") == k).collect()}
+        return [tuple(r) for r in items.filter(F.col("block") == k).select("item_id", "text").collect()], spec, shared, total["n"]
+
+    return [context.broadcast(block(k)) for k in range(blocks)]
 
 
 def _matcher(shared) -> Matcher:
