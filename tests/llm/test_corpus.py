@@ -322,6 +322,20 @@ def test_encoder_equals_the_library():
     assert codec.encode(texts) == codec._plain(texts)
 
 
+def test_added_tokens_are_found():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec, library = token_orc.Encoder(path), Tokenizer.from_file(path)
+    assert codec.added
+    texts = [f"{a}{token}{b}" for token in codec.added for a in ("", "hello ", "hello") for b in ("", " world", "world and more")]
+    texts += ["hello world", *texts, "hello world and <| endoftext|> more"]
+    got = codec.encode(texts)
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(codec.encode([f"hello {codec.added[0]} world"])[0], "<u4").tolist().count(library.token_to_id(codec.added[0])) == 1
+
+
 # --- line chunks
 
 

@@ -7,7 +7,7 @@ stripes and row groups by their statistics; stripes are read in parallel.
 
 Byte-level BPE encodes text between single spaces independently (no piece goes on over a space between
 two other characters), so that a word with its space is given to the library once, while it is remembered.
-Texts with other white space next to spaces go to the library whole.
+Texts with other white space next to spaces, or with an added token of the file, go to the library whole.
 
 Defined results: a null text is an empty one and gives the end id alone; rows that share a doc_id stand next to
 each other, by text; a null doc_id stands first. Other columns are not written.
@@ -61,7 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # Found anywhere in a text, before it is cut into pieces.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = Recent(self.KEEP_WORDS)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -90,8 +91,12 @@ class Encoder:
         near = self.words.new
         found = [list(map(near.get, words[1:])) for words in parts]
         known: dict[str, bytes] = {}  # words of this batch that had not been met of late
-        odd: set[int] = set()
+        # A word by itself does not show an added token that has a space.
+        spaced = any(" " in c for c in self.added)
+        odd = {k for k, t in enumerate(texts) if spaced or any(c in t for c in self.added)}
         for k, (words, ids) in enumerate(zip(parts, found)):
+            if k in odd:
+                continue
             if ids and not solid(words[0]):
                 odd.add(k)
             elif None in ids:
