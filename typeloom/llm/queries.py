@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
+from . import alignment, blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
 from ..session import fresh_path, materialise
 from .common import documents, ready, table
 
@@ -123,3 +123,12 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = site_bayes.fit(docs, table(spark, sf_dir, "labels"))
     out = site_bayes.judged(docs, evidence, F.col("source"), F.col("lang"))
     return out.withColumn("kept", (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in two tokenizers: groups that end together, overlaps, and what those are worth corpus-wide."""
+    import public_tokenizers
+
+    spec = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.aligned(documents(spark, sf_dir).select("doc_id", "text"), spec)
