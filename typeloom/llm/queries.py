@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
+from . import alignment, archives, blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
 from ..session import fresh_path, materialise
 from .common import documents, ready, table
 
@@ -132,3 +132,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spec = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.aligned(documents(spark, sf_dir).select("doc_id", "text"), spec)
+
+
+@query
+def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of legacy archives that are converted to WARC, read back from there."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url", F.lit("20240101000000").alias("date"), F.col("html").alias("payload"))
+    out = archives.through_archives(pages, archives.Archives(), F.col("key").cast("long"))
+    return out.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
