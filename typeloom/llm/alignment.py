@@ -30,7 +30,6 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .common import held
-from .units import Library, cut, expand, flattened, gathered
+from .units import Library, cut, expand, flattened, gathered, pack, unpack
 
 #: How piece vocabularies write a space.
 PIECE_SPACE = "▁"
@@ -197,23 +196,6 @@ def _written(codec: Tokenizers, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np
     return [text[x : max(x, y - 1)] for x, y in zip([0, *ends[:-1]], ends)]  # without the last sign
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers below 2^32, byte by byte of all numbers (high ones are mostly zero), compressed."""
-    parts = [np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()]
-    parts += [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    out, at = [], 4 * (n + 1)
-    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
-        at += 4 * size
-    return out
-
-
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the slices that begin where ``begin`` says."""
     total = np.concatenate(([0], np.cumsum(values)))
@@ -249,7 +231,7 @@ def _rows(spec: Pair, chunk: int, ids: pa.Array, texts: pa.Array) -> Iterator[di
     pairs, which = np.unique(keys, return_inverse=True)
     count = np.bincount(which, np.repeat(times[used], n_links[used]), len(pairs)).astype(np.int64)
     yield {"kind": np.full(len(pairs), PAIR), "at": np.arange(len(pairs)), "pair": pairs, "n": count}
-    yield {"kind": np.array([NUMBERS]), "at": np.zeros(1, np.int64), "numbers": pa.array([_pack(number[codes], np.diff(begin), n_links[used], which)], pa.binary())}
+    yield {"kind": np.array([NUMBERS]), "at": np.zeros(1, np.int64), "numbers": pa.array([pack(number[codes], np.diff(begin), n_links[used], which)], pa.binary())}
 
 
 def first_pass(docs: DataFrame, spec: Pair) -> DataFrame:
@@ -298,7 +280,7 @@ def aligned(docs: DataFrame, spec: Pair) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.filter(pc.equal(left["kind"], TEXT)).sort_by("at")
-        codes, sizes, n_links, which = _unpack(left.filter(pc.equal(left["kind"], NUMBERS))["numbers"][0].as_py())
+        codes, sizes, n_links, which = unpack(left.filter(pc.equal(left["kind"], NUMBERS))["numbers"][0].as_py())
         begin, link_begin = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(n_links)))
         at = right["at"].to_numpy()
         for name, values in (("n_best", right["best"].to_numpy().astype(np.int64)), ("count_sum", right["count"].to_numpy())):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, archives, blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
+from . import alignment, archives, blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, phrases, ring_shards, site_bayes, token_orc
 from ..session import fresh_path, materialise
 from .common import documents, ready, table
 
@@ -146,3 +146,9 @@ def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of two to four words of each language, over all texts."""
+    return phrases.mined(documents(spark, sf_dir).select("lang", "text"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: White space in the sense of any library, and a space next to it or at an end of the text.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -98,6 +99,23 @@ def flattened(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2^32, byte by byte of all numbers (high ones are mostly zero), compressed."""
+    parts = [np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()]
+    parts += [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    out, at = [], 4 * (n + 1)
+    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
+        at += 4 * size
+    return out
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[pa.RecordBatch]:
     """Consecutive batches together, as long as the strings of a column take no more than ``chars`` bytes."""
     held: list[pa.RecordBatch] = []
