@@ -49,7 +49,7 @@ class Pair:
 
     bytes_json: str
     pieces_model: str
-    chunk_bytes: int = 32 << 20
+    chunk_bytes: int = 12 << 20
     #: Steps of a piece of the merge path.
     piece: int = 1 << 16
 
@@ -209,7 +209,7 @@ TEXT, PAIR, NUMBERS = 0, 1, 2
 def _rows(spec: Pair, chunk: int, ids: pa.Array, texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
     codec = tokenizers(spec)
     units = cut(texts, " ")
-    full = np.array([bool(t) for t in texts.to_pylist()], bool)
+    full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
     known = align(codec, units.texts, spec.piece)
     use = full & (_sums(~known.good[units.codes], units.begin) == 0)
     shown = np.repeat(use, np.diff(units.begin))
