@@ -195,10 +195,11 @@ def merged(striped: DataFrame, spec: Phrases) -> DataFrame:
 
     def level(size: int) -> DataFrame:
         keys = WORDS[:size]
-        rows = each.filter(F.col(keys[-1]) != END).groupBy("w1", "buckets", "bucket", *keys[1:]).agg(F.sum("n").alias("a"))
+        # The number of buckets is an aggregate: a filter on it doesn't go below the exchange, which all levels share.
+        rows = each.filter(F.col(keys[-1]) != END).groupBy("w1", "bucket", *keys[1:]).agg(F.sum("n").alias("a"), F.max("buckets").alias("parts"))
         if size == 2:
-            cross = rows.filter("buckets > 1").groupBy(*keys).agg(F.sum("a").alias("a"))
-            rows = rows.filter("buckets = 1").select(*keys, "a").unionByName(cross)
+            cross = rows.filter("parts > 1").groupBy(*keys).agg(F.sum("a").alias("a"))
+            rows = rows.filter("parts = 1").select(*keys, "a").unionByName(cross)
         return rows.filter(F.col("a") >= spec.least).select(*[F.col(w).cast("long") if w in keys else F.lit(END).cast("long").alias(w) for w in WORDS], "a")
 
     return level(2).unionByName(level(3)).unionByName(level(4))
