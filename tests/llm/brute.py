@@ -80,6 +80,38 @@ def without_repeats(texts: dict, solo: int = 50) -> dict:
     return out
 
 
+def runs(text: str, n: int = 50) -> set[tuple[int, int]]:
+    """The shortest runs of lines with ``n`` words that begin, and that end, with each line (from 0)."""
+    sizes = [min(n, 1 + sum(c in " \t" for c in x.strip(" "))) for x in text.split("\n")]
+    out = set()
+    for i in range(len(sizes)):
+        ahead = next((j for j in range(i, len(sizes)) if sum(sizes[i : j + 1]) >= n), None)
+        behind = next((j for j in range(i, -1, -1) if sum(sizes[j : i + 1]) >= n), None)
+        out |= {(i, ahead)} if ahead is not None else set()
+        out |= {(behind, i)} if behind is not None else set()
+    return out
+
+
+def without_passages(texts: dict, n: int = 50) -> dict:
+    """Texts without the lines of chunks and of runs of ``n`` words that stand somewhere earlier."""
+    first, spans = {}, {}
+    for i in sorted(k for k, t in texts.items() if t is not None):
+        lines = texts[i].split("\n")
+        own = {(a, b) for a, b in chunks(texts[i], n) if b > a or lines[a].count(" ") >= n - 1} | runs(texts[i], n)
+        spans[i] = [(a, b, tuple(lines[a : b + 1])) for a, b in sorted(own) if any(x.strip(" ") for x in lines[a : b + 1])]
+        for a, b, part in spans[i]:
+            first.setdefault(part, (i, a, b))
+    out = {i: t for i, t in texts.items() if t is None}
+    for i, own in spans.items():
+        gone = set()
+        for a, b, part in own:
+            at, start, stop = first[part]
+            if at != i or stop < a:
+                gone |= set(range(a, b + 1))
+        out[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone) if gone else texts[i]
+    return out
+
+
 PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]")
 
 

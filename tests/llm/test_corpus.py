@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,7 +295,6 @@ def test_token_files(spark, mixed, texts):
     path, spec = fresh_path(spark, "test-tokens"), token_orc.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))
     token_orc.write(mixed, path, spec)
     library = Tokenizer.from_file(spec.tokenizer)
-    library.encode_special_tokens = True
     rows = sorted(((i is not None, i or 0, t or "") for i, t in [*texts.items(), *ODD, ODD[6]]))
     got = sorted(token_orc.digests(spark, path).collect(), key=lambda r: r["start"])
     start = 0
@@ -311,6 +311,21 @@ def test_token_files(spark, mixed, texts):
     assert token_orc.digests(spark, none).count() == 0
 
 
+def per_text(codec, texts):
+    ids, begin = codec.encode(pa.array(texts, pa.string()), [])
+    return [ids[a:b].tobytes() for a, b in zip(begin, begin[1:])]
+
+
+def test_starts_follow_the_order_of_rows_with_one_id(spark):
+    import public_tokenizers
+
+    path, spec = fresh_path(spark, "test-tokens"), token_orc.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(2, "a b c d e f g h i"), (2, "b"), (1, "x"), (2, "c d")]
+    token_orc.write(frame(spark, rows), path, spec)
+    got = sorted(token_orc.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(1, 0, 2), (2, 2, 10), (2, 12, 2), (2, 14, 3)]
+
+
 def test_encoder_equals_the_library():
     import public_tokenizers
 
@@ -319,7 +334,7 @@ def test_encoder_equals_the_library():
     r = random.Random(8)
     pools = ["abc  \n\t'", "aA1 .,;'\n é", "日本 ü🎉 ", "  \n\n a", "<|endoftext|> "]
     texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(0, 40))) for _ in range(2000)]
-    assert codec.encode(texts) == codec._plain(texts)
+    assert per_text(codec, texts) == codec.library.whole(texts)
 
 
 def test_added_tokens_are_found():
@@ -328,12 +343,13 @@ def test_added_tokens_are_found():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     codec, library = token_orc.Encoder(path), Tokenizer.from_file(path)
-    assert codec.added
-    texts = [f"{a}{token}{b}" for token in codec.added for a in ("", "hello ", "hello") for b in ("", " world", "world and more")]
+    added = codec.library.added
+    assert added
+    texts = [f"{a}{token}{b}" for token in added for a in ("", "hello ", "hello") for b in ("", " world", "world and more")]
     texts += ["hello world", *texts, "hello world and <| endoftext|> more"]
-    got = codec.encode(texts)
+    got = per_text(codec, texts)
     assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert np.frombuffer(codec.encode([f"hello {codec.added[0]} world"])[0], "<u4").tolist().count(library.token_to_id(codec.added[0])) == 1
+    assert np.frombuffer(per_text(codec, [f"hello {added[0]} world"])[0], "<u4").tolist().count(library.token_to_id(added[0])) == 1
 
 
 # --- line chunks

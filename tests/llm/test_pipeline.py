@@ -28,7 +28,7 @@ def test_pipeline_against_plain_version(spark, tiktoken_encode):
     assert kept.columns == docs.columns
     texts = {r["doc_id"]: texts[r["doc_id"]] for r in kept.select("doc_id").collect()}
     assert len(texts) >= 0.99 * docs.count()
-    short = brute.without_repeats(texts)
+    short = brute.without_passages(texts)
     texts = {i: t for i, t in short.items() if t == texts[i] or brute.WORD.search(t)}
     root = brute.components(texts, 5)
     texts = {i: t for i, t in texts.items() if root[i] == i}

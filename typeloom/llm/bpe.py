@@ -10,12 +10,14 @@ in a long piece that is emitted as reading goes on. States, and the ids of words
 and then made anew.
 
 Texts are cut into pieces by the tokenizer's pattern; no piece goes on over a single space that follows and
-precedes other characters, so that words with their space before them are split and looked up once each.
+precedes other characters, so that units of text (``units.cut``) are encoded one by one: each distinct one of a batch
+is looked up once, and goes through the transducer if it was not met of late.
 
 Decoding reads ids one by one; an incremental UTF-8 machine holds back the bytes of a character that is not
 complete. Ill-formed bytes become U+FFFD as in Python's decoder, so any list of ids can be decoded.
 
-Defined results: null text encodes like an empty one: no ids. Ids outside the vocabulary raise an error.
+Defined results: null text encodes like an empty one: no ids. Ids outside the vocabulary raise an error. Repeated rows each
+give their result; long texts are read whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, held
+from .units import Recent, cut, expand, flattened, runs
 
 Hypothesis = tuple[int, bytes]  # the last finished token (-1: none), the bytes read after it
 
@@ -52,8 +55,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Transducer:
     KEEP_STATES = 150_000
-    KEEP_WORDS = 300_000
-    KEEP_PIECES = 50_000
+    KEEP_WORDS = 400_000
+    KEEP_PIECES = 100_000
     KEEP_FITS = 250_000
     #: In a longer piece, what all hypotheses agree on is emitted every so many bytes.
     FLUSH = 4096
@@ -165,6 +168,16 @@ class Transducer:
             self._clear_states()
         state, steps = 0, self.steps
         ends, out = [-1], []
+        if len(piece) <= self.FLUSH:
+            for byte in piece:
+                found = steps[state].get(byte)
+                if found is None:
+                    found = self._step(state, byte)
+                state, token = found
+                ends.append(token)
+            tokens = self._back(ends, len(piece))
+            tokens.reverse()
+            return tokens
         for byte in piece:
             found = steps[state].get(byte)
             if found is None:
@@ -206,66 +219,18 @@ class Transducer:
     def packed(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.find(text)))
 
-    def _word(self, word: str) -> bytes:
-        """The ids of ``word`` with a space before it."""
-        ids = self.words.recall(word)
-        if ids is None:
-            ids = self.packed(" " + word)
-            self.words.note(word, ids)
-        return ids
+    def _units(self, units: list[str]) -> list[bytes]:
+        return self.words.all(units, lambda lacking: list(map(self.packed, lacking)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text``, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        found = list(map(self.words.new.get, rest))
-        if None in found or not solid(first):
-            # A new piece begins at each single space between other characters, and at no other space for sure.
-            if not solid(first) or not all(map(solid, (w for w, ids in zip(rest, found) if ids is None))):
-                return self._runs(first, rest)
-            found = [self._word(w) if ids is None else ids for w, ids in zip(rest, found)]
-        return self.packed(first) + b"".join(found)
-
-    def _runs(self, whole: str, rest: list[str]) -> bytes:
-        """Ids where some words are empty or have white space at an end: those stay with their neighbours."""
-        out: list[bytes] = []
-        for word in rest:
-            if whole and word and not whole[-1].isspace() and not word[0].isspace():
-                out.append(self._word(whole) if out else self.packed(whole))
-                whole = word
-            else:
-                whole += " " + word
-        out.append(self.packed(" " + whole) if out else self.packed(whole))
-        return b"".join(out)
-
-
-class Recent:
-    """Ids by text, for the texts met last: as many as ``keep`` to twice that."""
-
-    def __init__(self, keep: int, longest: int = 64):
-        self.keep, self.longest = keep, longest
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def recall(self, text: str) -> bytes | None:
-        ids = self.new.get(text)
-        if ids is None:
-            ids = self.old.get(text)
-            if ids is not None:
-                self.note(text, ids)
-        return ids
+        return b"".join(self._units(runs(text))) if text else b""
 
-    def note(self, text: str, ids: bytes) -> None:
-        if len(text) <= self.longest:
-            if len(self.new) >= self.keep:
-                self.old, self.new = self.new, {}
-            self.new[text] = ids
-
-
-def solid(word: str) -> bool:
-    """Whether a word has other characters than white space at both ends."""
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin: each distinct unit is looked up once."""
+        units = cut(texts)
+        ids, at = expand(*flattened(self._units(units.texts)), units.codes)
+        return ids, at[units.begin]
 
 
 def _utf8_machine() -> list[list[int]]:
@@ -308,9 +273,11 @@ class Decoder:
         self.bytes_of = bytes_of
         top = max(bytes_of) + 1
         steps = [advance(b"", bytes_of.get(i, b"")) for i in range(top)]
-        #: What an id gives between characters, and whether it ends between characters again.
+        #: What an id gives between characters, and whether that is well-formed and ends between characters again.
         self.text_of = [text for text, _ in steps]
-        self.whole = np.array([not held for _, held in steps])
+        self.whole = np.array([not held and "\ufffd" not in text for text, held in steps])
+        self.data = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(top)), np.uint8)
+        self.begin = np.cumsum([0, *(len(bytes_of.get(i, b"")) for i in range(top))])
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as far as it is complete, id by id."""
@@ -341,6 +308,34 @@ class Decoder:
         return "".join(out)
 
 
+    def _closes(self, ids: np.ndarray) -> bool:
+        """Whether the machine finds well-formed characters wherever an id leaves one open."""
+        at, size = 0, len(ids)
+        for open_ in np.flatnonzero(~self.whole[ids]).tolist():
+            if open_ < at:
+                continue
+            held, at = b"", open_
+            while at < size and (held or at == open_):
+                text, held = advance(held, self.bytes_of[int(ids[at])])
+                if "\ufffd" in text:
+                    return False
+                at += 1
+            if held:
+                return False
+        return True
+
+    def utf8(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """What the ids of each text decode to, in UTF-8: the ids' bytes, but where the machine finds them ill-formed."""
+        data, at = expand(self.data, self.begin, ids)
+        raw, cuts = data.tobytes(), at[begin].tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(np.searchsorted(begin, np.flatnonzero(~self.whole[ids]), "right") - 1).tolist():
+            own = ids[begin[k] : begin[k + 1]]
+            if not self._closes(own):
+                out[k] = self.decode(own).encode()
+        return out
+
+
 def transducer(vocabulary: Vocabulary) -> tuple[Transducer, Decoder]:
     def make() -> tuple[Transducer, Decoder]:
         made = Transducer(read_ranks(vocabulary.path), vocabulary.pattern)
@@ -349,9 +344,8 @@ def transducer(vocabulary: Vocabulary) -> tuple[Transducer, Decoder]:
     return held(("bpe", vocabulary), make)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+def _lists(ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.view("<i4")))
 
 
 def encoded(vocabulary: Vocabulary, text: Column) -> Column:
@@ -360,7 +354,7 @@ def encoded(vocabulary: Vocabulary, text: Column) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec, _ = transducer(vocabulary)
-        return _lists([np.frombuffer(codec.encode(t), "<i4") for t in texts.to_pylist()])
+        return _lists(*codec.encode_all(texts))
 
     return encode.asNondeterministic()(text)
 
@@ -386,14 +380,12 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def digest(texts: pa.Array) -> pa.Array:
         codec, decoder = transducer(vocabulary)
-        sizes, ids_sha, text_sha = [], [], []
-        for text in texts:
-            packed = codec.encode(text.as_py())
-            sizes.append(len(packed) // 4)
-            ids_sha.append(sha256(packed).hexdigest())
-            text_sha.append(sha256(decoder.decode(np.frombuffer(packed, "<u4")).encode()).hexdigest())
+        ids, begin = codec.encode_all(texts)
+        packed, cuts = ids.tobytes(), (4 * begin).tolist()
+        ids_sha = [sha256(packed[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+        text_sha = [sha256(x).hexdigest() for x in decoder.utf8(ids, begin)]
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"]
+            [pa.array(np.diff(begin)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"]
         )
 
     name = fresh(docs, "_digest")
@@ -410,12 +402,9 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     @F.arrow_udf("struct<ids: array<int>, exact: boolean>")
     def encode(texts: pa.Array) -> pa.Array:
         codec, decoder = transducer(vocabulary)
-        parts, exact = [], []
-        for text in texts.to_pylist():
-            packed = codec.encode(text)
-            parts.append(np.frombuffer(packed, "<i4"))
-            exact.append(decoder.decode(parts[-1]) == (text or ""))
-        return pa.StructArray.from_arrays([_lists(parts), pa.array(exact, pa.bool_())], ["ids", "exact"])
+        ids, begin = codec.encode_all(texts)
+        exact = [x == (t or "").encode() for x, t in zip(decoder.utf8(ids, begin), texts.to_pylist())]
+        return pa.StructArray.from_arrays([_lists(ids, begin), pa.array(exact, pa.bool_())], ["ids", "exact"])
 
     name = fresh(docs, "_encoded")
     out = docs.withColumn(name, encode.asNondeterministic()(F.col("text")))

@@ -195,8 +195,8 @@ def merged(striped: DataFrame, spec: Phrases) -> DataFrame:
 
     def level(size: int) -> DataFrame:
         keys = WORDS[:size]
-        # The number of buckets is an aggregate: a filter on it doesn't go below the exchange, which all levels share.
-        rows = each.filter(F.col(keys[-1]) != END).groupBy("w1", "bucket", *keys[1:]).agg(F.sum("n").alias("a"), F.max("buckets").alias("parts"))
+        # The number of buckets is an aggregate that all levels look at, so that they read the same columns of the same exchange.
+        rows = each.filter(F.col(keys[-1]) != END).groupBy("w1", "bucket", *keys[1:]).agg(F.sum("n").alias("a"), F.max("buckets").alias("parts")).filter("parts > 0")
         if size == 2:
             cross = rows.filter("parts > 1").groupBy(*keys).agg(F.sum("a").alias("a"))
             rows = rows.filter("parts = 1").select(*keys, "a").unionByName(cross)

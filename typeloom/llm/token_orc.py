@@ -5,17 +5,16 @@ with an end id after each document: ids as runs of integers (ORC's run-length en
 every ``stride`` rows, and Bloom filters on doc_id, so that readers of some documents skip files,
 stripes and row groups by their statistics; stripes are read in parallel.
 
-Byte-level BPE encodes text between single spaces independently (no piece goes on over a space between
-two other characters), so that a word with its space is given to the library once, while it is remembered.
-Texts with other white space next to spaces, or with an added token of the file, go to the library whole.
+Byte-level BPE encodes units of text (``units.cut``) independently, so that each distinct one of a batch is looked up
+once, and given to the library if it was not met of late. Texts with an added token of the file go to the library whole.
 
 Defined results: a null text is an empty one and gives the end id alone; rows that share a doc_id stand next to
-each other, by text; a null doc_id stands first. Other columns are not written.
+each other, by text, and their starts follow that order, as rows are numbered when they are written; a null doc_id stands
+first. Very long texts are batches of their own. Other columns are not written; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,11 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .bpe import Recent, solid
-from .common import held, slices
-
-#: How byte-level vocabularies write the space at the begin of a token.
-SPACE = "\u0120"
+from .common import held
+from .units import Library, Recent, cut, expand, flattened, gathered
 
 
 @dataclass(frozen=True)
@@ -41,6 +37,8 @@ class TokenFiles:
     stripe_bytes: int = 64 << 20
     fpp: float = 0.01
     compression: str = "snappy"
+    #: Texts that are cut into words and encoded together.
+    batch_bytes: int = 6 << 20
 
     def options(self) -> dict[str, str]:
         return {
@@ -54,69 +52,19 @@ class TokenFiles:
 
 
 class Encoder:
-    KEEP_WORDS = 250_000
+    KEEP_WORDS = 500_000
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        # Found anywhere in a text, before it is cut into pieces.
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library = Library(path)
         self.words = Recent(self.KEEP_WORDS)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it, of one text of them all: a word's first token, and no
-        other, begins with a space."""
-        out: list[bytes] = []
-        for a, b in slices(words, 200_000):
-            ids = np.array(self.library.encode(" " + " ".join(words[a:b]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) != b - a:
-                raise ValueError("the tokenizer joins words over a space")
-            packed, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            out += [packed[i:j] for i, j in zip(ends[:-1], ends[1:])]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [t.split(" ") for t in texts]
-        near = self.words.new
-        found = [list(map(near.get, words[1:])) for words in parts]
-        known: dict[str, bytes] = {}  # words of this batch that had not been met of late
-        # A word by itself does not show an added token that has a space.
-        spaced = any(" " in c for c in self.added)
-        odd = {k for k, t in enumerate(texts) if spaced or any(c in t for c in self.added)}
-        for k, (words, ids) in enumerate(zip(parts, found)):
-            if k in odd:
-                continue
-            if ids and not solid(words[0]):
-                odd.add(k)
-            elif None in ids:
-                new = {w for w, i in zip(words[1:], ids) if i is None and w not in known}
-                if all(map(solid, new)):
-                    known.update((w, self.words.old.get(w, b"")) for w in new)
-                else:
-                    odd.add(k)
-        ask = [w for w, ids in known.items() if not ids]
-        known.update(zip(ask, self._words(ask)))
-        whole = iter(self._plain([texts[k] if k in odd else words[0] for k, words in enumerate(parts)]))
-        out = []
-        for k, (words, ids) in enumerate(zip(parts, found)):
-            first = next(whole)
-            if k not in odd and None in ids:
-                ids = [known[w] if i is None else i for w, i in zip(words[1:], ids)]
-            out.append(first if k in odd else first + b"".join(ids))
-        for w, ids in known.items():
-            self.words.note(w, ids)
-        return out
+
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` after each, and where each text's begin."""
+        units = cut(texts, whole=self.library.added)
+        flat, begin = flattened([*self.words.all(units.texts, self.library.units), np.array(end, "<u4").tobytes()])
+        codes = np.insert(units.codes, units.begin[1:], len(units.texts))
+        ids, at = expand(flat, begin, codes)
+        return ids, at[units.begin + np.arange(len(units.begin))]
 
 
 def encoder(path: str) -> Encoder:
@@ -124,24 +72,25 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, path: str, spec: TokenFiles) -> None:
-    """Writes (doc_id, ids) of ``docs`` (doc_id, text)."""
+    """Writes (doc_id, ids, at) of ``docs`` (doc_id, text); ``at`` numbers the rows of a file."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        codec, end = encoder(spec.tokenizer), np.array([spec.end_id], "<u4").tobytes()
-        for batch in batches:
-            packed = [x + end for x in codec.encode([t or "" for t in batch.column(1).to_pylist()])]
-            ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        codec, at = encoder(spec.tokenizer), 0
+        for batch in gathered(batches, 1, spec.batch_bytes):
+            ids, begin = codec.encode(batch.column(1), [spec.end_id])
+            lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.view("<i4")))
+            rows = pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.arange(at, at + len(lists)))], names=["doc_id", "ids", "at"])
+            at += len(lists)
+            yield rows
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, f"doc_id {kind}, ids array<int>").write.options(**spec.options()).orc(path)
+    ordered.mapInArrow(run, f"doc_id {kind}, ids array<int>, at long").write.options(**spec.options()).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
     """(doc_id, ids), of some documents only where they are named: filters reach the files' indexes."""
-    rows = spark.read.orc(path)
+    rows = spark.read.orc(path).select("doc_id", "ids")
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(doc_ids))
 
 
@@ -156,11 +105,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         flat, ends = ids.flatten().to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         return pa.array([crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
 
-    rows = read(spark, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), checksum("ids").alias("ids_crc32"), F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.orc(path).select("doc_id", "at", F.size("ids").cast("long").alias("n_tokens"), checksum("ids").alias("ids_crc32"), F.col("_metadata.file_path").alias("file"))
     rows = materialise(rows, "token-digests")
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = files.select("file", before.alias("offset"))
-    within = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return summed.join(offsets, "file").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

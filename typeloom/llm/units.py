@@ -8,7 +8,7 @@ characters. Where spaces stand next to other white space, the unit goes on to th
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,10 +51,16 @@ def runs(text: str, lead: str = "") -> list[str]:
     return out
 
 
-def cut(texts: pa.Array, lead: str = "") -> Units:
-    """The units of each text; a null text is an empty one and has one empty unit (``lead``)."""
+def cut(texts: pa.Array, lead: str = "", whole: list[str] | tuple[str, ...] = ()) -> Units:
+    """The units of each text; a null text is an empty one and has one empty unit (``lead``).
+
+    A text that holds one of ``whole`` is one unit.
+    """
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, ODD)
+    uncut = [pc.match_substring(texts, w) for w in whole]
+    for found in uncut:
+        odd = pc.or_(odd, found)
     lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     words = lists.flatten().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -75,7 +81,9 @@ def cut(texts: pa.Array, lead: str = "") -> Units:
         number: dict[str, int] = {u: k for k, u in enumerate(units)}
         parts, sizes, at = [], np.diff(begin), 0
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            own = [number.setdefault(u, len(number)) for u in runs(texts[k].as_py(), lead)]
+            text = texts[k].as_py()
+            own = [lead + text] if any(found[k].as_py() for found in uncut) else runs(text, lead)
+            own = [number.setdefault(u, len(number)) for u in own]
             parts += [codes[at : begin[k]], np.array(own, np.int64)]
             at, sizes[k] = begin[k] + 1, len(own)
         codes = np.concatenate([*parts, codes[at:]])
@@ -137,6 +145,42 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+class Recent:
+    """Ids by text, for the texts met last: as many as ``keep`` to twice that."""
+
+    def __init__(self, keep: int, longest: int = 64):
+        self.keep, self.longest = keep, longest
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, text: str) -> bytes | None:
+        ids = self.new.get(text)
+        if ids is None:
+            ids = self.old.get(text)
+            if ids is not None:
+                self.note(text, ids)
+        return ids
+
+    def note(self, text: str, ids: bytes) -> None:
+        if len(text) <= self.longest:
+            if len(self.new) >= self.keep:
+                self.old, self.new = self.new, {}
+            self.new[text] = ids
+
+    def all(self, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of all texts; ``make`` gives those of texts not met of late."""
+        found = list(map(self.new.get, texts))
+        if None in found:
+            lacking = [k for k, ids in enumerate(found) if ids is None]
+            for k in lacking:
+                found[k] = self.recall(texts[k])
+            lacking = [k for k in lacking if found[k] is None]
+            for k, ids in zip(lacking, make([texts[k] for k in lacking])):
+                found[k] = ids
+                self.note(texts[k], ids)
+        return found
+
+
 class Library:
     """The tokenizers library on units. ``plain``: the strings of added tokens are text like any other."""
 
@@ -163,7 +207,7 @@ class Library:
             size += len(units[end - 1])
             if size < chars and end < len(units):
                 continue
-            ids = np.array(self.library.encode("".join(units[start:end]), add_special_tokens=False).ids, "<u4")
+            ids = np.frombuffer(self.whole(["".join(units[start:end])])[0], "<u4")
             cuts = np.flatnonzero(self.spaced[ids])
             if len(cuts) != end - start:
                 raise ValueError("the tokenizer joins words over a space")
@@ -173,7 +217,7 @@ class Library:
 
     def units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian unsigned 32-bit integers."""
-        plain = [u[:1] == " " and " " not in u[1:] and solid(u[1:]) for u in units]
+        plain = [u[:1] == " " and " " not in u[1:] and solid(u[1:]) and not any(c in u for c in self.added) for u in units]
         line = iter(self._line([u for u, p in zip(units, plain) if p]))
         rest = iter(self.whole([u for u, p in zip(units, plain) if not p]))
         return [next(line) if p else next(rest) for p in plain]
