@@ -4,7 +4,7 @@ import pytest
 from domain import B, SCHEMA, make_store, oid
 from pyspark.sql import functions as F
 
-from typeloom.operators.browse import BrowseSpec, browse, facet_order, facets, matching, page, resolve
+from typeloom.operators.browse import SCORE, BrowseSpec, browse, facet_order, facets, matching, order, page, page_after, resolve
 from typeloom.operators.predicates import InvalidQuery, from_tree
 
 PEOPLE = [{"id": 1, "name": "alice"}, {"id": 2, "name": "Bob"}, {"id": 3, "name": "Bob", "deleted_at": None}, {"id": 4, "name": None}]
@@ -114,6 +114,31 @@ def test_long_lists_become_joins(st):
     df = matching(st, q)
     assert "LeftSemi" in df._jdf.queryExecution().toString()
     assert df.count() == 4
+    # A hundred thousand values, in rows and in facets.
+    q = resolve(st.schema, BrowseSpec(("Task",), (("assignedTo", "in", [oid(n) for n in range(100_000)]),), facets=("status", "assignedTo")))
+    assert matching(st, q).count() == 4
+    few = resolve(st.schema, BrowseSpec(("Task",), facets=("status", "assignedTo")))
+    assert len(facets(st, q).collect()) <= len(facets(st, few).collect())
+
+
+def test_the_page_behind_a_row(store, tmp_path):
+    q = resolve(store.schema, BrowseSpec(("Document",), text="the is", size=20))
+    rows = matching(store, q)
+    ordered = [r["id"] for r in rows.orderBy(*order(q)).collect()]
+    last = page(rows, q).collect()[-1]
+    behind = page_after(rows, q, {SCORE: last[SCORE], "created_at": last["created_at"], "id": last["id"]})
+    assert [r["id"] for r in behind.collect()] == ordered[20:40] and len(ordered) > 25
+    plain = resolve(store.schema, BrowseSpec(("Order",), size=5))
+    rows = matching(store, plain)
+    last = page(rows, plain).collect()[-1]
+    behind = page_after(rows, plain, {"created_at": last["created_at"], "id": last["id"]})
+    assert [r["id"] for r in behind.collect()] == [r["id"] for r in rows.orderBy("created_at", "id").collect()][5:10]
+    # On a table that is stored the first key's bound reaches the scan, whichever way it is sorted.
+    rows.select("id", "created_at", "totalPrice").write.parquet(str(tmp_path / "t"))
+    for sort, says in ((("totalPrice",), "GreaterThan(totalPrice,500.00)"), (("-totalPrice",), "LessThan(totalPrice,500.00)")):
+        q = resolve(store.schema, BrowseSpec(("Order",), sort=sort, size=5))
+        plan = page_after(store.spark.read.parquet(str(tmp_path / "t")), q, {"totalPrice": "500.00", "id": "~"})._jdf.queryExecution().toString()
+        assert says in plan.split("PushedFilters")[1]
 
 
 def test_reads(spark, st):

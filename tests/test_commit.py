@@ -29,6 +29,18 @@ def state(store, *names):
     return {int(r["id"][-4:], 16): (r["version"], r["title"], r["deleted_at"] is not None) for r in rows}
 
 
+def test_changes_without_set_id_or_operation(spark, st):
+    rows = [
+        change(None, 0, "update", 1, 9), change(None, 1, "update", 2, 1), (3, 0, "update", None, B + "Task", 1, None, AT, "me", "x", "open"), change(3, 1, "create", 12),
+        change(4, 0, None, 2, 1), change(5, 0, "merge", 1, 1), change(6, 0, "update", 1, 1),
+    ]
+    r = apply_changes(st, spark.createDataFrame(rows, SHAPE), "Task", "Project")
+    assert sorted((x["changeset_id"] or 0, x["seq"], x["status"]) for x in r.rejected.collect()) == [
+        (0, 0, "no_changeset"), (0, 1, "no_changeset"), (3, 0, "no_id"), (3, 1, "ok"), (4, 0, "unknown_op"), (5, 0, "unknown_op"),
+    ]
+    assert [x["id"] for x in r.versions["Task"].collect()] == [oid(1)] and r.deferred.count() == 0
+
+
 def test_operations_and_rejections(spark, st):
     c = spark.createDataFrame(
         [

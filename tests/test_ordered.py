@@ -47,6 +47,24 @@ def test_fold_equals_a_loop(spark, seed, partitions, batch):
     assert partitions == 1 or chunks > 1  # the hot object was really spread
 
 
+def test_borders_are_scanned_like_rows(spark):
+    """More chunks of one key than a single task may scan the borders of."""
+    from typeloom.operators.ordered import fold_states
+
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else f"o{rng.randrange(9)}", i, rng.randrange(3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, seq long, step int")
+    # Each step leads from state s to (2 s + step) mod 3.
+    moves = [(2 * s + F.col("step")) % 3 for s in range(3)]
+    got = fold_states(df, "id", ["seq"], ["0", "1", "2"], moves, "0", partitions=60, borders=10)
+    state, want = {}, {}
+    for who, i, step in rows:
+        was = state.get(who, 0)
+        state[who] = (2 * was + step) % 3
+        want[i] = (str(was), str(state[who]))
+    assert {r["seq"]: (r["from_state"], r["to_state"]) for r in got.collect()} == want
+
+
 def test_timers_over_chunk_borders(spark):
     rows = commands(5)
     df = spark.createDataFrame(rows, "id string, ts timestamp, seq long, command string, value double")

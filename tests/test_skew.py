@@ -64,6 +64,6 @@ def test_facets_and_rollups_meet_the_hot_value_as_one_row(hot):
 def test_a_hot_reference_is_resolved_once(hot):
     store, customer = hot
     gone = store.with_table("Customer", store.table("Customer").where(F.col("id") != customer))
-    bad = references(gone, gone.scan("Order").select("id", "type", "customer"), "Order", ("Party",))
+    bad = references(gone, gone.scan("Order").select("id", "type", "customer"), "Order")
     live = gone.scan("Customer").select(F.col("id").alias("customer"))
     assert bad.count() == gone.scan("Order").join(live, "customer", "left_anti").count() > 0

@@ -114,7 +114,7 @@ class _Session:
 
     def __init__(self, own, core):
         self.conf = _Conf(own)
-        self.sparkContext = type("Context", (), {"getConf": lambda _: _Conf(core)})()
+        self.sparkContext = type("Context", (), {"getConf": lambda _: _Conf(core), "master": "local[1]"})()
 
 
 class _Conf(dict):

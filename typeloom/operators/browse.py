@@ -13,7 +13,7 @@ from ..functions.names import lexical
 from ..model import Property, Schema
 from ..session import materialise, settled
 from ..sources.store import SEARCH_TEXT, ObjectStore
-from .predicates import Criterion, InvalidQuery, Violation, apply_criteria, conjunction, criterion
+from .predicates import Criterion, InvalidQuery, Violation, apply_criteria, conjunction, criterion, marked
 from .rollup import derive
 
 MAX_PAGE_SIZE = 500
@@ -145,21 +145,26 @@ def page(rows: DataFrame, q: Browse) -> DataFrame:
 
 
 def page_after(rows: DataFrame, q: Browse, last: dict[str, object]) -> DataFrame:
-    """The page behind a row that had the values ``last`` (by column, the id among them).
+    """The page behind a row that had the values ``last`` (by column of the order, the id among them).
 
-    However deep it lies, a task keeps ``size`` rows only, and the condition reaches the scan.
+    However deep it lies, a task keeps ``size`` rows only. The first key's own bound is stated by itself, so that
+    it reaches the scan where that key is stored.
     """
-    keys = [(p.name, asc, p.scalar_type) for p, asc in q.sorts] or [("created_at", True, "timestamp")]
-    behind, level = F.lit(False), F.lit(True)
+    keys = [(p.name, asc, p.scalar_type) for p, asc in q.sorts]
+    if not keys:
+        keys = ([(SCORE, False, "long")] if q.text is not None else []) + [("created_at", True, "timestamp")]
+    behind, level, bound = F.lit(False), F.lit(True), None
     for name, ascending, kind in [*keys, ("id", True, "string")]:
         col, value = F.col(name), F.lit(last[name]).cast(kind)
         if last[name] is None:  # last of an ascending order, first of a descending one
             further = F.lit(False) if ascending else col.isNotNull()
         else:
             further = (col > value) | col.isNull() if ascending else col < value
+        if bound is None:
+            bound = further | col.eqNullSafe(value)
         behind = behind | (level & further)
         level = level & col.eqNullSafe(value)
-    return rows.where(F.coalesce(behind, F.lit(False))).orderBy(*order(q)).limit(q.size)
+    return rows.where(bound).where(behind).orderBy(*order(q)).limit(q.size)
 
 
 def fresh_values(store: ObjectStore, items: DataFrame, *types: str) -> DataFrame:
@@ -211,7 +216,7 @@ def facets(store: ObjectStore, q: Browse) -> DataFrame:
         return store.spark.createDataFrame([], "facet string, value string, n long")
     names = {p.name for p in q.facets}
     rows = matching(store, q, [c for c in q.criteria if c.property.name not in names])
-    own = [c for c in q.criteria if c.property.name in names]
+    rows, own = marked(rows, [c for c in q.criteria if c.property.name in names])
     cells = []
     for p in q.facets:
         value = lexical(F.col(p.name), p.scalar_type)

@@ -47,7 +47,8 @@ def judge(current: DataFrame, changes: DataFrame, known: list[str]) -> tuple[Dat
 
     ``current`` holds (id, type, version, live); ``live`` is false for deleted and foreign objects.
     ``known`` are the types whose objects the batch may create: others are ``unknown_type``, and a
-    change that names another type than its object has is ``wrong_type``. One bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
+    change that names another type than its object has is ``wrong_type``. Changes without a set, an id or a known operation
+    are ``no_changeset``, ``no_id`` and ``unknown_op``. One bad member rejects its whole set. Sets take effect in the order of ``changeset_id``: a set that
     touches an object of an earlier set still undecided is deferred, unless no outcome of the
     earlier sets could save it.
 
@@ -62,8 +63,14 @@ def judge(current: DataFrame, changes: DataFrame, known: list[str]) -> tuple[Dat
     creating, exists, twice = F.col("op") == "create", F.col("now").isNotNull(), F.col("times").isNotNull()
     foreign = creating & ~F.coalesce(F.col("type").isin(known), F.lit(False))
     other = exists & ~creating & ~F.col("type").eqNullSafe(F.col("is_a"))
+    # A set without an id could never be told apart from another: its changes are turned down one by one.
+    no_set, no_id = F.col("changeset_id").isNull(), F.col("id").isNull()
+    no_op = ~F.coalesce(F.col("op").isin(*EVENT_OF), F.lit(False))
     status = (
-        F.when(twice, F.lit("duplicate"))
+        F.when(no_set, F.lit("no_changeset"))
+        .when(no_id, F.lit("no_id"))
+        .when(no_op, F.lit("unknown_op"))
+        .when(twice, F.lit("duplicate"))
         .when(foreign, F.lit("unknown_type"))
         .when(creating & exists, F.lit("exists"))
         .when(creating, F.lit("ok"))
@@ -73,14 +80,15 @@ def judge(current: DataFrame, changes: DataFrame, known: list[str]) -> tuple[Dat
         .otherwise(F.lit("ok"))
     )
     overtaken = exists & (creating | F.col("gone") | (F.col("expected_version") < F.col("now")))
-    hopeless = twice | foreign | F.coalesce(other | overtaken, F.lit(False))
+    hopeless = no_id | no_op | twice | foreign | F.coalesce(other | overtaken, F.lit(False))
     rows = materialise(c.select("changeset_id", "seq", "id", status.alias("status"), hopeless.alias("hopeless")), "judged")
 
-    lost = rows.where("hopeless").select("changeset_id").distinct()
-    alive = rows.join(lost, "changeset_id", "left_anti")
+    named = rows.where(F.col("changeset_id").isNotNull())
+    lost = named.where("hopeless").select("changeset_id").distinct()
+    alive = named.join(lost, "changeset_id", "left_anti")
     contested = alive.groupBy("id").agg(F.min("changeset_id").alias("first"), F.max("changeset_id").alias("last")).where("first < last")
     waits = alive.join(contested, "id").where(F.col("changeset_id") > F.col("first")).select("changeset_id").distinct()
-    bad = rows.where("status <> 'ok'").select("changeset_id").distinct()
+    bad = named.where("status <> 'ok'").select("changeset_id").distinct()
     marks = [(lost, "lost"), (waits, "waits"), (bad, "bad")]
     marked = reduce(lambda a, b: a.unionByName(b), [sets.withColumn("mark", F.lit(m)) for sets, m in marks])
     held = F.max(F.col("mark") == "waits") & ~F.max(F.col("mark") == "lost")
@@ -145,7 +153,7 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep: boo
         [store.table(n).select("id", "type", "version", live.alias("live")) for n in names],
     )
     judged, refused = judge(current, changes, [store.schema.type(n).iri for n in names])
-    accepted = changes.join(refused.select("changeset_id"), "changeset_id", "left_anti")
+    accepted = changes.where(F.col("changeset_id").isNotNull()).join(refused.select("changeset_id"), "changeset_id", "left_anti")
     tables, written, logs = {}, {}, []
     for n in names:
         props = [p.name for p in store.schema.properties(n)]
@@ -164,7 +172,8 @@ def apply_changes(store: ObjectStore, changes: DataFrame, *types: str, keep: boo
             tables[n] = _modified(store.table(n), mine, props, "left").unionByName(created).drop(*_TRACE)
         written[n] = changed.drop(*_TRACE)
         logs.append(_events(store, n, changed))
-    rejected = judged.join(refused.where("verdict = 'rejected'"), "changeset_id").select("changeset_id", "seq", "id", "status")
+    unnamed = judged.where(F.col("changeset_id").isNull())
+    rejected = judged.join(refused.where("verdict = 'rejected'"), "changeset_id").select("changeset_id", "seq", "id", "status").unionByName(unnamed)
     deferred = changes.join(refused.where("verdict = 'deferred'"), "changeset_id", "left_semi").select(*changes.columns)
     return Commit(tables, written, rejected, deferred, reduce(lambda a, b: a.unionByName(b), logs))
 

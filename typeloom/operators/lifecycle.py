@@ -11,6 +11,7 @@ from ..functions import templates
 from ..functions.ids import derived_id, name_uuid
 from ..functions.timing import plus, timer_key
 from ..model import ENVELOPE, Action, Machine, Transition
+from ..session import materialise
 from ..sources.store import ObjectStore
 from .ordered import fold_states, next_in_order
 
@@ -104,6 +105,29 @@ def fire(objects: DataFrame, commands: DataFrame, machine: Machine) -> DataFrame
     return judged.join(winners, "id", "left").withColumn("status", F.when(late, F.lit("stale")).otherwise(F.col("status"))).drop("_first")
 
 
+def fire_sequence(objects: DataFrame, commands: DataFrame, machine: Machine) -> DataFrame:
+    """Decide user commands that may build on each other, with the columns of :func:`fire`.
+
+    Commands on one object are decided in the order (at, command_id), each against the state and version that the
+    fired ones before it have left. A round decides all commands up to the first of each object that fires;
+    the later ones go on with the object as moved. So there are as many rounds as the longest run of fired commands on one object.
+    """
+    now, pending, parts = objects, commands, []
+    turn = F.struct("at", "command_id")
+    while True:
+        decided = materialise(fire(now, pending, machine), "decided")
+        won = decided.where(F.col("status") == "fired")
+        first = won.select("id", turn.alias("_first"))
+        late = decided.join(first, "id").where(turn > F.col("_first")).select("command_id")
+        parts.append(decided.join(late, "command_id", "left_anti"))
+        pending = materialise(pending.join(late, "command_id", "left_semi"), "pending")
+        if pending.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), parts)
+        # Objects without commands left need not be moved.
+        waiting = now.join(pending.select("id").distinct(), "id", "left_semi")
+        now = materialise(moved(waiting, won).select(*objects.columns), "moved")
+
+
 def watch_candidates(store: ObjectStore, changes: DataFrame, machine: Machine) -> DataFrame:
     """Distinct ids that an ON_CHANGE transition of the machine may move.
 

@@ -21,6 +21,8 @@ from ..session import materialise
 
 CHUNK = "_chunk"
 EDGE = "_edge"
+#: So many border rows are scanned in one task; more are dealt out and scanned like the rows themselves.
+BORDERS = 50_000
 
 
 def _compose(moves: np.ndarray, joined: np.ndarray, carry: np.ndarray) -> np.ndarray:
@@ -93,38 +95,58 @@ def _scan(key: str, states: int):
     return run
 
 
+def _chunked(prepared: DataFrame, by: list[str], n: int, partitions: int | None = None) -> DataFrame:
+    """Rows in order with ``_p``: where each state leads to before the row, inside its chunk."""
+    ranged = prepared.repartitionByRange(partitions, *by) if partitions else prepared.repartitionByRange(*by)
+    schema = T.StructType(
+        prepared.schema.fields
+        + [T.StructField(f"_p{s}", T.ByteType()) for s in range(n)]
+        + [T.StructField(CHUNK, T.IntegerType()), T.StructField(EDGE, T.BooleanType())]
+    )
+    return materialise(ranged.sortWithinPartitions(*by).mapInArrow(_scan(by[0], n), schema), "chunks")
+
+
+def _through(n: int) -> tuple[Column, Column]:
+    """What a row does to each state, and what came before it in its chunk does."""
+    return F.array(*[F.col(f"_m{s}").cast("int") for s in range(n)]), F.array(*[F.col(f"_p{s}").cast("int") for s in range(n)])
+
+
+def _entries(chunked: DataFrame, key: str, n: int, initial: int, most: int) -> DataFrame:
+    """(key, chunk, _start): the state in which a chunk's rows of a key begin, for keys at its borders.
+
+    The border rows (two at most for each chunk) are a sequence of the same kind, in the order of the chunks: they go through
+    the same scan, and while there are many, their own chunks' borders do so again.
+    """
+    move, before = _through(n)
+    through = [F.get(move, F.col(f"_p{s}").cast("int")).cast("tinyint").alias(f"_m{s}") for s in range(n)]
+    edges = chunked.where(EDGE).select(key, F.col(CHUNK).alias("_order"), *through)
+    few = chunked.where(EDGE).count() <= most
+    scanned = _chunked(edges, [key, "_order"], n, 1 if few else None)
+    start = F.lit(initial)
+    if not few:
+        scanned = scanned.join(_entries(scanned, key, n, initial, most), [key, CHUNK], "left")
+        start = F.coalesce(F.col("_start"), start)
+    return scanned.select(key, F.col("_order").alias(CHUNK), F.get(before, start).alias("_start"))
+
+
 def fold_states(
-    rows: DataFrame, key: str, order: list[str], states: list[str], moves: list[Column], initial: str, partitions: int | None = None
+    rows: DataFrame, key: str, order: list[str], states: list[str], moves: list[Column], initial: str, partitions: int | None = None, borders: int = BORDERS
 ) -> DataFrame:
     """Rows with ``from_state`` and ``to_state``: a state machine run over each key's rows in order.
 
     ``moves[s]`` is the index of the state a row leads to from state s. The intermediate result is
     written once to the shared folder, so the chunk numbers in it can never change.
     """
-    n = len(states)
+    n, first = len(states), states.index(initial)
     prepared = rows.select("*", *[m.cast("tinyint").alias(f"_m{s}") for s, m in enumerate(moves)])
-    by = [key, *order]
-    ranged = prepared.repartitionByRange(partitions, *by) if partitions else prepared.repartitionByRange(*by)
-    schema = T.StructType(
-        prepared.schema.fields
-        + [T.StructField(f"_p{s}", T.ByteType()) for s in range(n)]
-        + [T.StructField(CHUNK, T.IntegerType()), T.StructField(EDGE, T.BooleanType())]
-    )
-    chunked = materialise(ranged.sortWithinPartitions(*by).mapInArrow(_scan(key, n), schema), "chunks")
-
-    move = F.array(*[F.col(f"_m{s}").cast("int") for s in range(n)])
-    before = F.array(*[F.col(f"_p{s}").cast("int") for s in range(n)])
-    # Last row of the first and of the last key of every chunk: at most two per chunk.
-    through = F.transform(before, lambda s: F.get(move, s))
-    edges = chunked.where(EDGE).select(key, CHUNK, through.alias("_f"))
-    earlier = F.collect_list("_f").over(Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
-    entry = F.aggregate(earlier, F.lit(states.index(initial)), lambda s, f: F.get(f, s))
-    starts = edges.select(key, CHUNK, entry.alias("_start"))
+    chunked = _chunked(prepared, [key, *order], n, partitions)
+    move, before = _through(n)
+    # At most two rows for each chunk.
+    starts = _entries(chunked, key, n, first, borders)
     known = chunked.join(F.broadcast(starts), [key, CHUNK], "left")
-    start = F.coalesce(F.col("_start"), F.lit(states.index(initial)))
+    start = F.coalesce(F.col("_start"), F.lit(first))
     names = F.array(*[F.lit(s) for s in states])
-    at = F.get(before, start)
-    out = known.withColumn("_at", at).withColumn("_to", F.get(move, F.col("_at")))
+    out = known.withColumn("_at", F.get(before, start)).withColumn("_to", F.get(move, F.col("_at")))
     return out.select(*rows.columns, F.get(names, F.col("_at")).alias("from_state"), F.get(names, F.col("_to")).alias("to_state"), CHUNK)
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal, InvalidOperation, localcontext
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..model import ORDERED, Property, Schema
 
@@ -20,6 +24,9 @@ RANGE_OPERATORS = ("lt", "lte", "gt", "gte")
 TEXT_OPERATORS = ("contains", "startsWith")
 PRESENCE_OPERATORS = ("isNull", "notNull")
 
+#: As many equalities as a parquet scan takes for a list; longer ones become relations.
+SHORT_LIST = 10
+
 # Operator words of a rollup's filter tree.
 TREE_OPERATORS = {
     "is": "eq",
@@ -54,8 +61,28 @@ class Criterion:
     property: Property
     operator: str
     value: object = None
+    #: Column that holds the answer already, for a list that was joined.
+    mark: str | None = None
+
+    @property
+    def is_long(self) -> bool:
+        return self.operator == "in" and self.mark is None and len(self.value) > SHORT_LIST
+
+    def relation(self, spark: SparkSession) -> DataFrame:
+        """The listed values a property can have, as a column ``_value`` of its type (others equal no value)."""
+        kind = self.property.scalar_type
+        values = self.value
+        if isinstance(kind, T.DecimalType):
+            step, top = Decimal(1).scaleb(-kind.scale), Decimal(10) ** (kind.precision - kind.scale)
+            with localcontext() as exact:
+                exact.prec = 100
+                values = [q for v in values if abs(v) < top and (q := v.quantize(step)) == v]
+        arrow = to_arrow_type(kind)
+        return spark.createDataFrame(pa.table({"_value": pa.array(list(dict.fromkeys(values)), arrow)}))
 
     def column(self) -> Column:
+        if self.mark is not None:
+            return F.col(self.mark)
         col = F.col(self.property.name)
         dtype = self.property.scalar_type
 
@@ -69,7 +96,7 @@ class Criterion:
             case "ne":
                 return ~col.eqNullSafe(lit(self.value))
             case "in":
-                # Spark turns a long list into a hash set; each literal keeps its own scale.
+                # A short list, which reaches the scan; each literal keeps its own scale.
                 return col.isin(*[lit(v) for v in self.value])
             case "lt":
                 return col < lit(self.value)
@@ -96,7 +123,26 @@ def conjunction(criteria: Iterable[Criterion], excluding: str | None = None) ->
 
 
 def apply_criteria(df: DataFrame, criteria: Iterable[Criterion]) -> DataFrame:
-    return df.where(conjunction(criteria))
+    """Rows that meet all criteria. Long lists are relations: a semi-join, whose size Spark knows."""
+    criteria = list(criteria)
+    out = df.where(conjunction([c for c in criteria if not c.is_long]))
+    for c in criteria:
+        if c.is_long:
+            out = out.join(c.relation(df.sparkSession), F.col(c.property.name) == F.col("_value"), "left_semi")
+    return out
+
+
+def marked(df: DataFrame, criteria: list[Criterion]) -> tuple[DataFrame, list[Criterion]]:
+    """Rows with a column for each long list that says whether their value is in it, and criteria that use it."""
+    out = []
+    for c in criteria:
+        if c.is_long:
+            name = next(n for n in (f"_in{k}" for k in count()) if n not in df.columns)
+            listed = c.relation(df.sparkSession).withColumn(name, F.lit(True))
+            df = df.join(listed, F.col(c.property.name) == F.col("_value"), "left").drop("_value")
+            c = replace(c, mark=name)
+        out.append(c)
+    return df, out
 
 
 def applicable(operator: str, p: Property) -> bool:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..model import Rollup, Schema
 from ..session import materialise
 from ..sources.store import ObjectStore
-from .predicates import Criterion, conjunction, from_tree
+from .predicates import Criterion, apply_criteria, conjunction, from_tree, marked
 
 
 def rule_criteria(schema: Schema, rule: Rollup) -> list[Criterion]:
@@ -62,12 +62,13 @@ def aggregate_rules(store: ObjectStore, rules: list[Rollup], only: DataFrame | N
     source, via = rules[0].source, rules[0].via
     compiled = [(r, rule_criteria(store.schema, r)) for r in rules]
     shared = [c for c in compiled[0][1] if all(c in cs for _, cs in compiled)]
-    rows = pointed_at(store, source, via).where(conjunction(shared))
+    rows = apply_criteria(pointed_at(store, source, via), shared)
     if only is not None:
         rows = rows.join(only.withColumnRenamed("id", "target"), "target", "left_semi")
     aggs = []
     for rule, cs in compiled:
-        keep = F.coalesce(conjunction([c for c in cs if c not in shared]), F.lit(False))
+        rows, own = marked(rows, [c for c in cs if c not in shared])
+        keep = F.coalesce(conjunction(own), F.lit(False))
         of = store.schema.lookup(source, rule.of) if rule.of else None
         aggs.append(_aggregate(rule, keep, of.scalar_type if of else None).alias(rule.property))
     return rows.groupBy(F.col("target").alias("id")).agg(*aggs)

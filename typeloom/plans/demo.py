@@ -298,7 +298,7 @@ def _document(t: Callable[[str], DataFrame]) -> DataFrame:
     )
 
 
-_LOADERS = {
+TYPE_LOADERS = {
     "Region": _region,
     "Nation": _nation,
     "Customer": _customer,
@@ -322,7 +322,7 @@ def open_store(spark: SparkSession, sf_dir: str, tenant: str = TENANT) -> DemoSt
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    loaders = {name: (lambda f=f: f(table)) for name, f in _LOADERS.items()}
+    loaders = {name: (lambda f=f: f(table)) for name, f in TYPE_LOADERS.items()}
     store = DemoStore(spark, SCHEMA, loaders, tenant)
     store.sf_dir = sf_dir
     return store

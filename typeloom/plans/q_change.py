@@ -83,6 +83,20 @@ def commit_conflicts(s: DemoStore) -> DataFrame:
     return rejected.where(F.col("status") != "ok").select("id", "status")
 
 
+@query(
+    "commit_null_set",
+    "SELECT CASE WHEN missing THEN '00000000-0000-4000-8006-' || lpad(lower(to_hex(k + 10000000)), 12, '0') ELSE id END AS id, "
+    "CASE WHEN k % 7 = 0 THEN 'no_changeset' WHEN changeset_id IN (SELECT changeset_id FROM b WHERE own <> 'ok' AND k % 7 <> 0) THEN 'rejected: ' || own ELSE 'written' END AS outcome FROM b",
+    _BATCH,
+)
+def commit_null_set(s: DemoStore) -> DataFrame:
+    """Each seventh change has no change set: it is turned down, whatever it says, and takes nothing with it."""
+    lost = F.when((F.col("changeset_id") * 10 + F.col("seq")) % 7 != 0, F.col("changeset_id"))
+    out = apply_changes(s, order_batch(s).withColumn("changeset_id", lost), "Order")
+    said = F.when(F.col("status") == "no_changeset", F.col("status")).otherwise(F.concat(F.lit("rejected: "), "status"))
+    return out.rejected.select("id", said.alias("outcome")).unionByName(out.versions["Order"].select("id", F.lit("written").alias("outcome")))
+
+
 @query(
     "commit_atomic",
     "SELECT changeset_id, count(*) AS members, max(CASE WHEN own <> 'ok' THEN 1 ELSE 0 END) = 0 AS accepted FROM b GROUP BY changeset_id",

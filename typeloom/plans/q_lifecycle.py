@@ -85,6 +85,38 @@ def fire_moved(s: DemoStore) -> DataFrame:
     return L.moved(orders, decided.where(F.col("status") == "fired")).select("id", "state", "version")
 
 
+def chained_commands(s: DemoStore) -> DataFrame:
+    """Three user commands per order, each expecting the version that the one before it would leave."""
+    k, n = F.col("k"), F.col("n")
+    rows = s.scan("Order", include_deleted=True).select("id", _key().alias("k"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    names = F.array(*[F.lit(x) for x in ("place", "ship", "refuse", "settle")])
+    return rows.select(
+        (k * 10 + n).alias("command_id"),
+        "id",
+        F.element_at(names, ((k + n - 1) % 4 + 1).cast("int")).alias("transition"),
+        F.when(k % 13 == 0, F.lit(7)).otherwise(n).cast("long").alias("expected_version"),
+        F.timestamp_seconds(F.lit(1719835200) + n).alias("at"),
+    )
+
+
+_CHAIN = (
+    "ch AS (SELECT v.id, v.o_orderkey AS k, CAST(0 AS BIGINT) AS n, o.id IS NOT NULL AS live, o.state AS was, o.state, CAST(1 AS BIGINT) AS version, o.priority, o.totalPrice, CAST(NULL AS VARCHAR) AS transition, "
+    "CAST(NULL AS VARCHAR) AS status FROM v_order v LEFT JOIN l_order o ON o.id = v.id WHERE v.tenant = 'default' UNION ALL "
+    "SELECT id, k, n, live, was, CASE WHEN status <> 'fired' THEN was WHEN transition = 'place' THEN 'Picking' WHEN transition = 'ship' THEN 'Shipped' WHEN transition = 'refuse' THEN 'Returned' ELSE 'Settled' END, "
+    "version + CAST(status = 'fired' AS BIGINT), priority, totalPrice, transition, status FROM ("
+    "SELECT *, CASE WHEN NOT live THEN 'not_found' WHEN version <> (CASE WHEN k % 13 = 0 THEN 7 ELSE n END) THEN 'stale' "
+    "WHEN (was, transition) NOT IN (('Quoted', 'place'), ('Picking', 'ship'), ('Shipped', 'refuse'), ('Shipped', 'settle')) THEN 'unavailable' "
+    "WHEN (transition = 'place' AND priority IS NULL) OR (transition = 'settle' AND totalPrice >= 400000) THEN 'guard' ELSE 'fired' END AS status FROM ("
+    "SELECT id, k, n + 1 AS n, live, state AS was, version, priority, totalPrice, ['place', 'ship', 'refuse', 'settle'][(k + n) % 4 + 1] AS transition FROM ch WHERE n < 3) x) y)"
+)
+
+
+@query("fire_sequence", "SELECT k * 10 + n AS command_id, id, transition, status, CASE WHEN status = 'fired' THEN version END AS version FROM ch WHERE n > 0", _CHAIN)
+def fire_sequence(s: DemoStore) -> DataFrame:
+    out = L.fire_sequence(s.scan("Order"), chained_commands(s), ORDER_MACHINE)
+    return out.select("command_id", "id", "transition", "status", F.when(F.col("status") == "fired", F.col("version")).alias("version"))
+
+
 def account_commands(s: DemoStore) -> DataFrame:
     e = events(s.spark, s.sf_dir)
     return e.select(

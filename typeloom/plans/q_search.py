@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators.browse import SCORE, BrowseSpec, facets, matching, page, resolve
+from ..operators.browse import SCORE, BrowseSpec, facets, matching, page, page_after, resolve
 from ..operators.search import build_index, lookup, ranked, upsert
 from .demo import DemoStore
 from .registry import query
@@ -40,6 +40,18 @@ def search_ranked(s: DemoStore) -> DataFrame:
     return top.withColumn("pos", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
 
 
+@query(
+    "page_after_ranked",
+    f"SELECT id, {_SCORE} AS score FROM tok WHERE {_MATCH} AND ({_SCORE} < 12 OR ({_SCORE} = 12 AND created_at > TIMESTAMP '2024-01-01 06:00:00')) ORDER BY score DESC, created_at, id LIMIT 100",
+    _TOK,
+)
+def page_after_ranked(s: DemoStore) -> DataFrame:
+    """The page behind a known row of a ranked search."""
+    q = resolve(s.schema, BrowseSpec(("Document",), text=TEXT, size=100))
+    last = {SCORE: 12, "created_at": "2024-01-01 06:00:00", "id": "~"}
+    return page_after(matching(s, q), q, last).select("id", F.col(SCORE).cast("long").alias("score"))
+
+
 @query(
     "search_facets",
     f"SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM tok WHERE {_MATCH} AND lang IS NOT NULL GROUP BY lang "

@@ -12,7 +12,7 @@ from ..sources.store import SEARCH_TEXT
 from ..streaming import streams as S
 from ..streaming.histories import HistoryKeeper
 from ..streaming.lifecycle import lifecycle_stream
-from .demo import ACCOUNT_MACHINE, BASE, TYPE_NO, DemoStore, ref
+from .demo import ACCOUNT_MACHINE, BASE, TYPE_LOADERS, TYPE_NO, DemoStore, ref
 from .q_lifecycle import _FOLD
 from .q_read import stamp
 from .registry import query
@@ -51,9 +51,10 @@ def stream_late(s: DemoStore) -> DataFrame:
     events = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "value", "ts")
     late = F.dayofmonth("ts") > 15
     feed_path, path = fresh_path(s.spark, "late-feed"), fresh_path(s.spark, "late")
+    files = s.spark.sparkContext.defaultParallelism  # of each part, so that a micro-batch is one part
     for part in (events.where(late), events, events.where(~late)):
-        part.coalesce(1).write.mode("append").parquet(feed_path)
-    S.run_batches(S.read_feed(s.spark, feed_path, events.schema, 1), "late", S.once_each(path, "event_id"))
+        part.repartition(files).write.mode("append").parquet(feed_path)
+    S.run_batches(S.read_feed(s.spark, feed_path, events.schema, files), "late", S.once_each(path, "event_id"))
     return s.spark.read.parquet(f"{path}/entries").select("event_id", "event_type", "value")
 
 
@@ -108,40 +109,35 @@ def stream_recompute(s: DemoStore) -> DataFrame:
     return s.spark.read.parquet(path).select("id", "old", "new")
 
 
+def _documents(s: DemoStore) -> DataFrame:
+    """The tenant's documents as a feed of whole objects."""
+    return TYPE_LOADERS["Document"](lambda name: feed(s, name)).where(F.col("tenant") == s.tenant)
+
+
 @query(
     "stream_search_index",
     "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token FROM l_document) GROUP BY token, id",
 )
 def stream_search_index(s: DemoStore) -> DataFrame:
     path = fresh_path(s.spark, "index")
-    key = F.col("doc_id")
-    docs = feed(s, "documents").select(
-        F.lit(s.tenant).alias("tenant"),
-        F.lit(BASE + "Document").alias("type"),
-        ref("Document", "doc_id").alias("id"),
-        F.col("text").alias(SEARCH_TEXT),
-        F.lit(1).cast("long").alias("version"),
-        F.when(key % 17 == 5, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
-        key.alias("_key"),
-    )
-    S.run_batches(docs.where(F.col("_key") % 10 != 0).drop("_key"), "index", S.maintain_index(path))
+    S.run_batches(_documents(s).withColumn(SEARCH_TEXT, F.col("text")), "index", S.maintain_index(path))
     return S.read_maintained(s.spark, path).select("token", "id", "tf")
 
 
 @query(
     "stream_index_rewrites",
-    "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(source || ' ' || lang), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token "
+    "SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', source, lang, text)), '[^\\p{L}\\p{N}]+'), lambda z: z <> '')) AS token "
     "FROM v_document WHERE tenant = 'default' AND lang <> 'fr') GROUP BY token, id",
 )
 def stream_index_rewrites(s: DemoStore) -> DataFrame:
-    """Each document comes twice in a micro-batch: as it is, then rewritten, or deleted if it is French."""
+    """Each document comes twice in a micro-batch: as it is, then with source and language before its text, or deleted if it is French."""
     path = fresh_path(s.spark, "index")
-    docs = feed(s, "documents").where(F.col("doc_id") % 10 != 0).select("doc_id", "text", "lang", "source", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("version"))
+    docs = _documents(s).withColumn("version", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     second = F.col("version") == 2
     rows = docs.select(
-        ref("Document", "doc_id").alias("id"),
+        "id",
         "version",
-        F.when(second, F.concat_ws(" ", "source", "lang")).otherwise(F.col("text")).alias(SEARCH_TEXT),
+        F.when(second, F.concat_ws(" ", "source", "lang", "text")).otherwise(F.col("text")).alias(SEARCH_TEXT),
         F.when(second & (F.col("lang") == "fr"), F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
     )
     S.run_batches(rows, "index", S.maintain_index(path))
