@@ -55,8 +55,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Transducer:
     KEEP_STATES = 150_000
-    KEEP_WORDS = 400_000
-    KEEP_PIECES = 100_000
+    KEEP_WORDS = 200_000
+    KEEP_PIECES = 50_000
     KEEP_FITS = 250_000
     #: In a longer piece, what all hypotheses agree on is emitted every so many bytes.
     FLUSH = 4096
