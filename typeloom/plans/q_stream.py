@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import keyed_id
+from ..model import Schema
 from ..operators.rollup import affected_targets, recompute
 from ..session import fresh_path
 from ..sources.store import SEARCH_TEXT
 from ..streaming import streams as S
 from ..streaming.histories import HistoryKeeper
 from ..streaming.lifecycle import lifecycle_stream
-from .demo import ACCOUNT_MACHINE, BASE, TYPE_LOADERS, TYPE_NO, DemoStore, ref
+from ..streaming.maintain import Maintainer
+from .demo import ACCOUNT_MACHINE, BASE, TYPE_LOADERS, TYPE_NO, TYPES, DemoStore, ref
 from .q_lifecycle import _FOLD
 from .q_read import stamp
 from .registry import query
@@ -109,6 +113,76 @@ def stream_recompute(s: DemoStore) -> DataFrame:
     return s.spark.read.parquet(path).select("id", "old", "new")
 
 
+# Orders after the three micro-batches: every fifth moves to the next customer, the one after it is gone, and of
+# those that moved every second one moves back and costs more.
+_MAINTAINED = (
+    "ends AS (SELECT id, status, totalPrice + CASE WHEN o_orderkey % 10 = 1 THEN 5 ELSE 0 END AS price, customer AS was, "
+    "CASE WHEN o_orderkey % 10 = 6 THEN '00000000-0000-4000-8003-' || lpad(lower(to_hex(CAST(('0x' || right(customer, 12))::BIGINT + 1 AS BIGINT))), 12, '0') ELSE customer END AS customer, "
+    "'00000000-0000-4000-8003-' || lpad(lower(to_hex(CAST(('0x' || right(customer, 12))::BIGINT + 1 AS BIGINT))), 12, '0') AS over, "
+    "o_orderkey % 5 AS part FROM l_order), "
+    "hit AS (SELECT was AS id FROM ends WHERE part IN (1, 2) UNION SELECT over FROM ends WHERE part = 1), "
+    "sums AS (SELECT customer AS id, count(*) FILTER (WHERE status IS DISTINCT FROM 'F') AS open, sum(price) AS total, min(price) AS least, max(price) AS most, count(*) AS n, "
+    "CAST(sum(price) * 100 AS HUGEINT) AS cents FROM ends WHERE part <> 2 GROUP BY customer)"
+)
+
+
+@query(
+    "stream_maintain",
+    "SELECT c.id, CASE WHEN h.id IS NULL THEN c.openOrderCount ELSE coalesce(s.open, 0) END AS open_orders, "
+    "CASE WHEN h.id IS NOT NULL THEN CAST(s.total AS DOUBLE) END AS total_spend, CASE WHEN h.id IS NOT NULL THEN CAST(s.least AS DOUBLE) END AS min_order, "
+    "CASE WHEN h.id IS NOT NULL THEN CAST(s.most AS DOUBLE) END AS max_order, CASE WHEN h.id IS NOT NULL THEN CAST((2 * s.cents + s.n) // (2 * s.n) AS DOUBLE) / 100 END AS avg_order "
+    "FROM l_customer c LEFT JOIN hit h ON h.id = c.id LEFT JOIN sums s ON s.id = c.id",
+    _MAINTAINED,
+)
+def stream_maintain(s: DemoStore) -> DataFrame:
+    """All rollups of customers kept in step with three micro-batches of change sets to orders."""
+    schema = Schema(TYPES, tuple(replace(r, materialised=True) for r in s.schema.rollups if r.on_type == "Customer"))
+    base = DemoStore(s.spark, schema, {n: (lambda n=n: s.table(n)) for n in ("Customer", "Order")}, s.tenant)
+    orders = s.spark.read.parquet(f"{s.sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    live = TYPE_LOADERS["Order"](lambda _: orders).where((F.col("tenant") == s.tenant) & F.col("deleted_at").isNull()).select("id")
+    home, next_door = ref("Customer", "o_custkey"), ref("Customer", F.col("o_custkey") + 1)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+
+    def changes(batch: int, op: str, version: int, customer: Column, total: Column) -> DataFrame:
+        return orders.select(
+            (key * 3 + batch).alias("changeset_id"),
+            F.lit(0).alias("seq"),
+            F.lit(op).alias("op"),
+            ref("Order", "o_orderkey").alias("id"),
+            F.lit(BASE + "Order").alias("type"),
+            F.lit(version).cast("long").alias("expected_version"),
+            F.lit(None).cast("string").alias("state"),
+            F.lit("2024-07-01 00:00:00").cast("timestamp").alias("at"),
+            F.lit("feed").alias("by"),
+            F.col("o_orderstatus").alias("status"),
+            total.cast("decimal(18,2)").alias("totalPrice"),
+            customer.alias("customer"),
+            key.alias("_key"),
+        ).join(live, "id", "left_semi")
+
+    parts = (
+        changes(0, "update", 1, next_door, price).where("_key % 5 = 1"),
+        changes(1, "delete", 1, home, price).where("_key % 5 = 2"),
+        changes(2, "update", 2, home, price + 5).where("_key % 10 = 1"),
+    )
+    feed_path, root = fresh_path(s.spark, "maintain-feed"), fresh_path(s.spark, "maintain")
+    files = s.spark.sparkContext.defaultParallelism  # of each part, so that a micro-batch is one part
+    for part in parts:
+        # Dealt out in turn rather than by a hash, so that each part has this many files.
+        part.drop("_key").repartition(files).write.mode("append").parquet(feed_path)
+    keeper = Maintainer(base, ("Order", "Customer"), root)
+    S.run_batches(S.read_feed(s.spark, feed_path, s.spark.read.parquet(feed_path).schema, files), "maintain", keeper.process)
+    return keeper.store().scan("Customer").select(
+        "id",
+        F.col("openOrderCount").alias("open_orders"),
+        F.col("totalSpend").cast("double").alias("total_spend"),
+        F.col("minOrder").cast("double").alias("min_order"),
+        F.col("maxOrder").cast("double").alias("max_order"),
+        F.col("avgOrder").cast("double").alias("avg_order"),
+    )
+
+
 def _documents(s: DemoStore) -> DataFrame:
     """The tenant's documents as a feed of whole objects."""
     return TYPE_LOADERS["Document"](lambda name: feed(s, name)).where(F.col("tenant") == s.tenant)

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from ..model import Machine, Schema
 from ..operators import lifecycle as L
 from ..operators.commit import apply_changes, update_events
-from ..operators.rollup import affected_targets, recompute
 from ..session import materialise
 from ..sources.store import ObjectStore
 from ..sources.versions import overlay
+from .deltas import SIGN, DeltaRollups
+
 
 class NeverSettles(RuntimeError):
     """Rules and reactions that keep undoing each other."""
@@ -27,7 +28,7 @@ MANY_ROUNDS = 10_000
 class Maintainer:
     """``process(batch, batch_id)`` for ``foreachBatch``.
 
-    A micro-batch applies its change sets, refreshes the affected rollups, fires ON_CHANGE
+    A micro-batch applies its change sets, moves the affected rollups by the differences (``DeltaRollups``), fires ON_CHANGE
     transitions with their actions, and repeats the last two for what they wrote, until nothing changes. Machines
     that move an object round and round raise an error after ``rounds``. Tables are never rewritten: each round appends row versions under its
     batch and step, and reads see the newest version. A repeated batch overwrites its own steps
@@ -40,6 +41,8 @@ class Maintainer:
         self.root = root
         self.machines = machines
         self.rounds = rounds
+        kept = [r for r in self.schema.rollups if r.materialised and set(base.concrete(r.source)) & set(self.types) and set(base.concrete(r.on_type)) & set(self.types)]
+        self.rollups = DeltaRollups(base, kept, f"{root}/rollups")
         for a in (a for m in machines for t in m.transitions for a in t.actions if a.create_type):
             if self.schema.type(a.create_type).name not in self.types:
                 raise ValueError(f"objects of {a.create_type} are created but not kept here")
@@ -86,6 +89,7 @@ class Maintainer:
 
     def process(self, changes: DataFrame, batch_id: int) -> None:
         step = 0
+        self.rollups.begin(batch_id)
         written: dict[str, list[DataFrame]] = {n: [] for n in self.types}
         known = [self.schema.type(n).iri for n in self.types]
         pending = materialise(changes.where(F.col("type").isin(*known)), "feed")
@@ -114,8 +118,10 @@ class Maintainer:
             done += 1
             now = self.store((batch_id, step))
             fresh: dict[str, list[DataFrame]] = {n: [] for n in self.types}
+            signed = [self._signed(start, touched[n], n) for n in self._sources()]
+            values = self.rollups.apply(signed, now, batch_id, step)
             for n in self.types:
-                rows = self._refresh(start, now, touched, n)
+                rows = self._refresh(now, values, n)
                 if rows is not None:
                     fresh[n].append(self._write_logged(now, n, rows, batch_id, step, "rollup"))
             step += 1
@@ -144,25 +150,37 @@ class Maintainer:
         after = F.when(F.col("_n.deleted_at").isNull(), F.struct(*[F.col("_n")[p].alias(p) for p in props]))
         return top.select("id", F.col("_n.type").alias("type"), after.alias("after")).join(old, "id", "left")
 
-    def _refresh(self, start: ObjectStore, now: ObjectStore, touched: dict[str, DataFrame], name: str) -> DataFrame | None:
+    def _sources(self) -> list[str]:
+        """Types whose objects a maintained rollup counts."""
+        rules = [r for group in self.rollups.groups.values() for r in group]
+        return [n for n in self.types if any(self.schema.is_subtype(n, r.source) for r in rules)]
+
+    def _signed(self, start: ObjectStore, touched: DataFrame, name: str) -> DataFrame:
+        """The live objects of one type written since ``start``: as they were with -1, as they are with 1."""
+        props = [p.name for p in self.schema.properties(name)]
+        old = start.scan(name).join(touched.select("id").distinct(), "id", "left_semi").select("type", *props, F.lit(-1).alias(SIGN))
+        top = touched.groupBy("id").agg(F.max_by(F.struct("type", "tenant", "deleted_at", *props), "version").alias("_n")).select("_n.*")
+        new = top.where((F.col("tenant") == start.tenant) & F.col("deleted_at").isNull()).select("type", *props, F.lit(1).alias(SIGN))
+        return old.unionByName(new)
+
+    def _refresh(self, now: ObjectStore, values: dict[str, DataFrame], name: str) -> DataFrame | None:
         """New versions of one type's objects whose maintained rollups changed."""
-        rules = [r for r in self.schema.rollups if r.materialised and self.schema.is_subtype(name, r.on_type)]
-        out, hit = now.table(name), F.lit(False)
-        for r in rules:
-            sources = [n for n in self.types if self.schema.is_subtype(n, r.source)]
-            if not sources:
-                continue
-            affected = reduce(
-                lambda a, b: a.unionByName(b), [affected_targets(now, self._images(start, touched[n], n), [r]) for n in sources]
-            ).distinct()
-            news = recompute(now, materialise(affected, "affected"), r).select("id", F.col("new").alias("_new"), F.lit(True).alias(f"_hit_{r.property}"))
-            out = out.join(news, "id", "left").withColumn(
-                r.property, F.when(F.col(f"_hit_{r.property}"), F.col("_new")).otherwise(F.col(r.property))
-            ).drop("_new")
-            hit = hit | F.col(f"_hit_{r.property}").isNotNull()
-        if out is now.table(name):
+        out, hit = now.scan(name), F.lit(False)
+        mine = {g: rs for g in values if (rs := [r for r in self.rollups.groups[g] if self.schema.is_subtype(name, r.on_type)])}
+        if not mine:
             return None
-        rows = out.where(hit).withColumn("version", F.col("version") + 1).withColumn("updated_at", F.current_timestamp())
+        for k, (group, rules) in enumerate(mine.items()):
+            news = values[group].select("id", *[F.col(r.property).alias(f"_new_{r.property}") for r in rules], F.lit(True).alias(f"_hit{k}"))
+            out = out.join(news, "id", "left")
+            for r in rules:
+                new = F.col(f"_new_{r.property}").cast(self.schema.lookup(name, r.property).scalar_type)
+                moved = F.coalesce(F.col(f"_hit{k}"), F.lit(False)) & ~new.eqNullSafe(F.col(r.property))
+                hit = hit | moved
+                out = out.withColumn(f"_new_{r.property}", F.when(F.coalesce(F.col(f"_hit{k}"), F.lit(False)), new).otherwise(F.col(r.property)))
+        rows = out.where(hit)
+        for r in (r for rules in mine.values() for r in rules):
+            rows = rows.withColumn(r.property, F.col(f"_new_{r.property}"))
+        rows = rows.withColumn("version", F.col("version") + 1).withColumn("updated_at", F.current_timestamp())
         return rows.select(*now.table(name).columns)
 
     def _react(self, start: ObjectStore, now: ObjectStore, touched: dict[str, DataFrame], machine: Machine, batch: int, step: int) -> tuple[DataFrame, DataFrame]:
