@@ -53,10 +53,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class State(dict):
+    """A subset of hypotheses; by byte the next state and the last token, found when first asked for."""
+
+    __slots__ = ("live", "machine")
+
+    def __init__(self, live: tuple[Hypothesis, ...], machine: "Transducer"):
+        self.live, self.machine = live, machine
+
+    def __missing__(self, byte: int) -> tuple["State", int]:
+        self[byte] = found = self.machine.step(self.live, byte)
+        return found
+
+
 class Transducer:
     KEEP_STATES = 150_000
-    KEEP_WORDS = 200_000
-    KEEP_PIECES = 50_000
+    KEEP_WORDS = 250_000
     KEEP_FITS = 250_000
     #: In a longer piece, what all hypotheses agree on is emitted every so many bytes.
     FLUSH = 4096
@@ -66,18 +78,27 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        #: Bytes that some token begins with (its proper prefixes).
-        self.begun = {k[:i] for k in ranks for i in range(1, len(k))}
-        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._clear_states()
-        self.words, self.pieces = Recent(self.KEEP_WORDS), Recent(self.KEEP_PIECES)
-
-    def _clear_states(self) -> None:
-        start: tuple[Hypothesis, ...] = ((-1, b""),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        #: By bytes that are a token or that one begins with: its id (-1: none), and whether a longer token begins so.
+        begun = {k[:i] for k in ranks for i in range(1, len(k))}
+        self.heads: dict[bytes, tuple[int, bool]] = dict.fromkeys(begun, (-1, True))
+        self.heads.update((k, (v, k in begun)) for k, v in ranks.items())
+        self.halves: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.fits: dict[int, bool] = {}
+        self.states: dict[tuple[Hypothesis, ...], State] = {}
+        #: Ids of units, and of the pieces of units that have several.
+        self.words = Recent(self.KEEP_WORDS)
+
+    def _state(self, live: tuple[Hypothesis, ...]) -> State:
+        found = self.states.get(live)
+        if found is None:
+            found = self.states[live] = State(live, self)
+        return found
+
+    def _bound_states(self) -> None:
+        if len(self.states) > self.KEEP_STATES:
+            for state in self.states.values():  # they refer to each other
+                state.clear()
+            self.states.clear()
 
     def merges(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """The plain merge loop on a few bytes: the lowest rank first, the leftmost of equals."""
@@ -89,135 +110,115 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
-        """The two tokens that a token's last merge joined; None for a single byte."""
-        if token not in self.halves:
+    def _split(self, token: bytes) -> tuple[int, bytes, bytes]:
+        """The rank of a token's last merge and the two tokens it joined; rank -1 for a single byte."""
+        found = self.halves.get(token)
+        if found is None:
             parts = self.merges(token, 2)
-            self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
-        return self.halves[token]
-
-    def _border(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
-        """The tokens that stand at one border while ``token`` is merged: each with the rank that makes it
-        and the rank that merges it away."""
-        out, until = [], 1 << 40
-        while True:
-            halves = self._split(token)
-            since = self.ranks[token] if halves else -1
-            out.append((token, since, until))
-            if not halves:
-                return out
-            token, until = halves[side], since
+            found = self.halves[token] = (self.ranks[token], parts[0], parts[1]) if len(parts) == 2 else (-1, b"", b"")
+        return found
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether two tokens are the encoding of their bytes: no merge over the border comes first.
 
-        Of equal ranks the leftmost merges first: at the left token's border its own, at the right one's
-        the one over the border.
+        The merges of both are taken back, the latest first, which gives all tokens that ever meet at the border. Of
+        equal ranks the leftmost merges first: at the left token's border its own, at the right one's the one over
+        the border.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > self.KEEP_FITS:
                 self.fits.clear()
-            known = True
-            far = self._border(self.bytes_of[right], 0)
-            for a, since, until in self._border(self.bytes_of[left], 1):
-                for b, since_b, until_b in far:
-                    if max(since, since_b) < min(until, until_b):
-                        over = self.ranks.get(a + b)
-                        if over is not None and over < until and over <= until_b:
-                            known = False
+            a, b = self.bytes_of[left], self.bytes_of[right]
+            until_a = until_b = 1 << 40
+            while True:
+                over = self.ranks.get(a + b)
+                if over is not None and over < until_a and over <= until_b:
+                    known = False
+                    break
+                since_a, _, tail = self._split(a)
+                since_b, head, _ = self._split(b)
+                if since_a < 0 and since_b < 0:
+                    known = True
+                    break
+                if since_a >= since_b:
+                    a, until_a = tail, since_a
+                if since_b >= since_a:
+                    b, until_b = head, since_b
             self.fits[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, live: tuple[Hypothesis, ...], byte: int) -> tuple[State, int]:
         """The next state, and the last token of the encoding of all bytes read."""
         more = bytes((byte,))
+        heads = self.heads
         alive: list[Hypothesis] = []
         done = -1
-        for last, read in self.states[state]:
+        for last, read in live:
             now = read + more
+            head = heads.get(now)
+            if head is None:
+                continue
+            token, longer = head
             # One hypothesis is the encoding of what has been read.
-            token = self.ranks.get(now) if done < 0 else None
-            if token is not None and (last < 0 or self._fit(last, token)):
+            if done < 0 <= token and (last < 0 or self._fit(last, token)):
                 done = token
-            if now in self.begun:
+            if longer:
                 alive.append((last, now))
         if done < 0:
             raise ValueError("the vocabulary lacks a byte")
         alive.append((done, b""))
-        subset = tuple(alive)
-        target = self.number.get(subset)
-        if target is None:
-            target = self.number[subset] = len(self.states)
-            self.states.append(subset)
-            self.steps.append({})
-        self.steps[state][byte] = found = (target, done)
-        return found
+        return self._state(tuple(alive)), done
 
     def _back(self, ends: list[int], at: int) -> list[int]:
         """The tokens of the encoding of the first ``at`` bytes, the last first."""
-        out = []
+        out, size_of = [], self.size_of
         while at > 0:
-            out.append(ends[at])
-            at -= self.size_of[ends[at]]
+            token = ends[at]
+            out.append(token)
+            at -= size_of[token]
         return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.KEEP_STATES:
-            self._clear_states()
-        state, steps = 0, self.steps
+        self._bound_states()
+        state = self._state(((-1, b""),))
         ends, out = [-1], []
-        if len(piece) <= self.FLUSH:
-            for byte in piece:
-                found = steps[state].get(byte)
-                if found is None:
-                    found = self._step(state, byte)
-                state, token = found
+        for begin in range(0, len(piece), self.FLUSH):
+            for byte in piece[begin : begin + self.FLUSH]:
+                state, token = state[byte]
                 ends.append(token)
-            tokens = self._back(ends, len(piece))
-            tokens.reverse()
-            return tokens
-        for byte in piece:
-            found = steps[state].get(byte)
-            if found is None:
-                found = self._step(state, byte)
-            state = found[0]
-            ends.append(found[1])
-            if len(ends) > self.FLUSH:
+            if begin + self.FLUSH < len(piece):
                 ends, state = self._flush(ends, state, out)
-                steps = self.steps
         tokens = self._back(ends, len(ends) - 1)
         tokens.reverse()
         return out + tokens if out else tokens
 
-    def _flush(self, ends: list[int], state: int, out: list[int]) -> tuple[list[int], int]:
+    def _flush(self, ends: list[int], state: State, out: list[int]) -> tuple[list[int], State]:
         """Emits the tokens that all live hypotheses agree on; what is left."""
-        subset = self.states[state]
-        chains = [self._back(ends, len(ends) - 1 - len(read))[::-1] for _, read in subset]
+        chains = [self._back(ends, len(ends) - 1 - len(read))[::-1] for _, read in state.live]
         agreed = 0
         while all(agreed < len(c) for c in chains) and len({c[agreed] for c in chains}) == 1:
             agreed += 1
         out += chains[-1][:agreed]
         gone = sum(self.size_of[t] for t in chains[-1][:agreed])
-        if len(self.states) > self.KEEP_STATES:
-            self._clear_states()
-            state = self.number.setdefault(subset, 1)
-            if state:
-                self.states.append(subset)
-                self.steps.append({})
-        return [-1, *ends[gone + 1 :]], state
+        self._bound_states()
+        return [-1, *ends[gone + 1 :]], self._state(state.live)
 
-    def _piece(self, piece: str) -> bytes:
+    def _encoded(self, piece: str) -> bytes:
         """The ids of a piece as little-endian unsigned 32-bit integers."""
-        ids = self.pieces.recall(piece)
+        return array("I", self.encode_piece(piece.encode())).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.words.recall(piece)
         if ids is None:
-            ids = array("I", self.encode_piece(piece.encode())).tobytes()
-            self.pieces.note(piece, ids)
+            ids = self._encoded(piece)
+            self.words.note(piece, ids)
         return ids
 
     def packed(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.find(text)))
+        pieces = self.find(text)
+        return self._encoded(text) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
 
     def _units(self, units: list[str]) -> list[bytes]:
         return self.words.all(units, lambda lacking: list(map(self.packed, lacking)))
