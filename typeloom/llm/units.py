@@ -8,6 +8,7 @@ characters. Where spaces stand next to other white space, the unit goes on to th
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,11 +33,6 @@ class Units:
     begin: np.ndarray
 
 
-def solid(word: str) -> bool:
-    """Whether a word has other characters than white space at both ends."""
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
-
-
 def runs(text: str, lead: str = "") -> list[str]:
     """The units of a text, whatever its white space; ``lead`` stands before the text."""
     first, *rest = text.split(" ")
@@ -68,11 +64,10 @@ def cut(texts: pa.Array, lead: str = "", whole: list[str] | tuple[str, ...] = ()
     begin = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
     first = begin[:-1]
     if lead != " " and len(first):
-        heads, at = np.unique(codes[first], return_inverse=True)
+        heads, at = _numbered(codes[first], len(known))
         later = np.ones(len(codes), bool)
         later[first] = False
-        tails, back = np.unique(codes[later], return_inverse=True)
-        codes[later] = back
+        tails, codes[later] = _numbered(codes[later], len(known))
         codes[first] = len(tails) + at
         units = [" " + known[c] for c in tails.tolist()] + [lead + known[c] for c in heads.tolist()]
     else:
@@ -92,6 +87,12 @@ def cut(texts: pa.Array, lead: str = "", whole: list[str] | tuple[str, ...] = ()
     return Units(units, codes, begin)
 
 
+def _numbered(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of codes below ``n``, ascending, and the number of each code among them."""
+    met = np.bincount(codes, minlength=n) > 0
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[codes]
+
+
 def expand(flat: np.ndarray, begin: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices ``flat[begin[c]:begin[c + 1]]`` of all codes one after the other, and where each begins."""
     sizes = np.diff(begin)[codes]
@@ -171,13 +172,18 @@ class Recent:
         """The ids of all texts; ``make`` gives those of texts not met of late."""
         found = list(map(self.new.get, texts))
         if None in found:
-            lacking = [k for k, ids in enumerate(found) if ids is None]
-            for k in lacking:
-                found[k] = self.recall(texts[k])
-            lacking = [k for k in lacking if found[k] is None]
-            for k, ids in zip(lacking, make([texts[k] for k in lacking])):
+            lacking, note = [], self.note
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = ids = self.old.get(texts[k])
+                    if ids is None:
+                        lacking.append(k)
+                    else:
+                        note(texts[k], ids)
+            asked = [texts[k] for k in lacking]
+            for k, text, ids in zip(lacking, asked, make(asked)):
                 found[k] = ids
-                self.note(texts[k], ids)
+                note(text, ids)
         return found
 
 
@@ -193,6 +199,9 @@ class Library:
             self.library.encode_special_tokens = True
         self.added = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = self.library.get_vocab(with_added_tokens=True)
+        barred = f"(?!.*(?:{'|'.join(map(re.escape, self.added))}))" if self.added else ""
+        #: A space and a word that has other characters than white space at both ends.
+        self.plain = re.compile(f"(?s){barred} \\S(?:[^ ]*\\S)?").fullmatch
         self.spaced = np.zeros(max(self.vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in self.vocabulary.items() if token.startswith(SPACE)]] = True
 
@@ -217,7 +226,7 @@ class Library:
 
     def units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian unsigned 32-bit integers."""
-        plain = [u[:1] == " " and " " not in u[1:] and solid(u[1:]) and not any(c in u for c in self.added) for u in units]
+        plain = [p is not None for p in map(self.plain, units)]
         line = iter(self._line([u for u, p in zip(units, plain) if p]))
         rest = iter(self.whole([u for u, p in zip(units, plain) if not p]))
         return [next(line) if p else next(rest) for p in plain]
