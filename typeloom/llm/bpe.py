@@ -78,10 +78,11 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        #: By bytes that are a token or that one begins with: its id (-1: none), and whether a longer token begins so.
+        #: By bytes that are a token or that one begins with: its id (-1: none), and the same bytes, one object for all
+        #: states, where a longer token begins so.
         begun = {k[:i] for k in ranks for i in range(1, len(k))}
-        self.heads: dict[bytes, tuple[int, bool]] = dict.fromkeys(begun, (-1, True))
-        self.heads.update((k, (v, k in begun)) for k, v in ranks.items())
+        self.heads: dict[bytes, tuple[int, bytes | None]] = {k: (ranks.get(k, -1), k) for k in begun}
+        self.heads.update((k, (v, None)) for k, v in ranks.items() if k not in begun)
         self.halves: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.fits: dict[int, bool] = {}
         self.states: dict[tuple[Hypothesis, ...], State] = {}
@@ -164,8 +165,8 @@ class Transducer:
             # One hypothesis is the encoding of what has been read.
             if done < 0 <= token and (last < 0 or self._fit(last, token)):
                 done = token
-            if longer:
-                alive.append((last, now))
+            if longer is not None:
+                alive.append((last, longer))
         if done < 0:
             raise ValueError("the vocabulary lacks a byte")
         alive.append((done, b""))
