@@ -60,7 +60,7 @@ def cut(texts: pa.Array, lead: str = "", whole: list[str] | tuple[str, ...] = ()
     lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     words = lists.flatten().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    known = words.dictionary.to_pylist()
+    known = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
     begin = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
     first = begin[:-1]
     if lead != " " and len(first):
