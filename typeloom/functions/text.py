@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -24,6 +25,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def token_counts(text: Column) -> Column:
+    """The distinct tokens of one text with their number of occurrences: array of (token, tf).
+
+    The tokens are sorted and cut where a run of equal ones ends, so nothing is held beyond one text.
+    """
+
+    def runs(toks: Column) -> Column:
+        # Behind the last token is null, which differs from it; of no tokens all places are null.
+        ends = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: ~F.get(toks, i).eqNullSafe(F.get(toks, i - 1)))
+        return _bound(ends, lambda at: F.transform(at, lambda end, k: F.struct(
+            F.get(toks, end - 1).alias("token"), (end - F.coalesce(F.get(at, k - 1), F.lit(0))).cast("long").alias("tf"))))
+
+    return _bound(F.sort_array(tokens(text)), runs)
+
+
 def query_tokens(text: str | None) -> list[str]:
     """Tokens of the query string itself; one short string, so split on the driver."""
     return [t for t in re.split(r"[\W_]+", (text or "").lower()) if t]

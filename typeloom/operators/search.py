@@ -8,7 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import query_words, tokens
+from ..functions.text import query_words, token_counts
+from ..session import materialise
 from ..sources.store import SEARCH_TEXT, ObjectStore
 
 BUCKETS = 256
@@ -17,17 +18,22 @@ BUCKETS = 256
 def postings(rows: DataFrame, text: Column | None = None) -> DataFrame:
     """(id, token, tf).
 
-    Grouping by object *and* token spreads even the most frequent token over all tasks, and the
-    occurrences inside one object are merged before the shuffle. The outer explode keeps Spark
+    Tokens are counted inside each text, so that a task holds the counts of one text at a time and nothing is
+    shuffled. Only objects that come in several rows are put together by object *and* token, which spreads even the
+    most frequent token over all tasks; their ids are found (and stored) first. The outer generator keeps Spark
     from adding a filter that would split every text a second time.
     """
     col = text if text is not None else F.col(SEARCH_TEXT)
-    return (
-        rows.select("id", F.explode_outer(tokens(col)).alias("token"))
-        .where(F.col("token").isNotNull())
-        .groupBy("id", "token")
-        .agg(F.count("*").alias("tf"))
-    )
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.select("id", F.inline_outer(token_counts(col))).where(F.col("token").isNotNull())
+
+    several = materialise(rows.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "repeated-ids")
+    if several.isEmpty():
+        return counted(rows)
+    same = F.col("id").eqNullSafe(F.col("_id"))  # objects without an id are one object
+    merged = counted(rows.join(several, same, "left_semi")).groupBy("id", "token").agg(F.sum("tf").alias("tf"))
+    return counted(rows.join(several, same, "left_anti")).unionByName(merged)
 
 
 def build_index(store: ObjectStore, *types: str) -> DataFrame:
@@ -87,9 +93,16 @@ def ranked(store: ObjectStore, index: DataFrame, text: str, *types: str) -> Data
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """Of several versions of an object in one batch only the last."""
-    last = rows.groupBy("id").agg(F.max("version").alias("version"))
-    return rows.join(last, ["id", "version"], "left_semi")
+    """Of several versions of an object in one batch only the last; rows without an id or a version are left out.
+
+    The rows meet a join only if some object has several versions, whose last ones are stored first.
+    """
+    span = rows.groupBy(F.col("id").alias("_id")).agg(F.min("version").alias("_first"), F.max("version").alias("_last"))
+    moved = materialise(span.where("_first < _last").select("_id", "_last"), "moved-ids")
+    rows = rows.where(F.col("id").isNotNull() & F.col("version").isNotNull())
+    if moved.isEmpty():
+        return rows
+    return rows.join(moved, (F.col("id") == F.col("_id")) & (F.col("version") < F.col("_last")), "left_anti")
 
 
 def upsert(index: DataFrame, changed: DataFrame, text: Column | None = None) -> DataFrame:
