@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from typeloom.operators.search import newest, postings
+from typeloom.streaming import streams as S
 
 ROWS = [("a", "x Y x, y-x"), ("a", "y 7"), (None, "z z"), (None, "z"), ("b", None), ("c", ""), ("d", " ., "), ("e", "ä Ä o"), ("f", "one")]
 
@@ -41,3 +42,17 @@ def test_newest(spark):
     once = newest(df.where("text IN ('r', 't', 'u')"))
     assert sorted(r.text for r in once.collect()) == ["r", "t"]
     assert "Join" not in once._jdf.queryExecution().toString()
+
+
+def test_maintained_index(spark, tmp_path):
+    keep, path = S.maintain_index(str(tmp_path)), str(tmp_path)
+
+    def batch(n, *rows):
+        keep(spark.createDataFrame([(k, n, text, None) for k, text in rows], "id string, version long, search_text string, deleted_at timestamp"), n)
+
+    batch(0, ("a", "x x"), ("b", "y"))
+    index = S.read_maintained(spark, path)
+    assert "Join" not in index._jdf.queryExecution().toString()
+    assert counts(index) == {("a", "x"): 2, ("b", "y"): 1}
+    batch(1, ("a", "z"), ("c", "y y"))
+    assert counts(S.read_maintained(spark, path)) == {("a", "z"): 1, ("b", "y"): 1, ("c", "y"): 2}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.search import newest, postings
-from ..session import fresh_path
+from ..session import fresh_path, materialise
 
 def read_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream; ``files_per_batch`` bounds a micro-batch."""
@@ -98,10 +98,15 @@ def maintain_index(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_maintained(spark: SparkSession, path: str) -> DataFrame:
-    """Postings of every object as its last batch left them."""
+    """Postings of every object as its last batch left them.
+
+    The postings meet a join only if some object came in several batches: what those replaced is stored first.
+    """
     rows = spark.read.parquet(f"{path}/postings")
-    last = spark.read.parquet(f"{path}/ids").groupBy("id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["id", "batch"], "left_semi").drop("batch")
+    ids = spark.read.parquet(f"{path}/ids")
+    last = ids.groupBy("id").agg(F.max("batch").alias("last"))
+    old = materialise(ids.join(last, "id").where(F.col("batch") < F.col("last")).select("id", "batch"), "replaced")
+    return (rows if old.isEmpty() else rows.join(old, ["id", "batch"], "left_anti")).drop("batch")
 
 
 # ---------------------------------------------------------------- rejects
