@@ -13,7 +13,7 @@ from ..operators import lifecycle as L
 from ..operators.commit import apply_changes, update_events
 from ..session import materialise
 from ..sources.store import ObjectStore
-from ..sources.versions import overlay
+from ..sources.versions import latest, overlay, singles
 from .deltas import SIGN, DeltaRollups
 
 
@@ -41,6 +41,8 @@ class Maintainer:
         self.root = root
         self.machines = machines
         self.rounds = rounds
+        self._writes = dict.fromkeys(self.types, 0)
+        self._checked: dict[str, tuple[int, tuple[int, int] | None, bool]] = {}
         kept = [r for r in self.schema.rollups if r.materialised and set(base.concrete(r.source)) & set(self.types) and set(base.concrete(r.on_type)) & set(self.types)]
         self.rollups = DeltaRollups(base, kept, f"{root}/rollups")
         for a in (a for m in machines for t in m.transitions for a in t.actions if a.create_type):
@@ -76,11 +78,20 @@ class Maintainer:
             if before is not None:
                 batch, step = before
                 delta = delta.where((F.col("batch") < batch) | ((F.col("batch") == batch) & (F.col("step") < step)))
-            out = out.with_table(name, overlay(self.base.table(name), delta))
+            out = out.with_table(name, overlay(self.base.table(name), delta, single=self._single(name, delta, before)))
         return out
 
+    def _single(self, name: str, delta: DataFrame, before: tuple[int, int] | None) -> bool:
+        """Whether no object of a type has several versions yet. Once one has, it is not asked again."""
+        writes, at, single = self._checked.get(name, (-1, None, True))
+        if single and (writes, at) != (self._writes[name], before):
+            single = singles(delta)
+            self._checked[name] = (self._writes[name], before, single)
+        return single
+
     def _write(self, name: str, rows: DataFrame, batch: int, step: int) -> DataFrame:
         path = f"{self.root}/versions/{name}/batch={batch}/step={step}"
+        self._writes[name] += 1
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
@@ -109,7 +120,7 @@ class Maintainer:
             self._log(result.log, "log", batch_id, step)
             self._log(result.rejected, "rejected", batch_id, step)
             step += 1
-            pending = materialise(result.deferred, "deferred")
+            pending = result.deferred
         touched = self._union(written, start)
         done = 0
         while not all(t.isEmpty() for t in touched.values()):
@@ -159,7 +170,7 @@ class Maintainer:
         """The live objects of one type written since ``start``: as they were with -1, as they are with 1."""
         props = [p.name for p in self.schema.properties(name)]
         old = start.scan(name).join(touched.select("id").distinct(), "id", "left_semi").select("type", *props, F.lit(-1).alias(SIGN))
-        top = touched.groupBy("id").agg(F.max_by(F.struct("type", "tenant", "deleted_at", *props), "version").alias("_n")).select("_n.*")
+        top = touched if singles(touched) else latest(touched.select("id", "version", "type", "tenant", "deleted_at", *props), ["id"])
         new = top.where((F.col("tenant") == start.tenant) & F.col("deleted_at").isNull()).select("type", *props, F.lit(1).alias(SIGN))
         return old.unionByName(new)
 
