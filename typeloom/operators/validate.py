@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import NUMERIC, Property
+from ..session import materialise
 from ..sources.store import ObjectStore
 
 # Stages in the order in which they are checked.
@@ -79,17 +80,18 @@ def references(store: ObjectStore, rows: DataFrame, type_name: str) -> DataFrame
     the other types. The few bad ones are then joined back.
     """
     parts: list[DataFrame] = []
-    for p in [p for p in store.schema.properties(type_name) if p.is_ref and p.name in rows.columns]:
-        ref = F.explode(F.array_distinct(F.col(p.name))) if p.is_list else F.col(p.name)
-        pairs = rows.select("id", ref.alias("ref")).where(F.col("ref").isNotNull())
-        unresolved = pairs.select("ref").distinct().join(
-            store.scan(p.target).select(F.col("id").alias("ref")), "ref", "left_anti"
-        )
-        right = {t.name for t in store.schema.concrete(p.target)}
+    refs = [p for p in store.schema.properties(type_name) if p.is_ref and p.name in rows.columns]
+    for target in dict.fromkeys(p.target for p in refs):
+        pairs: dict[str, DataFrame] = {}
+        for p in [p for p in refs if p.target == target]:
+            ref = F.explode(F.array_distinct(F.col(p.name))) if p.is_list else F.col(p.name)
+            pairs[p.name] = rows.select("id", ref.alias("ref")).where(F.col("ref").isNotNull())
+        named = reduce(lambda a, b: a.unionByName(b), [x.select("ref") for x in pairs.values()]).distinct()
+        unresolved = named.join(store.scan(target).select(F.col("id").alias("ref")), "ref", "left_anti")
+        right = {t.name for t in store.schema.concrete(target)}
         others = [t.name for t in store.schema.concrete(*[t.name for t in store.schema.types]) if t.name not in right]
         found = store.scan(*others).select(F.col("id").alias("ref"), F.col("type").alias("found"))
-        bad = unresolved.join(found, "ref", "left")
-        expected = store.schema.type(p.target).iri
+        expected = store.schema.type(target).iri
         message = F.when(
             F.col("found").isNull(), F.concat(F.lit("nothing has the id "), F.col("ref"))
         ).otherwise(
@@ -97,7 +99,9 @@ def references(store: ObjectStore, rows: DataFrame, type_name: str) -> DataFrame
                 F.col("ref"), F.lit(" is a "), F.col("found"), F.lit(f"; a {expected} was asked for")
             )
         )
-        parts.append(pairs.join(bad, "ref").select("id", F.lit(p.name).alias("property"), message.alias("message")))
+        # Stored before the rows meet them, so that no task holds the look-ups and the rows at a time.
+        bad = materialise(unresolved.join(found, "ref", "left").select("ref", message.alias("message")), "bad-references")
+        parts += [x.join(bad, "ref").select("id", F.lit(name).alias("property"), "message") for name, x in pairs.items()]
     if not parts:
         return violations(rows, [])
     return reduce(lambda a, b: a.unionByName(b), parts)
