@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from typeloom.llm import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc
+from typeloom.llm import blob_ledger, bpe, decision_list, decontam, langid, line_chunks, minhash, ring_shards, site_bayes, token_orc, units
 from typeloom.llm.components import components
 from typeloom.llm.queries import QUERIES, byte_bpe
 from typeloom.session import fresh_path
@@ -352,6 +352,58 @@ def test_added_tokens_are_found():
     assert np.frombuffer(per_text(codec, [f"hello {added[0]} world"])[0], "<u4").tolist().count(library.token_to_id(added[0])) == 1
 
 
+def byte_library():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_words_marks_and_lines_equal_the_library():
+    """Each word, mark and line end is asked for once, and no other one than the library alone would give comes out."""
+    codec = token_orc.Encoder(byte_library())
+    assert codec.library.parts and codec.library.bare
+    codec.known = units.Numbered(30, codec.library.encoded)
+    r = random.Random(11)
+    pools = ["abc'.,;:!?)\"", "aé ßñ.\n", "жαŁ²ªµº֍.,\n ", "a\n\r\t .", "a b.\n\n", "x\xa0\x85\u2028\x1c\n. ", "it's don't we'll 'tis. ", "日本語。é.\n"]
+    texts = ["".join(r.choice(p) for _ in range(r.randint(0, 50))) for _ in range(600) for p in pools]
+    texts += ["\nab", "ab\n", "a\n\n\nb\n\n\n\nc", "a\r\nb\r\n\r\nc", "\nab\t\n cd\nab", "x<|endoftext|>ab.", "a.\nB <|endoftext|>\nc.", "dogs'\n'tis", "w" * 300 + ".\n" + "w" * 300]
+    for start in range(0, len(texts), 97):
+        some = texts[start : start + 97]
+        assert per_text(codec, some) == codec.library.whole(some)
+        assert len(codec.known.met) <= 45
+    asked = []
+    encode = codec.known.encode
+    codec.known = units.Numbered(1000, lambda some: asked.extend(some) or encode(some))
+    per_text(codec, ["it zqxv zqxv. zqxv, zqxv!\nZqxv zqxv.\nZqxv"])
+    assert sorted(u for u in asked if "qxv" in u) == ["\nZqxv", " zqxv"]
+
+
+def test_letters_are_letters_to_the_library():
+    """What counts as a letter here is one match of the pattern, and merges with nothing over a space or line end."""
+    import re
+
+    library = units.Library(byte_library())
+    letters = [c for c in map(chr, range(0x3000)) if re.fullmatch(f"[{units.LETTERS}]", c)]
+    assert len(letters) > 800
+    assert len(library.library.pre_tokenizer.pre_tokenize_str(" " + "".join(letters))) == 1
+    r = random.Random(12)
+    words = [r.choice(" \n") + "".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(20_000)]
+    assert library.units(words) == library.whole(words)
+
+
+def test_other_patterns_are_left_to_the_library(tmp_path):
+    """A pattern that joins marks and line ends: units are cut at spaces alone."""
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(byte_library())
+    split = pre_tokenizers.Split(Regex(r" ?\p{L}+[.,]*\n*| ?[^\s\p{L}]+\n*|\s+(?!\S)|\s+"), "isolated")
+    other.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(path := str(tmp_path / "other.json"))
+    codec = token_orc.Encoder(path)
+    texts = ["one two.\nThree four,\n\nfive six.", "a.\nb", "", "x y."]
+    assert not codec.library.parts and per_text(codec, texts) == codec.library.whole(texts)
+
+
 # --- line chunks
 
 

@@ -121,6 +121,17 @@ def test_units_join_to_their_texts():
         assert len(own[0]) == 2 and len(own[8]) == 1
 
 
+def test_units_end_with_their_lines():
+    import pyarrow as pa
+
+    texts = ["a.\nB c\n\n\nd", "\nB a", "x\t\ny", "B", None, "", "a  b\nB", "e\n"]
+    cut = units.cut(pa.array(texts), lines=True)
+    own = [[cut.texts[c] for c in cut.codes[a:b]] for a, b in zip(cut.begin, cut.begin[1:])]
+    assert ["".join(x) for x in own] == [t or "" for t in texts]
+    assert own[0] == ["a.", "\nB", " c", "\n\n\nd"] and own[2] == ["x\t\ny"] and own[7] == ["e", "\n"]
+    assert len(set(cut.texts)) == len(cut.texts)
+
+
 # --- archives
 
 

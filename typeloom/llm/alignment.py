@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .common import held
-from .units import Library, cut, expand, flattened, gathered, pack, unpack
+from .units import Library, cut, expand, flattened, gathered, level_characters, pack, unpack
 
 #: How piece vocabularies write a space.
 PIECE_SPACE = "▁"
@@ -64,9 +64,7 @@ def _byte_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def level_bytes() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the
     others, in order, for the characters from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return {chr(c): b for b, c in enumerate(level_characters().tolist())}
 
 
 class Tokenizers:

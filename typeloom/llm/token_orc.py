@@ -6,7 +6,8 @@ every ``stride`` rows, and Bloom filters on doc_id, so that readers of some docu
 stripes and row groups by their statistics; stripes are read in parallel.
 
 Byte-level BPE encodes units of text (``units.cut``) independently, so that each distinct one of a batch is looked up
-once, and given to the library if it was not met of late. Texts with an added token of the file go to the library whole.
+once, and given to the library if it was not met of late (without the mark at its end, where the tokenizer has GPT-2's
+pattern). Texts with an added token of the file go to the library whole.
 
 Defined results: a null text is an empty one and gives the end id alone; rows that share a doc_id stand next to
 each other, by text, and their starts follow that order, as rows are numbered when they are written; a null doc_id stands
@@ -15,7 +16,9 @@ first. Very long texts are batches of their own. Other columns are not written;
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +29,12 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 from .common import held
-from .units import Library, Recent, cut, expand, flattened, gathered
+from .units import LETTERS, Library, Numbered, cut, expand, gathered
+
+
+#: Signs that GPT-2's pattern parts from a letter before them, where a unit ends with one.
+MARKS = ".,;:!?)\"'"
+MARKED = re.compile(f"(?s).*[{LETTERS}][{re.escape(MARKS)}]").fullmatch
 
 
 @dataclass(frozen=True)
@@ -52,18 +60,38 @@ class TokenFiles:
 
 
 class Encoder:
-    KEEP_WORDS = 400_000
+    KEEP_WORDS = 530_000
 
     def __init__(self, path: str):
         self.library = Library(path)
-        self.words = Recent(self.KEEP_WORDS)
+        self.known = Numbered(self.KEEP_WORDS, self.library.encoded)
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The number of each unit. Where one ends with a letter and a mark, its ids are those of its word and of the mark."""
+        if not self.library.parts:
+            return self.known.all(units)
+        found = self.known.find(units)
+        lacking = np.flatnonzero(found < 0)
+        asked = [units[k] for k in lacking.tolist()]
+        marked = np.array([m is not None and not b for m, b in zip(map(MARKED, asked), self.library.barred(asked))], bool)
+        found[lacking[~marked]] = self.known.made(list(compress(asked, (~marked).tolist())))
+        ended = list(compress(asked, marked.tolist()))
+        words = [u[:-1] for u in ended]
+        distinct = list(dict.fromkeys([*words, *MARKS]))
+        number = dict(zip(distinct, self.known.all(distinct).tolist()))
+        both = np.array([[number[w] for w in words], [number[u[-1]] for u in ended]], np.int64).T.ravel()
+        ids, at = expand(self.known.ids, self.known.begin, both)
+        found[lacking[marked]] = self.known.add(ended, ids, np.diff(at[::2]))
+        return found
 
     def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, ``end`` after each, and where each text's begin."""
-        units = cut(texts, whole=self.library.added)
-        flat, begin = flattened([*self.words.all(units.texts, self.library.units), np.array(end, "<u4").tobytes()])
-        codes = np.insert(units.codes, units.begin[1:], len(units.texts))
-        ids, at = expand(flat, begin, codes)
+        units, known = cut(texts, whole=self.library.added, lines=self.library.parts), self.known
+        numbers = self.numbers(units.texts)[units.codes]
+        flat = np.concatenate((known.ids, np.array(end, "<u4")))
+        codes = np.insert(numbers, units.begin[1:], len(known.begin) - 1)
+        ids, at = expand(flat, np.append(known.begin, len(flat)), codes)
+        known.end_batch()
         return ids, at[units.begin + np.arange(len(units.begin))]
 
 
